@@ -9,6 +9,7 @@ from joblattice.functions import html as H
 from joblattice.functions.crawl import drop_noise_links
 from joblattice.functions.scoring import Profile
 from joblattice.functions.text import clean_text, dedup_hash, strip
+from joblattice.operators.compute import compute_once
 
 AS_OF = 1704067200           # 2024-01-01 00:00:00 UTC
 
@@ -44,8 +45,8 @@ def listings(spark: SparkSession, d: str) -> DataFrame:
     """Documents as listings: the first sentence is the title, the text the description."""
     docs = table(spark, d, "documents")
     n, lang = F.col("n_chars"), F.col("lang")
-    first_line = F.split_part("text", F.lit("\n"), F.lit(1))
-    title = strip(F.split_part(first_line, F.lit("."), F.lit(1)))
+    first_line = F.substring_index("text", "\n", 1)
+    title = strip(F.substring_index(first_line, ".", 1))
     shaped = docs.withColumns({"title": title, "company": F.concat_ws(" ", "lang", "source")})
     return shaped.select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"),
@@ -124,9 +125,9 @@ def crawl_log(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(error.isNull() & (n < 980), clean_text(H.visible_text(F.col("html"))))
     links = drop_noise_links(H.page_links(H.anchors(F.col("html")), F.col("final_url")))
     none = F.array().cast("array<struct<text:string,href:string>>")
-    return p.select("seq", "num", "company", "careers_url", "final_url", error.alias("error"),
-                    text.alias("text"),
-                    F.when(error.isNull() & (n < 950), links).otherwise(none).alias("links"))
+    return compute_once(p, {
+        "error": error, "text": text,
+        "links": F.when(error.isNull() & (n < 950), links).otherwise(none)}).drop("html", "status")
 
 
 def error_log(spark: SparkSession, d: str) -> DataFrame:

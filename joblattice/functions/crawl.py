@@ -8,8 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .html import first_per_href
-from .text import strip
-from .urls import (AUTH_PATH, JOBS_PATH, JOBS_PHRASE, is_ats_host, resolve, url_path)
+from .text import let, strip
+from .urls import (AUTH_PATH, JOBS_PATH, JOBS_PHRASE, base_parts, is_ats_host,
+                   resolve_parts, url_path)
 
 # Error categories, first match wins.
 ERROR_CATEGORIES = (
@@ -147,17 +148,18 @@ def best_jobs_url(frame_srcs: Column, anchor_array: Column, base: Column) -> Col
     frame_url = F.when(frame.startswith("//"), F.concat(F.lit("https:"), frame)).otherwise(frame)
     usable = F.filter(anchor_array, lambda a: (a["href"] != "") & ~a["href"].startswith("#")
                       & ~a["href"].startswith("javascript"))
-    full = F.transform(usable, lambda a: F.struct(
-        resolve(a["href"], base).alias("url"), a["text"].alias("text")))
-
-    def first(test):
-        return F.try_element_at(F.filter(full, test), F.lit(1))["url"]
+    full = let(base_parts(base), lambda b: F.transform(usable, lambda a: F.struct(
+        resolve_parts(a["href"], b).alias("url"), a["text"].alias("text"))))
 
     def open_path(a):
         return ~url_path(a["url"]).rlike(AUTH_PATH)
 
-    return F.coalesce(
-        frame_url,
-        first(lambda a: is_ats_host(a["url"])),
-        first(lambda a: open_path(a) & a["text"].rlike(JOBS_PHRASE)),
-        first(lambda a: open_path(a) & url_path(a["url"]).rlike(JOBS_PATH)))
+    def pick(links: Column) -> Column:
+        def first(test):
+            return F.try_element_at(F.filter(links, test), F.lit(1))["url"]
+        return F.coalesce(
+            frame_url,
+            first(lambda a: is_ats_host(a["url"])),
+            first(lambda a: open_path(a) & a["text"].rlike(JOBS_PHRASE)),
+            first(lambda a: open_path(a) & url_path(a["url"]).rlike(JOBS_PATH)))
+    return let(full, pick)

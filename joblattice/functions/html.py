@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
-from .urls import resolve
+from .text import let, strip
+from .urls import base_parts, resolve_parts
 
 # Elements removed before reading the text.
 AGGRESSIVE_TAGS = ("script", "style", "nav", "footer", "header", "noscript")
@@ -27,23 +27,28 @@ ENTITIES = (
 )
 ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 FRAME = r"(?is)<iframe\b[^>]*?\bsrc\s*=\s*[\"']([^\"']*)[\"']"
-HEAD = r"(?is)<head\b.*?</head>"
-COMMENT = r"(?s)<!--.*?-->"
 TAG = r"(?s)<[^>]*>"
 
 
-def _element(tag: str) -> str:
-    return rf"(?is)<{tag}\b.*?</{tag}\s*>"
-
-
 def decode_entities(c: Column) -> Column:
-    return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
+    """Named entities as text; texts without an ampersand are left alone."""
+    return let(c, lambda v: F.when(F.contains(v, F.lit("&")), reduce(
+        lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), ENTITIES, v)).otherwise(v))
 
 
 def _text_without(html: Column, tags: tuple[str, ...]) -> Column:
-    drop = [HEAD, COMMENT, *(_element(t) for t in tags)]
-    body = reduce(lambda acc, p: F.regexp_replace(acc, p, ""), drop, html)
-    broken = F.regexp_replace(body, rf"(?is)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
+    """Remove elements, break lines at block tags, drop the other tags.
+
+    The head, comments and raw-text elements go in one left-to-right pass, so a
+    tag inside a script is never taken for markup; page furniture follows.
+    """
+    raw = [t for t in tags if t in LIGHT_TAGS]
+    furniture = [t for t in tags if t not in LIGHT_TAGS]
+    body = F.regexp_replace(
+        html, rf"(?is)<head\b.*?</head>|<!--.*?-->|<({'|'.join(raw)})\b.*?</\1\s*>", "")
+    if furniture:
+        body = F.regexp_replace(body, rf"(?is)<({'|'.join(furniture)})\b.*?</\1\s*>", "")
+    broken = F.regexp_replace(body, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
     return decode_entities(F.regexp_replace(broken, TAG, ""))
 
 
@@ -71,16 +76,17 @@ def anchors(html: Column) -> Column:
 
 def first_per_href(links: Column) -> Column:
     """Keep the first entry of every href, order preserved."""
-    hrefs = F.transform(links, lambda x: x["href"])
-    return F.filter(links, lambda x, i: F.array_position(hrefs, x["href"]) == i + 1)
+    return let(links, lambda v: let(F.transform(v, lambda x: x["href"]), lambda hrefs: F.filter(
+        v, lambda x, i: F.array_position(hrefs, x["href"]) == i + 1)))
 
 
 def page_links(anchor_array: Column, base: Column) -> Column:
     """Absolute links, one per href, text cut to 200 characters."""
     usable = F.filter(anchor_array, lambda a: (a["href"] != "") & (a["href"] != "#")
                       & ~a["href"].startswith("javascript"))
-    return first_per_href(F.transform(usable, lambda a: F.struct(
-        resolve(a["href"], base).alias("href"), F.left(a["text"], F.lit(200)).alias("text"))))
+    absolute = let(base_parts(base), lambda b: F.transform(usable, lambda a: F.struct(
+        resolve_parts(a["href"], b).alias("href"), F.left(a["text"], F.lit(200)).alias("text"))))
+    return first_per_href(absolute)
 
 
 def frames(html: Column) -> Column:

@@ -84,29 +84,19 @@ def combined_text(title: Column, description: Column, tags: Column) -> Column:
     return F.lower(F.concat_ws(" ", *parts))
 
 
-def _with_scores(df: DataFrame, role_text: str, text: str, profile: Profile) -> DataFrame:
+def hit_lists(role_text: Column, text: Column, profile: Profile) -> dict[str, Column]:
+    """Hit list per category."""
     matchers = {"any_word_gt3": role_hits, "substring": substring_hits, "whole_word": word_hits}
-    found = {f"{name}_hits": matchers[mode](F.col(role_text if name == "role" else text),
-                                            getattr(profile, terms))
-             for name, terms, mode in CATEGORIES}
-    points = {f"{name}_score": (F.size(F.col(f"{name}_hits")) * WEIGHTS[name]).cast("bigint")
-              for name, _, _ in CATEGORIES}
-    total = reduce(lambda a, b: a + b, [F.col(c) for c in points])
-    return df.withColumns(found).withColumns(points).withColumn("total", total)
-
+    return {f"{name}_hits": matchers[mode](role_text if name == "role" else text,
+                                           getattr(profile, terms))
+            for name, terms, mode in CATEGORIES}
 
-def score_listings(df: DataFrame, profile: Profile) -> DataFrame:
-    """Add hit lists, subtotals and ``total``; roles match the title only."""
-    title = F.lower(F.coalesce("title", F.lit("")))
-    text = combined_text(F.col("title"), F.col("description"), F.col("tags_text"))
-    staged = df.withColumns({"_title": title, "_text": text})
-    return _with_scores(staged, "_title", "_text", profile).drop("_title", "_text")
 
-
-def score_pages(df: DataFrame, profile: Profile) -> DataFrame:
-    """Add hit lists, subtotals and ``total``; all categories match the page text."""
-    staged = df.withColumn("_text", F.lower("text"))
-    return _with_scores(staged, "_text", "_text", profile).drop("_text")
+def points() -> dict[str, Column]:
+    """Subtotals and total from the hit lists."""
+    scores = {f"{name}_score": (F.size(f"{name}_hits") * WEIGHTS[name]).cast("bigint")
+              for name, _, _ in CATEGORIES}
+    return {**scores, "total": reduce(lambda a, b: a + b, scores.values())}
 
 
 def vocabulary_hits(df: DataFrame, id_col: str, role_text: Column, text: Column,

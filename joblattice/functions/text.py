@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -48,6 +49,15 @@ JOB_TYPES = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A lambda that refers to an outer expression evaluates it again for every
+    element; bound here it becomes a variable.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode whitespace (``trim`` alone removes only spaces)."""
     return F.btrim(c, F.lit(WHITESPACE))
@@ -138,11 +148,11 @@ def clean_text(c: Column) -> Column:
 
 def labelled_field(lines_col: Column, label: str) -> Column:
     """The line after the first line equal to ``label`` (case-insensitive)."""
-    wanted = F.filter(
-        F.transform(lines_col, lambda s, i: F.struct(F.lower(s).alias("k"), i.alias("i"))),
-        lambda e: (e["k"] == label.lower()) & (e["i"] + 1 < F.size(lines_col)))
-    at = F.try_element_at(wanted, F.lit(1))["i"]
-    return F.try_element_at(lines_col, at + F.lit(2))
+    def pick(v: Column) -> Column:
+        found = F.filter(v, lambda s, i: (F.lower(s) == label.lower()) & (i + 1 < F.size(v)))
+        at = F.array_position(v, F.try_element_at(found, F.lit(1)))
+        return F.try_element_at(v, F.when(at > 0, at.cast("int") + 1))
+    return let(lines_col, pick)
 
 
 def append_if_absent(tags: Column, value: Column) -> Column:

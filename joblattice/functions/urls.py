@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null
+from .text import blank_to_null, let
 
 # Hosts of known applicant tracking systems.
 ATS_HOST = (
@@ -85,33 +85,43 @@ def canonical_board_url(c: Column) -> Column:
 
 def _without_dots(path: Column) -> Column:
     """Remove ``.`` and ``..`` segments of an absolute path."""
-    segments = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")), F.lit(1)))
-    kept = F.aggregate(
-        segments, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc).otherwise(F.array_append(acc, s)))
-    dir_end = F.element_at(segments, -1).isin(".", "..")
-    body = F.array_join(kept, "/")
-    return F.concat(F.lit("/"), body,
-                    F.when(dir_end & (body != ""), F.lit("/")).otherwise(F.lit("")))
+    def fold(segments: Column) -> Column:
+        kept = F.aggregate(
+            segments, F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1),
+                                                     F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc).otherwise(F.array_append(acc, s)))
+        is_folder = F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0)
+        return F.concat(F.lit("/"), F.array_join(kept, "/"),
+                        F.when(is_folder, F.lit("/")).otherwise(F.lit("")))
+    return let(F.split(F.substr(path, F.lit(2)), "/"), fold)
+
+
+def base_parts(base: Column) -> Column:
+    """What resolving needs of a page address: itself, ``scheme://host``, path, folder, query."""
+    root = F.concat(F.regexp_extract(base, _URL, 1), F.lit("://"), F.regexp_extract(base, _URL, 2))
+    path = F.regexp_extract(base, _URL, 3)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    return F.struct(base.alias("url"), root.alias("root"), path.alias("path"),
+                    folder.alias("folder"), F.regexp_extract(base, r"\?[^#]*", 0).alias("query"))
+
+
+def resolve_parts(href: Column, b: Column) -> Column:
+    """``resolve`` against a page address already taken apart."""
+    path = F.regexp_extract(href, r"(?s)^[^?#]*", 0)
+    rest = F.substr(href, F.length(path) + 1)
+    target = F.when(href.startswith("/"), path).otherwise(F.concat(b["folder"], path))
+    plain = F.concat(b["root"], target, rest)
+    dotted = F.concat(b["root"], _without_dots(target), rest)
+    return (F.when(href.startswith("//"), F.concat(F.lit("https:"), href))
+            .when(href.startswith("http") | href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+            .when(href == "", b["url"])
+            .when(href.startswith("#"), F.concat(b["root"], b["path"], b["query"], href))
+            .when(href.startswith("?"), F.concat(b["root"], b["path"], href))
+            .when(target.rlike(r"/\.\.?(/|$)"), dotted)
+            .otherwise(plain))
 
 
 def resolve(href: Column, base: Column) -> Column:
     """Resolve a link against its page (RFC 3986), ``//host`` becoming https."""
-    scheme, authority = F.regexp_extract(base, _URL, 1), F.regexp_extract(base, _URL, 2)
-    path, query = F.regexp_extract(base, _URL, 3), F.regexp_extract(base, _URL, 4)
-    root = F.concat(scheme, F.lit("://"), authority)
-    directory = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
-    rel_path = F.regexp_extract(href, r"(?s)^[^?#]*", 0)
-    rel_rest = F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
-    target = F.when(rel_path.startswith("/"), rel_path).otherwise(F.concat(directory, rel_path))
-    has_dots = target.rlike(r"/\.\.?(/|$)")
-    cleaned = F.when(has_dots, _without_dots(target)).otherwise(target)
-    base_query = F.when(F.regexp_extract(base, r"(\?)", 1) == "", F.lit("")).otherwise(
-        F.concat(F.lit("?"), query))
-    return (F.when(href.startswith("//"), F.concat(F.lit("https:"), href))
-            .when(href.startswith("http") | href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-            .when(href == "", base)
-            .when(href.startswith("#"), F.concat(root, path, base_query, href))
-            .when(href.startswith("?"), F.concat(root, path, href))
-            .otherwise(F.concat(root, cleaned, rel_rest)))
+    return let(base_parts(base), lambda b: resolve_parts(href, b))

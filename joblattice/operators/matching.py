@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.crawl import is_listing_link, is_success, relevant_page_links
-from ..functions.scoring import Profile, json_list, score_listings, score_pages
+from ..functions.scoring import Profile, combined_text, hit_lists, json_list, points
 from ..functions.text import strip
+from .compute import compute_once
 from .ranking import keep_first
 
 # Truncations of career-page rows and their source name.
@@ -79,16 +80,31 @@ def career_page_rows(records: DataFrame, seq: str = "seq") -> DataFrame:
     return linked.unionByName(placeholder)
 
 
-def _scored(rows: DataFrame, profile: Profile) -> DataFrame:
-    """Score where the row is read and drop the long texts before any shuffle."""
-    return score_listings(rows, profile).select(*LISTING_COLUMNS, *HIT_COLUMNS, *SCORE_COLUMNS)
+def score_listings(rows: DataFrame, profile: Profile) -> DataFrame:
+    """Add hit lists, subtotals and ``total``; roles match the title only.
+
+    The long texts are dropped: scores are computed where the row is read, and
+    no later shuffle carries a description.
+    """
+    text = combined_text(F.col("title"), F.col("description"), F.col("tags_text"))
+    staged = rows.withColumns({"_title": F.lower(F.coalesce("title", F.lit(""))), "_text": text})
+    hits = hit_lists(F.col("_title"), F.col("_text"), profile)
+    return (compute_once(staged.drop("description", "tags_text"), hits).withColumns(points())
+            .drop("_title", "_text"))
+
+
+def score_pages(records: DataFrame, profile: Profile) -> DataFrame:
+    """Add hit lists, subtotals and ``total``; every category matches the page text."""
+    staged = records.withColumn("_text", F.lower("text"))
+    hits = hit_lists(F.col("_text"), F.col("_text"), profile)
+    return compute_once(staged.drop("text"), hits).withColumns(points()).drop("_text")
 
 
 def match_listings(listings: DataFrame, profile: Profile) -> DataFrame:
     """Active listings with a positive score."""
     rows = listing_rows(listings.where(
         "is_active and (description is not null or title is not null)"))
-    return _scored(rows.where(not_excluded(profile)), profile).where(positive())
+    return score_listings(rows.where(not_excluded(profile)), profile).where(positive())
 
 
 def first_seen_urls(rows: DataFrame) -> DataFrame:
@@ -108,9 +124,7 @@ def match_all(listings: DataFrame, pages: DataFrame | None, profile: Profile) ->
     if pages is not None:
         ordered = ordered.unionByName(career_page_rows(pages).withColumn("_side", F.lit(1)))
     kept = ordered.where(not_excluded(profile))
-    scored = score_listings(kept, profile).select(
-        *LISTING_COLUMNS, *HIT_COLUMNS, *SCORE_COLUMNS, "_side")
-    first = keep_first(scored, ["url"], F.col("_side").asc(), F.col("seq").asc())
+    first = keep_first(score_listings(kept, profile), ["url"], F.col("_side").asc(), F.col("seq").asc())
     # One numeric order over both sides, used as the tie-break of ranks.
     order = F.col("_side").cast("bigint") * F.lit(SIDE_SLOTS) + F.col("seq")
     return first.where(positive()).withColumn("seq", order).drop("_side")

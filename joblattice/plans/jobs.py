@@ -15,6 +15,7 @@ from ..functions.scoring import Profile
 from ..functions.text import clean_text
 from ..functions.urls import canonical_board_url
 from ..operators.companies import upsert_companies
+from ..operators.compute import compute_once
 from ..operators.crawl_log import (by_company, merge_recrawl, recovered_count, recrawl_targets,
                                    success_summary)
 from ..operators.dedup import FUZZY_THRESHOLD, dedup_totals, tag_duplicates
@@ -89,10 +90,10 @@ def accept_pages(pages: DataFrame) -> DataFrame:
                                      F.lit("insufficient_content")))
     links = drop_noise_links(H.page_links(H.anchors(F.col("html")), F.col("final_url")))
     none = F.array().cast("array<struct<text:string,href:string>>")
-    return chosen.select(
-        "seq", "company", "careers_url", "final_url",
-        F.when(~ok, error).alias("error"), F.when(ok, F.col("_text")).alias("text"),
-        F.when(ok, links).otherwise(none).alias("links"))
+    records = compute_once(chosen, {
+        "error": F.when(~ok, error), "text": F.when(ok, F.col("_text")),
+        "links": F.when(ok, links).otherwise(none)})
+    return records.select("seq", "company", "careers_url", "final_url", "error", "text", "links")
 
 
 def next_pages(pages: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, lines, name_from_stem, split_list, strip
+from ..functions.text import blank_to_null, let, lines, name_from_stem, split_list, strip
 from ..functions.urls import pick_site_url
 from .boards import union_all
 
@@ -36,9 +36,8 @@ def frontmatter(block: Column) -> Column:
     pairs = F.transform(F.filter(lines(block), lambda s: s.rlike(KEY_LINE)), lambda s: F.struct(
         F.regexp_extract(s, KEY_LINE, 1).alias("k"),
         strip(F.regexp_extract(s, KEY_LINE, 2)).alias("v")))
-    keys = F.transform(pairs, lambda p: p["k"])
-    last = F.filter(pairs, lambda p, i: ~F.exists(
-        F.slice(keys, i + 2, F.size(keys)), lambda k: k == p["k"]))
+    last = let(pairs, lambda v: let(F.transform(v, lambda p: p["k"]), lambda keys: F.filter(
+        v, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["k"]))))
     return F.map_from_entries(last)
 
 
