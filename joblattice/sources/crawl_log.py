@@ -33,11 +33,14 @@ def read_successes(spark: SparkSession, path: str, lines_path: str) -> DataFrame
         return successes(read_crawl_lines(spark, lines_path))
 
 
-def read_tolerant(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a log that may be missing or damaged; damaged documents give no rows."""
+def read_tolerant(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Records of a log that may be missing or damaged; damaged documents give no rows.
+
+    A document is a whole file, or a line with ``multi_line=False``.
+    """
     schema = T.StructType([*CRAWL_RECORD.fields, T.StructField(_CORRUPT, T.StringType())])
     try:
-        raw = (spark.read.schema(schema).option("multiLine", True)
+        raw = (spark.read.schema(schema).option("multiLine", multi_line)
                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
                .json(path))
     except AnalysisException as exc:
