@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_listings", "q_matching", "q_crawl")
+_MODULES = ("q_listings", "q_matching", "q_crawl", "q_scalars")
 
 
 def load() -> None:

@@ -63,23 +63,13 @@ def _(spark, d):
     return read_tolerant(spark, path, multi_line=False).select("company", "careers_url", "error")
 
 
-@query("k4_write_crawl_log", E + "SELECT row_number() OVER (ORDER BY lower(company), seq) AS pos, company, seq "
-       "FROM errlog")
+@query("k4_write_crawl_log", E + "SELECT company, seq, error FROM errlog")
 def _(spark, d):
     from joblattice.session import new_folder
     from joblattice.sinks.files import write_crawl_log
     path = new_folder(spark, "crawl-sorted")
     write_crawl_log(V.error_log(spark, d), path)
-    back = spark.read.schema("company string, seq bigint").json(path)
-    rows = back.withColumn("low", F.lower("company"))
-    # Position by counting smaller keys per company, then rows inside the company.
-    sizes = rows.groupBy("low").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-    before = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    inside = Window.partitionBy("low").orderBy("seq")
-    return (rows.withColumn("rn", F.row_number().over(inside)).join(offsets, "low")
-            .select((F.col("off") + F.col("rn")).cast("bigint").alias("pos"), "company", "seq"))
+    return spark.read.schema("company string, seq bigint, error string").json(path)
 
 
 @query("f10_crawl_success", E + f"SELECT seq, company FROM errlog WHERE {OK}")

@@ -33,3 +33,13 @@ def iso_as_utc(c: Column) -> Column:
     """Canonical ISO text whose offset is replaced (not converted) by UTC."""
     shown, _, valid = _parts(c)
     return F.when(valid, F.concat(shown, F.lit("+00:00"))).otherwise(c)
+
+
+def iso_seconds(c: Column) -> Column:
+    """UTC timestamp as ISO text with seconds and ``Z``."""
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+
+
+def utc_now() -> Column:
+    """Moment of the running query; stamp it once at ingest and pass it on as a value."""
+    return F.current_timestamp()
