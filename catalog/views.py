@@ -42,8 +42,11 @@ def epoch(name: str, out: str | None = None) -> Column:
 
 
 def listings(spark: SparkSession, d: str) -> DataFrame:
+    return shape_listings(table(spark, d, "documents"))
+
+
+def shape_listings(docs: DataFrame) -> DataFrame:
     """Documents as listings: the first sentence is the title, the text the description."""
-    docs = table(spark, d, "documents")
     n, lang = F.col("n_chars"), F.col("lang")
     first_line = F.substring_index("text", "\n", 1)
     title = strip(F.substring_index(first_line, ".", 1))

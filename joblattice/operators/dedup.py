@@ -11,6 +11,8 @@ from ..functions.similarity import (allowed_indel, lcs_length_udf, length_band,
                                     score_from_indel, signature, signature_distance,
                                     sorted_tokens)
 from ..functions.text import strip
+from ..session import cut_lineage
+from .compute import compute_once
 
 # Score from which two listings count as the same, and how much of
 # the company name must occur in the stored one.
@@ -19,6 +21,8 @@ COMPANY_PREFIX = 20
 
 # Stored rows one join task buffers per key; larger groups are split.
 CELL_ROWS = 20_000
+# Joint length from which the bit-parallel exact count beats a Levenshtein test.
+LONG_TEXTS = 4_000
 
 
 def company_key(company: Column) -> Column:
@@ -80,65 +84,81 @@ def contained_in(keys: DataFrame, names: DataFrame) -> DataFrame:
 class _Sides:
     new: DataFrame          # a, key, name, band, cell and signature
     old: DataFrame          # b, name, band, cell and signature
-    condition: Column
+
+
+def _distinct_new(batch: DataFrame) -> DataFrame:
+    return batch.select(sorted_tokens(F.col("title"), F.col("company")).alias("a"),
+                        company_key(F.col("company")).alias("key")).distinct()
+
+
+def _distinct_old(stored: DataFrame) -> DataFrame:
+    return (stored.where("is_active")
+            .select(sorted_tokens(F.col("title"), F.col("company")).alias("b"),
+                    F.lower("company").alias("name")).distinct())
 
 
 def _candidate_sides(new: DataFrame, old: DataFrame, threshold: int, cell_rows: int) -> _Sides:
     """Both sides keyed so that every matching pair meets in exactly one task.
 
     Keys are the stored company, a length band (lengths of a matching pair differ
-    by less than 28 %) and a cell that splits large stored groups. The join
-    condition compares signatures and Levenshtein distance inside the join, so
-    only near matches leave it.
+    by less than 28 %) and a cell that splits large stored groups. The distinct
+    texts are materialised: several joins read them.
     """
-    pairs = contained_in(new.select("key").distinct(),
-                         old.select(F.col("b_company").alias("name")).distinct())
-    old_side = (old.withColumnRenamed("b_company", "name")
-                .withColumn("band", length_band(F.length("b"), threshold)))
-    sizes = (old_side.groupBy("name", "band").agg(F.count(F.lit(1)).alias("n"))
+    own = length_band(F.length("a"), threshold)
+    new = cut_lineage(new.withColumns({"band": own, **_words("a")}))
+    old = cut_lineage(old.withColumns({"band": length_band(F.length("b"), threshold),
+                                       **_words("b")}))
+    pairs = contained_in(new.select("key").distinct(), old.select("name").distinct())
+    sizes = (old.groupBy("name", "band").agg(F.count(F.lit(1)).alias("n"))
              .select("name", "band", F.ceil(F.col("n") / cell_rows).cast("int").alias("cells")))
-    old_side = (old_side.join(sizes, ["name", "band"])
+    old_side = (old.join(sizes, ["name", "band"])
                 .withColumn("cell", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int"))
-                .drop("cells")
-                .withColumns({f"b{i}": w for i, w in enumerate(signature(F.col("b")))}))
-    own = length_band(F.length("a"), threshold)
-    new_side = (new.withColumns({f"a{i}": w for i, w in enumerate(signature(F.col("a")))})
-                .join(pairs, "key")
-                .withColumn("band", F.explode(F.array(own - 1, own, own + 1)))
+                .drop("cells"))
+    near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
+    new_side = (new.join(pairs, "key").withColumn("band", F.explode(near))
                 .join(sizes, ["name", "band"])
                 .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
                 .drop("cells"))
-    total = F.length("a") + F.length("b")
-    condition = signature_distance([F.col(f"a{i}") for i in range(4)],
-                                   [F.col(f"b{i}") for i in range(4)]) <= allowed_indel(
-                                       total, threshold)
-    return _Sides(new_side, old_side, condition)
+    return _Sides(new_side, old_side)
+
+
+def _words(name: str) -> dict[str, Column]:
+    return {f"{name}{i}": word for i, word in enumerate(signature(F.col(name)))}
+
+
+def _allowed(threshold: int) -> Column:
+    return allowed_indel(F.length("a") + F.length("b"), threshold)
 
 
-def _join(sides: _Sides, extra: Column, how: str) -> DataFrame:
+def _join(sides: _Sides, extra: Column, threshold: int, how: str) -> DataFrame:
+    """Join with the cheap tests inside, so only near matches leave it."""
     new, old = sides.new.alias("l"), sides.old.alias("r")
+    bits = signature_distance([F.col(f"a{i}") for i in range(4)],
+                              [F.col(f"b{i}") for i in range(4)])
     on = ((F.col("l.name") == F.col("r.name")) & (F.col("l.band") == F.col("r.band"))
-          & (F.col("l.cell") == F.col("r.cell")) & sides.condition & extra)
+          & (F.col("l.cell") == F.col("r.cell")) & (bits <= _allowed(threshold)) & extra)
     return new.join(old, on, how)
 
 
-def _distinct_new(batch: DataFrame) -> DataFrame:
-    return batch.select(sorted_tokens(F.col("title"), F.col("company")).alias("a"),
-                        company_key(F.col("company")).alias("key")).distinct()
+def _within(limit: Column) -> Column:
+    """Levenshtein distance of ``a`` and ``b`` is at most ``limit``."""
+    bound = limit.cast("int")
+    distance = F.call_function("levenshtein", F.col("a"), F.col("b"), bound)
+    return (F.col("a") == F.col("b")) | ((bound > 0) & (distance >= 0))
 
 
-def _distinct_old(stored: DataFrame) -> DataFrame:
-    return (stored.where("is_active")
-            .select(sorted_tokens(F.col("title"), F.col("company")).alias("b"),
-                    F.lower("company").alias("b_company")).distinct())
+def _maybe(threshold: int) -> Column:
+    """No similar pair fails this; very long texts are left to the exact count."""
+    long_texts = F.length("a") + F.length("b") > LONG_TEXTS
+    return long_texts | _within(_allowed(threshold))
 
 
 def _exact_pairs(joined: DataFrame, threshold: int) -> DataFrame:
     total = F.length("a") + F.length("b")
     lcs = lcs_length_udf()(F.col("a"), F.col("b"))
-    return (joined.select("a", "key", "b", F.col("r.name").alias("b_company"))
-            .withColumn("indel", total - 2 * lcs)
-            .where(F.col("indel") <= allowed_indel(total, threshold))
+    pairs = joined.select("a", "key", "b", F.col("r.name").alias("b_company"))
+    counted = compute_once(pairs, {"indel": total - 2 * lcs})
+    return (counted.where(F.col("indel") <= _allowed(threshold))
             .withColumn("similarity", score_from_indel(F.col("indel"), total)).drop("indel"))
 
 
@@ -150,8 +170,7 @@ def fuzzy_matches(batch: DataFrame, stored: DataFrame, threshold: int = FUZZY_TH
     back on (``b``, ``b_company``) for the stored rows.
     """
     sides = _candidate_sides(_distinct_new(batch), _distinct_old(stored), threshold, cell_rows)
-    close = F.levenshtein("a", "b") <= allowed_indel(F.length("a") + F.length("b"), threshold)
-    return _exact_pairs(_join(sides, close, "inner"), threshold)
+    return _exact_pairs(_join(sides, _maybe(threshold), threshold, "inner"), threshold)
 
 
 def fuzzy_keys(new: DataFrame, stored: DataFrame, threshold: int, cell_rows: int) -> DataFrame:
@@ -162,11 +181,12 @@ def fuzzy_keys(new: DataFrame, stored: DataFrame, threshold: int, cell_rows: int
     texts go through the exact count.
     """
     sides = _candidate_sides(new, _distinct_old(stored), threshold, cell_rows)
-    allowed = allowed_indel(F.length("a") + F.length("b"), threshold)
-    distance = F.levenshtein("a", "b")
-    sure = _join(sides, 2 * distance <= allowed, "left_semi").select("a", "key").distinct()
+    half = F.floor(_allowed(threshold) / 2)
+    short = F.length("a") + F.length("b") <= LONG_TEXTS
+    clear = (F.col("a") == F.col("b")) | (short & _within(half))
+    sure = cut_lineage(_join(sides, clear, threshold, "left_semi").select("a", "key").distinct())
     open_side = sides.new.join(sure, ["a", "key"], "left_anti")
-    undecided = _join(_Sides(open_side, sides.old, sides.condition), distance <= allowed, "inner")
+    undecided = _join(_Sides(open_side, sides.old), _maybe(threshold), threshold, "inner")
     return sure.unionByName(_exact_pairs(undecided, threshold).select("a", "key").distinct())
 
 
