@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_listings", "q_matching", "q_crawl", "q_scalars", "q_merge")
+_MODULES = ("q_listings", "q_matching", "q_crawl", "q_scalars", "q_merge", "q_sources")
 
 
 def load() -> None:
