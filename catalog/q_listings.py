@@ -57,7 +57,7 @@ _F2 = f"({_like('title', 'tion')} OR {_like('description', 'tion')} OR {_tag_lik
 
 @query("f2_free_text", W + f"SELECT {BRIEF} FROM listings WHERE {_F2}")
 def _(spark, d):
-    return _brief(V.listings(spark, d).where(L.matches_query("TION")))
+    return _brief(V.text_listings(spark, d).where(L.matches_query("TION")))
 
 
 @query("f3_source", W + f"SELECT {BRIEF} FROM listings WHERE source = 'src7'")
@@ -78,7 +78,7 @@ def _(spark, d):
 @query("f6_search", W + f"SELECT {BRIEF}, scraped AS date_scraped FROM listings WHERE is_active "
        f"AND {_F2} AND {_like('location', 'remote')} AND salary_max >= 20000 {NEWEST} LIMIT 50")
 def _(spark, d):
-    found = L.search(V.listings(spark, d), "tion", remote_only=True, salary_min=20000)
+    found = L.search(V.text_listings(spark, d), "tion", remote_only=True, salary_min=20000)
     return found.select("id", "title", "company", "url", V.epoch("date_scraped"))
 
 

@@ -69,7 +69,7 @@ HITS_SQL = ", ".join(f"array_to_string({h}, ',') AS {h}" for h in HITS)
 
 def _lines(spark, d):
     """Active listings with lower-cased title and text."""
-    rows = M.listing_rows(V.listings(spark, d).where("is_active"))
+    rows = M.listing_rows(V.text_listings(spark, d).where("is_active"))
     return rows.select("seq", F.lower("title").alias("tl"), SC.combined_text(
         F.col("title"), F.col("description"), F.col("tags_text")).alias("tx"))
 
@@ -103,7 +103,7 @@ def _(spark, d):
 @query("c38_truncations", f"WITH {S.LISTINGS} SELECT id, substr(title, 1, 200) AS title, "
        "md5(substr(description, 1, 2000)) AS head, substr(title, 1, 80) AS cell FROM listings")
 def _(spark, d):
-    return V.listings(spark, d).select(
+    return V.text_listings(spark, d).select(
         "id", F.left("title", F.lit(M.PAGE_TITLE_CHARS)).alias("title"),
         F.md5(F.left("description", F.lit(M.PAGE_TEXT_CHARS))).alias("head"),
         F.left("title", F.lit(RP.REPORT_TITLE_CHARS)).alias("cell"))
@@ -111,12 +111,12 @@ def _(spark, d):
 
 @query("c39_json_list", f"WITH {S.LISTINGS} SELECT id, {TAGS} AS tags_text FROM listings")
 def _(spark, d):
-    return V.listings(spark, d).select("id", SC.json_list(F.col("tags")).alias("tags_text"))
+    return V.text_listings(spark, d).select("id", SC.json_list(F.col("tags")).alias("tags_text"))
 
 
 @query("a11_listing_score", LW + f"SELECT seq, {HITS_SQL}, CAST(total AS BIGINT) AS total FROM {SCORED}")
 def _(spark, d):
-    rows = M.listing_rows(V.listings(spark, d).where("is_active"))
+    rows = M.listing_rows(V.text_listings(spark, d).where("is_active"))
     out = M.score_listings(rows, P)
     return out.select("seq", *_flat(out, *HITS), "total")
 
@@ -133,33 +133,33 @@ def _(spark, d):
 @query("f13_excluded_companies", f"WITH {S.LISTINGS} SELECT id, company FROM listings "
        f"WHERE lower(trim(company)) NOT IN ({EXCLUDED})")
 def _(spark, d):
-    return V.listings(spark, d).where(M.not_excluded(P)).select("id", "company")
+    return V.text_listings(spark, d).where(M.not_excluded(P)).select("id", "company")
 
 
 @query("f14_positive_scores", LW + f"SELECT seq, CAST(total AS BIGINT) AS total FROM {SCORED} WHERE total > 0")
 def _(spark, d):
-    rows = M.listing_rows(V.listings(spark, d).where("is_active"))
+    rows = M.listing_rows(V.text_listings(spark, d).where("is_active"))
     return M.score_listings(rows, P).where(M.positive()).select("seq", "total")
 
 
 @query("w2_rank_all", LW + f"SELECT seq, CAST(total AS BIGINT) AS total, "
        f"row_number() OVER (ORDER BY total DESC, seq) AS rank FROM {MATCHED}")
 def _(spark, d):
-    matches = M.match_listings(V.listings(spark, d), P).select("seq", "total")
+    matches = M.match_listings(V.text_listings(spark, d), P).select("seq", "total")
     return R.rank_all(matches, "total", "seq").select("seq", "total", "rank")
 
 
 @query("o4_top_scores", LW + f"SELECT seq, CAST(total AS BIGINT) AS total FROM {MATCHED} "
        "ORDER BY total DESC, seq LIMIT 30")
 def _(spark, d):
-    matches = M.match_listings(V.listings(spark, d), P).select("seq", "total")
+    matches = M.match_listings(V.text_listings(spark, d), P).select("seq", "total")
     return R.top_k(matches, 30, F.col("total").desc(), F.col("seq").asc())
 
 
 @query("o6_list_prefix", LW + f"SELECT seq, array_to_string(keyword_hits[1:2], ',') AS keywords "
        f"FROM {SCORED}")
 def _(spark, d):
-    rows = M.listing_rows(V.listings(spark, d).where("is_active"))
+    rows = M.listing_rows(V.text_listings(spark, d).where("is_active"))
     return M.score_listings(rows, P).select(
         "seq", F.array_join(RP.list_prefix(F.col("keyword_hits"), 2), ",").alias("keywords"))
 
@@ -179,19 +179,19 @@ def _report(src: str, empty: str, sep: str) -> str:
 
 @query("k7_listing_report", LW + _report(MATCHED, "—", " – "))
 def _(spark, d):
-    return RP.listing_match_report(M.match_listings(V.listings(spark, d), P), "—", " – ")
+    return RP.listing_match_report(M.match_listings(V.text_listings(spark, d), P), "—", " – ")
 
 
 @query("p7_listing_matching", LW + _report(MATCHED, "—", " – "))
 def _(spark, d):
-    return J.listing_matching(V.listings(spark, d), P)
+    return J.listing_matching(V.text_listings(spark, d), P)
 
 
 @query("k10_listing_summary", LW + "SELECT row_number() OVER (ORDER BY total DESC, seq) AS rank, "
        "CAST(total AS BIGINT) AS score, substr(company, 1, 29) AS company, substr(title, 1, 39) AS title, "
        f"source FROM {MATCHED} ORDER BY rank LIMIT 10")
 def _(spark, d):
-    return RP.listing_summary(M.match_listings(V.listings(spark, d), P))
+    return RP.listing_summary(M.match_listings(V.text_listings(spark, d), P))
 
 
 # --- crawled pages and the unified match -------------------------------------------------
@@ -259,14 +259,14 @@ UNIFIED = (f"(SELECT * REPLACE (side * {1 << 60} + seq AS seq) FROM "
 @query("u1_union_rows", f"WITH {ALL_ROWS} SELECT source, count(*) AS n, count(DISTINCT url) AS urls "
        "FROM all_rows GROUP BY source")
 def _(spark, d):
-    rows = M.listing_rows(V.listings(spark, d).where("is_active")).unionByName(
+    rows = M.listing_rows(V.text_listings(spark, d).where("is_active")).unionByName(
         M.career_page_rows(V.crawl_log(spark, d)))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("urls"))
 
 
 @query("w7_first_seen_urls", f"WITH {ALL_ROWS} SELECT CAST(seq AS BIGINT) AS seq, url, source FROM first_urls")
 def _(spark, d):
-    rows = (M.listing_rows(V.listings(spark, d).where("is_active")).withColumn("side", F.lit(0))
+    rows = (M.listing_rows(V.text_listings(spark, d).where("is_active")).withColumn("side", F.lit(0))
             .unionByName(M.career_page_rows(V.crawl_log(spark, d)).withColumn("side", F.lit(1))))
     kept = rows.where(M.not_excluded(P)).select("seq", "url", "source", "side")
     return R.keep_first(kept, ["url"], F.col("side"), F.col("seq")).drop("side")
@@ -274,14 +274,14 @@ def _(spark, d):
 
 @query("p8_unified_matching", f"WITH {ALL_ROWS} " + _report(UNIFIED, "", " - "))
 def _(spark, d):
-    return J.unified_matching(V.listings(spark, d), V.crawl_log(spark, d), P)
+    return J.unified_matching(V.text_listings(spark, d), V.crawl_log(spark, d), P)
 
 
 @query("k10_unified_summary", f"WITH {ALL_ROWS} SELECT row_number() OVER (ORDER BY total DESC, seq) AS rank, "
        "CAST(total AS BIGINT) AS score, substr(company, 1, 24) AS company, substr(title, 1, 50) AS title, "
        f"substr(source, 1, 13) AS source FROM {UNIFIED} ORDER BY rank LIMIT 15")
 def _(spark, d):
-    return RP.unified_summary(M.match_all(V.listings(spark, d), V.crawl_log(spark, d), P))
+    return RP.unified_summary(M.match_all(V.text_listings(spark, d), V.crawl_log(spark, d), P))
 
 
 PAGES_SCORED = scored(f"(SELECT *, lower(text) AS tx FROM good WHERE lower(company) NOT IN ({EXCLUDED}))",

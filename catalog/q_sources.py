@@ -71,7 +71,7 @@ def array_payloads(spark, d):
     full = F.concat(F.lit('[{"legal": "meta"}, '), first, F.lit(", "), second, F.lit("]"))
     payload = (F.when(prio == "1-URGENT", F.lit('{"error": "busy"}'))
                .when(prio == "2-HIGH", F.lit('[{"legal": "meta"}]')).otherwise(full))
-    return V.table(spark, d, "orders").select("o_orderkey", payload.alias("payload"))
+    return V.spread_table(spark, d, "orders", "o_orderkey").select("o_orderkey", payload.alias("payload"))
 
 
 _S7_ALL = """SELECT o_orderkey, CAST(1 AS BIGINT) AS pos, CAST(o_orderkey AS VARCHAR) AS external_id, 'Order ' || o_orderkey AS title,
@@ -105,7 +105,7 @@ def object_payloads(spark, d):
         F.when(F.col("p_size") >= 10, F.concat(F.lit("https://o/"), key)).otherwise(" ").alias("url"),
         F.lit("u,v").alias("tags"), F.lit("w").alias("category"))
     payload = F.concat(F.lit('{"jobs": ['), F.to_json(job), F.lit(", "), F.to_json(other), F.lit("]}"))
-    return V.table(spark, d, "part").select("p_partkey", payload.alias("payload"))
+    return V.spread_table(spark, d, "part", "p_partkey").select("p_partkey", payload.alias("payload"))
 
 
 _S8_ALL = """SELECT p_partkey, CAST(0 AS BIGINT) AS pos, CAST(p_partkey AS VARCHAR) AS external_id, p_name AS title, p_brand AS company,
@@ -303,7 +303,7 @@ def category_pages(spark, d):
     html = F.concat(F.lit('<section class="jobs"><article><ul>'), one, two,
                     F.lit('<li><a href="/other">More</a></li></ul></article></section>'))
     path = F.concat(F.lit("/categories/remote-"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")), F.lit("-jobs"))
-    return V.table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), path.alias("cat_path"), html.alias("html"))
+    return V.spread_table(spark, d, "part", "p_partkey").select(F.col("p_partkey").alias("page_id"), path.alias("cat_path"), html.alias("html"))
 
 
 _CAT = S.title_case("lower(p_type)")

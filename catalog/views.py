@@ -10,6 +10,7 @@ from joblattice.functions.crawl import drop_noise_links
 from joblattice.functions.scoring import Profile
 from joblattice.functions.text import clean_text, dedup_hash, strip
 from joblattice.operators.compute import compute_once
+from joblattice.sources.snapshots import read_spread
 
 AS_OF = 1704067200           # 2024-01-01 00:00:00 UTC
 
@@ -29,6 +30,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    """Scan for jobs that parse every row, spread over all cores."""
+    return read_spread(spark, f"{d}/{name}.parquet", key)
+
+
 def hours_after(c: Column) -> Column:
     return F.timestamp_seconds(F.lit(AS_OF) + c * 3600)
 
@@ -45,6 +51,11 @@ def listings(spark: SparkSession, d: str) -> DataFrame:
     return shape_listings(table(spark, d, "documents"))
 
 
+def text_listings(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows for jobs that work through the whole texts."""
+    return shape_listings(spread_table(spark, d, "documents", "doc_id"))
+
+
 def shape_listings(docs: DataFrame) -> DataFrame:
     """Documents as listings: the first sentence is the title, the text the description."""
     n, lang = F.col("n_chars"), F.col("lang")
@@ -81,11 +92,15 @@ def known_listings(spark: SparkSession, d: str) -> DataFrame:
     return listings(spark, d).join(labelled, "id", "left_semi")
 
 
+def _located(p: DataFrame) -> DataFrame:
+    """Add the number and the host of the url."""
+    return compute_once(p, {"num": F.regexp_extract("url", r"/(\d+)", 1).cast("bigint"),
+                            "company": F.regexp_extract("url", r"^https?://([^/]+)", 1)})
+
+
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages as fetched sites; frames, board links and noise links are added by url number."""
-    num = F.regexp_extract("url", r"/(\d+)", 1).cast("bigint")
-    p = table(spark, d, "pages").withColumns({
-        "num": num, "company": F.regexp_extract("url", r"^https?://([^/]+)", 1)})
+    p = _located(spread_table(spark, d, "pages", "page_id"))
     n, text = F.col("num"), F.col("num").cast("string")
 
     def cat(*parts: str | Column) -> Column:
@@ -135,7 +150,8 @@ def crawl_log(spark: SparkSession, d: str) -> DataFrame:
 
 def error_log(spark: SparkSession, d: str) -> DataFrame:
     """Crawl records without links, for diagnostics (reads the url column only)."""
-    p = pages(spark, d)
+    p = _located(table(spark, d, "pages")).select(
+        F.col("page_id").alias("seq"), "num", "company", F.col("url").alias("careers_url"))
     n = F.col("num")
     error = _error(n, F.col("careers_url"))
     return p.select("seq", "num", "company", "careers_url", error.alias("error"),

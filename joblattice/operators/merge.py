@@ -52,13 +52,18 @@ def _accepted(candidates: DataFrame) -> DataFrame:
         first_hash = pending.groupBy("key").agg(F.min("seq").alias("seq"))
         first_ext = (pending.where(F.col("external_id").isNotNull())
                      .groupBy("source", "external_id").agg(F.min("seq").alias("seq")))
-        winners = pending.join(first_hash.select("seq"), "seq", "left_semi")
-        winners = winners.join(first_ext.select("seq", F.lit(True).alias("_ext")), "seq", "left")
-        winners = cut_lineage(winners.where(F.col("external_id").isNull() | F.col("_ext"))
-                              .drop("_ext"))
+        marked = (pending.join(first_hash.select("seq", F.lit(True).alias("_hash")), "seq", "left")
+                  .join(first_ext.select("seq", F.lit(True).alias("_ext")), "seq", "left"))
+        wins = F.col("_hash").isNotNull() & (F.col("_ext").isNotNull()
+                                             | F.col("external_id").isNull())
+        marked = cut_lineage(marked.withColumn("wins", wins).drop("_hash", "_ext"))
+        winners = marked.where("wins").drop("wins")
+        losers = marked.where("not wins").drop("wins")
         accepted = winners if accepted is None else accepted.unionByName(winners)
+        if losers.isEmpty():
+            return accepted
         pending = cut_lineage(
-            pending.join(winners.select("key"), "key", "left_anti")
+            losers.join(winners.select("key"), "key", "left_anti")
             .join(winners.select("source", "external_id"), ["source", "external_id"],
                   "left_anti"))
         if pending.isEmpty():
@@ -73,7 +78,8 @@ def upsert_listings(stored: DataFrame, batch: DataFrame) -> UpsertResult:
     The result equals handling the rows one by one in ``seq`` order.
     """
     keyed = batch.withColumn("key", _row_key())
-    narrow = keyed.select("seq", "key", "source", "external_id", "date_scraped")
+    # Only keys and times pass through the rounds; the full rows are read once, at the end.
+    narrow = cut_lineage(keyed.select("seq", "key", "source", "external_id", "date_scraped"))
 
     known = (stored.where(F.coalesce(F.col("dedup_hash"), F.lit("")) != "")
              .select(F.col("dedup_hash").alias("key")).distinct())
@@ -82,7 +88,7 @@ def upsert_listings(stored: DataFrame, batch: DataFrame) -> UpsertResult:
     candidates = (narrow.groupBy("key", "source", "external_id").agg(F.min("seq").alias("seq"))
                   .join(known, "key", "left_anti")
                   .join(taken, ["source", "external_id"], "left_anti"))
-    accepted = _accepted(cut_lineage(candidates))
+    accepted = _accepted(candidates)
 
     since = (known.select("key", F.lit(-1).cast("bigint").alias("since"))
              .unionByName(accepted.select("key", F.col("seq").alias("since"))))

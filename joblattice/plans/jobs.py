@@ -22,6 +22,7 @@ from ..operators.dedup import FUZZY_THRESHOLD, dedup_totals, tag_duplicates
 from ..operators.matching import match_all, match_listings, match_pages
 from ..operators.merge import UpsertResult, upsert_listings
 from ..sinks.reports import failure_report, listing_match_report, page_match_report
+from ..session import cut_lineage
 from ..sources.directories import union_directories
 
 
@@ -51,7 +52,8 @@ def ingest_feeds(stored: DataFrame, feeds: dict[str, Callable[[], DataFrame]]) -
     batch = good[0]
     for other in good[1:]:
         batch = batch.unionByName(other, allowMissingColumns=True)
-    result = upsert_listings(stored, batch)
+    # Parsed once; the merge reads the batch for its keys and again for its rows.
+    result = upsert_listings(stored, cut_lineage(batch))
     runs = result.counts().select(
         "source", "jobs_found", "jobs_new", F.lit("completed").alias("status"),
         F.lit(None).cast("string").alias("error_message"))

@@ -20,6 +20,8 @@ def build_session(app_name: str = "joblattice", master: str | None = None,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # No Python call sites in plans: they dominate the build time of wide expressions.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(extra or {})
     for key, value in settings.items():

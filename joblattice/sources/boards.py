@@ -13,6 +13,7 @@ from ..functions.text import (blank_to_null, category_name, dedup_hash, labelled
                               location_from_tags, split_spans, split_title_company, strip,
                               stripped_lines)
 from ..functions.urls import absolutize, resolve
+from ..operators.compute import compute_once
 from ..operators.ranking import keep_first
 
 # Source names and site addresses.
@@ -25,6 +26,7 @@ LINE_CARDS = ("trueup", "https://www.trueup.io")
 # Markup of one posting on the category pages.
 POSTING_LINK = (r"(?is)<a\b[^>]*?\bclass\s*=\s*\"[^\"]*\blisting-link--(?:un)?locked\b[^\"]*\"[^>]*>"
                 r".*?</a>")
+POSTING_HREF = r"(?is)^<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\""
 TITLE_CLASS = "new-listing__header__title__text"
 COMPANY_CLASS = "new-listing__company-name"
 PLACE_CLASS = "new-listing__company-headquarters"
@@ -71,15 +73,13 @@ def parse_category_pages(pages: DataFrame, html: str = "html", path: str = "cat_
     source, base = CATEGORY_BOARD
     items = pages.select(page_key, path, F.posexplode(
         F.regexp_extract_all(F.col(html), F.lit(POSTING_LINK), F.lit(0))).alias("pos", "item"))
-    fields = items.select(
-        page_key, path, "pos",
-        decode_entities(F.regexp_extract("item", r"(?is)^<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\"", 1))
-        .alias("href"),
-        _one(F.col("item"), TITLE_CLASS).alias("title"),
-        _one(F.col("item"), COMPANY_CLASS).alias("company"),
-        _one(F.col("item"), PLACE_CLASS).alias("place"),
-        F.transform(F.regexp_extract_all("item", F.lit(_by_class(SPAN_CLASS)), F.lit(1)),
-                    inner_text).alias("spans"))
+    item = F.col("item")
+    fields = compute_once(items, {
+        "href": decode_entities(F.regexp_extract(item, POSTING_HREF, 1)),
+        "title": _one(item, TITLE_CLASS), "company": _one(item, COMPANY_CLASS),
+        "place": _one(item, PLACE_CLASS),
+        "spans": F.transform(F.regexp_extract_all(item, F.lit(_by_class(SPAN_CLASS)), F.lit(1)),
+                             inner_text)}).drop("item")
     usable = fields.where((F.col("href") != "") & ~F.col("href").startswith("javascript")
                           & (F.col("title") != "") & (F.col("company") != ""))
     job_type, tags = split_spans(F.col("spans"))
@@ -100,9 +100,9 @@ def parse_text_cards(cards: DataFrame, seq: str = "seq") -> DataFrame:
     source, base = TEXT_CARDS
     first = keep_first(cards.where(F.coalesce("href", F.lit("")) != ""), ["href"],
                        F.col(seq).asc())
-    rows = (first.withColumn("_lines", stripped_lines(F.coalesce("text", F.lit(""))))
+    rows = (compute_once(first, {"_lines": stripped_lines(F.coalesce("text", F.lit("")))})
             .where(F.size("_lines") > 0)
-            .withColumn("_title", F.element_at("_lines", 1)))
+            .withColumn("_title", F.try_element_at("_lines", F.lit(1))))
     rows = rows.where((F.length("_title") >= 4) & ~F.lower("_title").isin(*NAV_TITLES))
     line = F.col("_lines")
     lo, hi = parse_int_range(labelled_field(line, "Salary"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, let, lines, name_from_stem, split_list, strip
 from ..functions.urls import pick_site_url
+from ..operators.compute import compute_once
 from .boards import union_all
 
 # Directory names in load order, stop names, and the two entry patterns.
@@ -50,7 +51,7 @@ def crawl_targets(files: DataFrame) -> DataFrame:
 
     The caller sorts by ``file_name`` where order matters.
     """
-    fields = files.withColumn("f", frontmatter(frontmatter_block(F.col("text"))))
+    fields = compute_once(files, {"f": frontmatter(frontmatter_block(F.col("text")))})
     stem = F.regexp_replace("file_name", r"\.md$", "")
     url = pick_site_url(_value(F.col("f"), "careers_url"), _value(F.col("f"), "website"))
     return fields.select(
@@ -71,8 +72,8 @@ def _company(df: DataFrame, keep, source: str, **cols: Column) -> DataFrame:
 def parse_profile_files(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Company records of frontmatter files; every ``- item`` line is a tech entry."""
     block = frontmatter_block(F.col("text"))
-    parsed = (files.withColumn("_block", block).where(F.col("_block").isNotNull())
-              .withColumn("_f", frontmatter(F.col("_block"))))
+    parsed = compute_once(files, {"_block": block}).where(F.col("_block").isNotNull())
+    parsed = compute_once(parsed, {"_f": frontmatter(F.col("_block"))})
     f = F.col("_f")
     rows = parsed.where(F.coalesce(_value(f, "title"), F.lit("")) != "")
     return _company(rows, keep, SOURCES[0], name=_value(f, "title"), website=_value(f, "website"),

@@ -9,6 +9,7 @@ from ..functions.dates import iso_as_utc, iso_keep_offset
 from ..functions.money import parse_amount, parse_k_range
 from ..functions.text import append_if_absent, blank_to_null, dedup_hash, split_list, strip
 from ..functions.urls import absolutize
+from ..operators.compute import compute_once
 
 # Source names and site addresses of the two feeds.
 ARRAY_FEED = ("remoteok", "https://remoteok.com")
@@ -43,8 +44,8 @@ def parse_array_feed(payloads: DataFrame, payload: str = "payload",
     source, base = ARRAY_FEED
     elements = F.from_json(F.col(payload), "array<string>")
     entries = (payloads.select(*keep, F.posexplode(elements).alias("pos", "raw_data"))
-               .where(F.col("pos") > 0)
-               .withColumn("e", F.from_json("raw_data", _ENTRY)))
+               .where(F.col("pos") > 0))
+    entries = compute_once(entries, {"e": F.from_json("raw_data", _ENTRY)})
 
     def field(name: str) -> Column:
         return F.try_element_at(F.col("e"), F.lit(name))
@@ -79,8 +80,8 @@ def parse_object_feed(payloads: DataFrame, payload: str = "payload",
     """Feed whose payload is ``{"jobs": [...]}``."""
     source, _ = OBJECT_FEED
     jobs = F.from_json(F.col(payload), "struct<jobs:array<string>>")["jobs"]
-    entries = (payloads.select(*keep, F.posexplode(jobs).alias("pos", "raw_data"))
-               .withColumn("e", F.from_json("raw_data", _ENTRY)))
+    entries = payloads.select(*keep, F.posexplode(jobs).alias("pos", "raw_data"))
+    entries = compute_once(entries, {"e": F.from_json("raw_data", _ENTRY)})
 
     def field(name: str) -> Column:
         return F.try_element_at(F.col("e"), F.lit(name))
