@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.crawl import categorize, is_failure, is_success
@@ -72,7 +72,7 @@ def failure_samples(records: DataFrame, seq: str, k: int = SAMPLES_PER_CATEGORY)
         F.broadcast(sizes), "category")
 
 
-def progress_metrics(records: DataFrame, name: str = "progress") -> DataFrame:
+def progress_metrics(records: DataFrame, name: str | Observation = "progress") -> DataFrame:
     """Attach running totals to a job (read them from the query listener or Observation)."""
     return records.observe(name, F.count(F.lit(1)).alias("completed"),
                            F.count_if(is_failure(F.col("error"))).alias("errors"))
