@@ -11,6 +11,9 @@ from ..session import cut_lineage
 
 INSERT, TOUCH, IGNORED = "insert", "touch", "ignored"
 
+# Largest number of key rows (under 100 bytes each) that is broadcast.
+BROADCAST_ROWS = 500_000
+
 
 @dataclass(frozen=True)
 class UpsertResult:
@@ -39,6 +42,10 @@ def _row_key() -> Column:
                       F.concat(F.lit("row:"), F.col("seq").cast("string")))
 
 
+def _hinted(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
 def _accepted(candidates: DataFrame) -> DataFrame:
     """Rows a first-come-first-served insert would accept under both unique keys.
 
@@ -81,12 +88,18 @@ def upsert_listings(stored: DataFrame, batch: DataFrame) -> UpsertResult:
     # Only keys and times pass through the rounds; the full rows are read once, at the end.
     narrow = cut_lineage(keyed.select("seq", "key", "source", "external_id", "date_scraped"))
 
-    known = (stored.where(F.coalesce(F.col("dedup_hash"), F.lit("")) != "")
-             .select(F.col("dedup_hash").alias("key")).distinct())
-    taken = (stored.where(F.col("external_id").isNotNull())
-             .select("source", "external_id").distinct())
-    candidates = (narrow.groupBy("key", "source", "external_id").agg(F.min("seq").alias("seq"))
-                  .join(known, "key", "left_anti")
+    groups = cut_lineage(narrow.groupBy("key", "source", "external_id")
+                         .agg(F.min("seq").alias("seq")))
+    # A small batch is sent to the store, so the store is scanned but never shuffled.
+    small = groups.count() <= BROADCAST_ROWS
+    keys = _hinted(groups.select("key").distinct(), small)
+    ids = _hinted(groups.select("source", "external_id").distinct(), small)
+    known = cut_lineage(stored.where(F.col("dedup_hash") != "")
+                        .select(F.col("dedup_hash").alias("key"))
+                        .join(keys, "key", "left_semi").distinct())
+    taken = (stored.select("source", "external_id")
+             .join(ids, ["source", "external_id"], "left_semi").distinct())
+    candidates = (groups.join(known, "key", "left_anti")
                   .join(taken, ["source", "external_id"], "left_anti"))
     accepted = _accepted(candidates)
 
@@ -98,8 +111,11 @@ def upsert_listings(stored: DataFrame, batch: DataFrame) -> UpsertResult:
     seen = (labels.where(F.col("label") != IGNORED).groupBy("key")
             .agg(F.max_by("date_scraped", "seq").alias("last_seen")))
 
+    # ``seen`` has at most one row per key of the batch.
+    seen = cut_lineage(seen)
+    touched = _hinted(seen.withColumnRenamed("key", "dedup_hash"), small)
     refreshed = (
-        stored.join(seen.withColumnRenamed("key", "dedup_hash"), "dedup_hash", "left")
+        stored.join(touched, "dedup_hash", "left")
         .withColumns({"date_scraped": F.coalesce("last_seen", "date_scraped"),
                       "is_active": F.col("last_seen").isNotNull() | F.col("is_active")})
         .select(*stored.columns))

@@ -18,6 +18,8 @@ def build_session(app_name: str = "joblattice", master: str | None = None,
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split a skewed key even where the next operator then needs its own shuffle.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # No Python call sites in plans: they dominate the build time of wide expressions.
