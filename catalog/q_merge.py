@@ -85,9 +85,8 @@ def _(spark, d):
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
     stream = V.shape_listings(docs)
     stored = V.listings(spark, d).drop("seq").limit(0)
-    running = I.ingest_listings(stream, root + "/snapshots", root + "/log", stored)
-    running.awaitTermination()
-    return _shape(I.latest_snapshot(spark, root + "/snapshots", running))
+    I.ingest_listings(stream, root + "/store", root + "/log", stored).awaitTermination()
+    return _shape(I.current_listings(spark, root + "/store", stored))
 
 
 _COMPANY_COLS = ("website", "careers_url", "description", "size", "remote_policy", "source")

@@ -357,8 +357,8 @@ def _(spark, d):
 def _(spark, d):
     # Category pages keep the first url over all pages, paged results only within a page.
     pages = category_pages(spark, d)
-    low, high = pages.where("page_id < 1000"), pages.where("page_id >= 1000")
-    whole = B.parse_category_pages(B.union_all([low, high]))
+    economy = F.col("cat_path").contains("economy")
+    whole = B.parse_category_pages(B.union_all([pages.where(economy), pages.where(~economy)]))
     paged = B.parse_titled_cards(titled_cards(spark, d), page="page")
     return (whole.select(F.lit("categories").alias("part")).unionByName(paged.select(F.lit("paged").alias("part")))
             .groupBy("part").agg(F.count(F.lit(1)).alias("n")))

@@ -203,7 +203,9 @@ def tag_duplicates(batch: DataFrame, stored: DataFrame, threshold: int = FUZZY_T
     open_rows = marked.where(F.col("_exact").isNull())
     if skip_unknown:
         open_rows = open_rows.where(F.col("company") != "Unknown")
-    similar = fuzzy_keys(_distinct_new(open_rows), stored, threshold, cell_rows).withColumnsRenamed(
+    # Few, narrow rows; kept, so that every reader of the tags finds them done.
+    similar = cut_lineage(fuzzy_keys(_distinct_new(open_rows), stored, threshold, cell_rows))
+    similar = similar.withColumnsRenamed(
         {"a": "_a", "key": "_key"}).withColumn("_fuzzy", F.lit(True))
     keyed = marked.withColumns({"_a": sorted_tokens(F.col("title"), F.col("company")),
                                 "_key": company_key(F.col("company"))})

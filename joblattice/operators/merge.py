@@ -77,17 +77,36 @@ def _accepted(candidates: DataFrame) -> DataFrame:
             return accepted
 
 
-def upsert_listings(stored: DataFrame, batch: DataFrame) -> UpsertResult:
-    """Merge a batch (unique, increasing ``seq``) into the stored listings.
+@dataclass(frozen=True)
+class Resolution:
+    """What a batch does to a store, in key-sized tables."""
 
-    A row whose hash is known only refreshes ``date_scraped`` and reactivates the
-    listing; any other row is inserted unless its (source, external_id) is taken.
-    The result equals handling the rows one by one in ``seq`` order.
+    keyed: DataFrame        # batch rows with their merge key
+    labels: DataFrame       # seq, source, label
+    accepted: DataFrame     # seq of the rows to insert
+    seen: DataFrame         # key, last_seen: stored or inserted keys met by the batch
+    small: bool             # key tables may be broadcast
+
+    def inserted(self) -> DataFrame:
+        """New rows, dated by the last batch row that touched them."""
+        rows = self.keyed.join(_hinted(self.accepted, self.small), "seq", "left_semi")
+        return (rows.join(_hinted(self.seen, self.small), "key", "left")
+                .withColumns({"date_scraped": F.coalesce("last_seen", "date_scraped"),
+                              "is_active": F.lit(True)})
+                .drop("key", "last_seen", "seq"))
+
+
+def resolve_batch(stored: DataFrame, batch: DataFrame) -> Resolution:
+    """Decide insert, touch or ignore for every row of a batch (unique, increasing ``seq``).
+
+    Only the key columns of the store are read. A row whose hash is known
+    refreshes its listing; any other row is inserted unless its
+    (source, external_id) is taken. The outcome equals handling the rows one by
+    one in ``seq`` order.
     """
     keyed = batch.withColumn("key", _row_key())
     # Only keys and times pass through the rounds; the full rows are read once, at the end.
     narrow = cut_lineage(keyed.select("seq", "key", "source", "external_id", "date_scraped"))
-
     groups = cut_lineage(narrow.groupBy("key", "source", "external_id")
                          .agg(F.min("seq").alias("seq")))
     # A small batch is sent to the store, so the store is scanned but never shuffled.
@@ -107,25 +126,28 @@ def upsert_listings(stored: DataFrame, batch: DataFrame) -> UpsertResult:
              .unionByName(accepted.select("key", F.col("seq").alias("since"))))
     label = (F.when(F.col("since") == F.col("seq"), F.lit(INSERT))
              .when(F.col("since") < F.col("seq"), F.lit(TOUCH)).otherwise(F.lit(IGNORED)))
-    labels = narrow.join(since, "key", "left").withColumn("label", label)
-    seen = (labels.where(F.col("label") != IGNORED).groupBy("key")
-            .agg(F.max_by("date_scraped", "seq").alias("last_seen")))
+    labels = narrow.join(_hinted(since, small), "key", "left").withColumn("label", label)
+    seen = cut_lineage(labels.where(F.col("label") != IGNORED).groupBy("key")
+                       .agg(F.max_by("date_scraped", "seq").alias("last_seen")))
+    return Resolution(keyed, labels.select("seq", "source", "label"), accepted.select("seq"),
+                      seen, small)
 
-    # ``seen`` has at most one row per key of the batch.
-    seen = cut_lineage(seen)
+
+def refresh(stored: DataFrame, seen: DataFrame, small: bool = False) -> DataFrame:
+    """Stored listings with the time of their last sighting; a sighting reactivates."""
     touched = _hinted(seen.withColumnRenamed("key", "dedup_hash"), small)
-    refreshed = (
-        stored.join(touched, "dedup_hash", "left")
-        .withColumns({"date_scraped": F.coalesce("last_seen", "date_scraped"),
-                      "is_active": F.col("last_seen").isNotNull() | F.col("is_active")})
-        .select(*stored.columns))
-    inserted = (
-        keyed.join(accepted.select("seq"), "seq", "left_semi").join(seen, "key", "left")
-        .withColumns({"date_scraped": F.coalesce("last_seen", "date_scraped"),
-                      "is_active": F.lit(True)})
-        .drop("key", "last_seen", "seq"))
-    snapshot = refreshed.unionByName(inserted, allowMissingColumns=True).select(*stored.columns)
-    return UpsertResult(snapshot, labels.select("seq", "source", "label"))
+    return (stored.join(touched, "dedup_hash", "left")
+            .withColumns({"date_scraped": F.coalesce("last_seen", "date_scraped"),
+                          "is_active": F.col("last_seen").isNotNull() | F.col("is_active")})
+            .select(*stored.columns))
+
+
+def upsert_listings(stored: DataFrame, batch: DataFrame) -> UpsertResult:
+    """Merge a batch into the stored listings: new snapshot and row labels."""
+    done = resolve_batch(stored, batch)
+    snapshot = refresh(stored, done.seen, done.small).unionByName(
+        done.inserted(), allowMissingColumns=True).select(*stored.columns)
+    return UpsertResult(snapshot, done.labels)
 
 
 def run_log(starts: DataFrame, finishes: DataFrame) -> DataFrame:

@@ -56,6 +56,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared folder; survives the loss of executors.
+
+    Unlike a checkpointed plan the table is columnar (later passes read only their
+    columns) and its size is known to the planner.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,55 +1,87 @@
-"""Incremental ingest: each micro-batch is merged into the newest snapshot.
+"""Incremental ingest: every micro-batch is merged as if rows arrived one by one.
 
-Snapshots are numbered by batch id below one folder. A batch that is replayed
-after a failure starts again from the snapshot before it and replaces its own
-unfinished folder, so the result does not depend on retries.
+Listings are append-only on disk: a batch adds its new rows and its sightings,
+never rewriting the store. It reads only the key columns of earlier batches, so
+its cost follows the batch. Tables are partitioned by batch id; a batch that is
+replayed after a failure reads the batches before it and replaces its own
+folders, so the result does not depend on retries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.companies import upsert_companies
-from ..operators.merge import upsert_listings
+from ..operators.merge import refresh, resolve_batch
 
+_SIGHTINGS = T.StructType([T.StructField("key", T.StringType()),
+                           T.StructField("last_seen", T.TimestampType())])
 
-def snapshot_path(root: str, batch_id: int) -> str:
-    return f"{root.rstrip('/')}/snapshot-{batch_id:012d}"
 
+def _folder(root: str, table: str, batch_id: int) -> str:
+    return f"{root.rstrip('/')}/{table}/batch_id={batch_id}"
 
-def _merge_into(root: str, empty: DataFrame,
-                merge: Callable[[DataFrame, DataFrame], DataFrame]):
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = empty if batch_id == 0 else spark.read.parquet(snapshot_path(root, batch_id - 1))
-        merge(stored, batch).write.mode("overwrite").parquet(snapshot_path(root, batch_id))
-    return handle
+
+def _read(spark: SparkSession, root: str, table: str, schema: T.StructType,
+          before: int | None = None) -> DataFrame:
+    """Rows of all batches, or of the batches before one (partition pruning)."""
+    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    if before == 0:
+        return spark.createDataFrame([], with_batch)
+    rows = spark.read.schema(with_batch).parquet(f"{root.rstrip('/')}/{table}")
+    return rows if before is None else rows.where(F.col("batch_id") < before)
 
 
-def _run(stream: DataFrame, root: str, checkpoint: str, empty: DataFrame, merge) -> StreamingQuery:
-    return (stream.writeStream.foreachBatch(_merge_into(root, empty, merge))
-            .option("checkpointLocation", checkpoint)
+def _start(stream: DataFrame, checkpoint: str, handle) -> StreamingQuery:
+    return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def ingest_listings(stream: DataFrame, root: str, checkpoint: str,
-                    empty: DataFrame) -> StreamingQuery:
-    """Merge a stream of listings (with ``seq``) batch by batch; ends when the input is read."""
-    return _run(stream, root, checkpoint, empty,
-                lambda stored, batch: upsert_listings(stored, batch).snapshot)
+                    base: DataFrame) -> StreamingQuery:
+    """Merge a stream of listings (with ``seq``) onto ``base``; ends when the input is read."""
+    schema = base.schema
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        keys = ["dedup_hash", "source", "external_id"]
+        earlier = _read(batch.sparkSession, root, "listings", schema, before=batch_id)
+        stored = base.select(*keys).unionByName(earlier.select(*keys))
+        done = resolve_batch(stored, batch)
+        (done.inserted().select(*base.columns).write.mode("overwrite")
+         .parquet(_folder(root, "listings", batch_id)))
+        done.seen.write.mode("overwrite").parquet(_folder(root, "sightings", batch_id))
+
+    return _start(stream, checkpoint, handle)
 
 
-def ingest_companies(stream: DataFrame, root: str, checkpoint: str, empty: DataFrame,
+def current_listings(spark: SparkSession, root: str, base: DataFrame) -> DataFrame:
+    """Listings after all batches. Write the result as the next base to compact the store."""
+    added = _read(spark, root, "listings", base.schema).drop("batch_id")
+    last = (_read(spark, root, "sightings", _SIGHTINGS).groupBy("key")
+            .agg(F.max_by("last_seen", "batch_id").alias("last_seen")))
+    return refresh(base.unionByName(added), last)
+
+
+def ingest_companies(stream: DataFrame, root: str, checkpoint: str, base: DataFrame,
                      seq: str = "seq") -> StreamingQuery:
-    """Merge a stream of company records batch by batch."""
-    return _run(stream, root, checkpoint, empty,
-                lambda stored, batch: upsert_companies(stored, batch, seq))
+    """Merge a stream of company records onto ``base``.
+
+    A batch adds its rows as they are; ``seq`` increases over the whole stream.
+    """
+    columns = [*base.columns, seq]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        (batch.select(*columns).write.mode("overwrite")
+         .parquet(_folder(root, "companies", batch_id)))
+
+    return _start(stream, checkpoint, handle)
 
 
-def latest_snapshot(spark: SparkSession, root: str, query: StreamingQuery) -> DataFrame:
-    """Snapshot written by the last batch of a finished query."""
-    progress = query.lastProgress
-    return spark.read.parquet(snapshot_path(root, progress["batchId"]))
+def current_companies(spark: SparkSession, root: str, base: DataFrame,
+                      seq: str = "seq") -> DataFrame:
+    """Companies after all batches."""
+    schema = T.StructType([*base.schema.fields, T.StructField(seq, T.LongType())])
+    return upsert_companies(base, _read(spark, root, "companies", schema), seq)

@@ -123,7 +123,7 @@ def test_stream_equals_batch_by_batch(spark, tmp_path):
     for df in frames:
         want = upsert_listings(want, df).snapshot
     cols = ["id", "dedup_hash", "date_scraped", "is_active"]
-    got = I.latest_snapshot(spark, str(tmp_path / "snap"), query)
+    got = I.current_listings(spark, str(tmp_path / "snap"), empty)
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
     assert got.count() == 3
 
@@ -139,7 +139,7 @@ def test_company_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     query = I.ingest_companies(stream, str(tmp_path / "snap"), str(tmp_path / "log"), empty)
     query.awaitTermination()
-    got = I.latest_snapshot(spark, str(tmp_path / "snap"), query).first()
+    got = I.current_companies(spark, str(tmp_path / "snap"), empty).first()
     want = upsert_companies(empty, spark.createDataFrame(rows, schema)).first()
     assert (got["website"], got["careers_url"], got["tech_stack"]) == (want["website"], want["careers_url"], want["tech_stack"])
 
