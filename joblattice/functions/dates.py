@@ -36,8 +36,9 @@ def iso_as_utc(c: Column) -> Column:
 
 
 def iso_seconds(c: Column) -> Column:
-    """UTC timestamp as ISO text with seconds and ``Z``."""
-    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    """Timestamp as ISO text in UTC with seconds and ``Z``, whatever the session zone."""
+    utc = F.convert_timezone(None, F.lit("UTC"), c)
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
 
 
 def utc_now() -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.crawl import is_listing_link, is_success, relevant_page_links
 from ..functions.scoring import Profile, combined_text, hit_lists, json_list, points
-from ..functions.text import strip
+from ..functions.text import blank_to_null, strip
 from .compute import compute_once
 from .ranking import keep_first
 
@@ -50,34 +50,31 @@ def listing_rows(listings: DataFrame) -> DataFrame:
 def career_page_rows(records: DataFrame, seq: str = "seq") -> DataFrame:
     """One row per posting link of a crawled page, or one for a page without any link.
 
-    A page whose links were all filtered away yields nothing. Link order is kept:
-    ``seq`` numbers pages first, links second.
+    A page whose links were all filtered away yields nothing. Both cases come out
+    of one pass over the pages. Link order is kept: ``seq`` numbers pages first,
+    links second.
     """
     pages = records.where(is_success(F.col("error"), F.col("text")))
     links = F.coalesce("links", F.array().cast("array<struct<text:string,href:string>>"))
-    described = pages.withColumns({
-        "_links": links, "_base": F.col(seq) * PAGE_SLOTS,
-        "description": F.left("text", F.lit(PAGE_TEXT_CHARS))})
-
-    def shape(df: DataFrame, title: Column, url: Column, pos: Column) -> DataFrame:
-        nothing = F.lit(None)
-        return df.select(
-            (F.col("_base") + pos).cast("bigint").alias("seq"), title.alias("title"), "company",
-            url.alias("url"), F.lit(PAGE_SOURCE).alias("source"),
-            nothing.cast("string").alias("location"),
-            nothing.cast("bigint").alias("salary_min"),
-            nothing.cast("bigint").alias("salary_max"), "description",
-            F.lit("").alias("tags_text"))
-
-    postings = F.filter("_links", lambda x: is_listing_link(x["text"], x["href"]))
-    posting = described.select("*", F.posexplode(postings).alias("_pos", "_link"))
-    linked = shape(posting, F.left(strip(F.col("_link.text")), F.lit(PAGE_TITLE_CHARS)),
-                   F.col("_link.href"), F.col("_pos"))
-    bare = described.where(F.size("_links") == 0)
-    placeholder = shape(bare, F.concat(F.lit("Careers at "), F.col("company")),
-                        F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")),
-                                   F.col("careers_url")), F.lit(0))
-    return linked.unionByName(placeholder)
+    placeholder = F.struct(
+        F.concat(F.lit("Careers at "), F.col("company")).alias("title"),
+        F.coalesce(blank_to_null(F.col("final_url")), F.col("careers_url")).alias("url"))
+    postings = F.transform(
+        F.filter(links, lambda x: is_listing_link(x["text"], x["href"])),
+        lambda x: F.struct(F.left(strip(x["text"]), F.lit(PAGE_TITLE_CHARS)).alias("title"),
+                           x["href"].alias("url")))
+    entries = F.when(F.size(links) == 0, F.array(placeholder)).otherwise(postings)
+    exploded = pages.select(
+        (F.col(seq) * PAGE_SLOTS).alias("_base"), "company",
+        F.left("text", F.lit(PAGE_TEXT_CHARS)).alias("description"),
+        F.posexplode(entries).alias("_pos", "_entry"))
+    return exploded.select(
+        (F.col("_base") + F.col("_pos")).cast("bigint").alias("seq"), "_entry.title", "company",
+        "_entry.url", F.lit(PAGE_SOURCE).alias("source"),
+        F.lit(None).cast("string").alias("location"),
+        F.lit(None).cast("bigint").alias("salary_min"),
+        F.lit(None).cast("bigint").alias("salary_max"), "description",
+        F.lit("").alias("tags_text"))
 
 
 def score_listings(rows: DataFrame, profile: Profile) -> DataFrame:
