@@ -150,7 +150,7 @@ _HASH = f"substr(sha256({S.strip('lower(title)')} || '|' || {S.strip('lower(comp
 
 
 def retitled(spark, d):
-    rows = V.listings(spark, d)
+    rows = V.text_listings(spark, d)
     lang = F.element_at("tags", 1)
     title = (F.when(lang == "en", F.concat("title", F.lit(" ii")))
              .when(lang == "de", F.concat(F.lit("Neu "), F.col("title"))).otherwise(F.col("title")))

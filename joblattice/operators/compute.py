@@ -1,4 +1,4 @@
-"""Compute expensive columns exactly once."""
+"""Compute expensive columns exactly once; broadcast only what was counted."""
 
 from __future__ import annotations
 
@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Largest number of key rows (under 100 bytes each) that is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialised table of narrow rows, marked for broadcast if it has few."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``withColumns`` for costly expressions that later filters refer to.
 

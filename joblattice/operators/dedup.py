@@ -12,7 +12,7 @@ from ..functions.similarity import (allowed_indel, lcs_length_udf, length_band,
                                     sorted_tokens)
 from ..functions.text import strip
 from ..session import cut_lineage
-from .compute import compute_once
+from .compute import BROADCAST_ROWS, broadcast_if_small, compute_once
 
 # Score from which two listings count as the same, and how much of
 # the company name must occur in the stored one.
@@ -41,18 +41,16 @@ def not_exact_duplicates(batch: DataFrame, stored: DataFrame) -> DataFrame:
 def find_fuzzy_duplicates(stored: DataFrame, title: str, company: str,
                           threshold: int = FUZZY_THRESHOLD) -> DataFrame:
     """Active stored listings similar to one given listing (a filtered scan)."""
-    a = sorted_tokens(F.lit(title), F.lit(company))
-    scored = (stored.where(F.col("is_active") & F.contains(F.lower("company"),
-                                                           company_key(F.lit(company))))
-              .withColumn("_a", a)
-              .withColumn("_b", sorted_tokens(F.col("title"), F.col("company"))))
-    total = F.length("_a") + F.length("_b")
-    allowed = allowed_indel(total, threshold)
-    near = scored.where(F.levenshtein("_a", "_b") <= allowed)
-    indel = total - 2 * lcs_length_udf()(F.col("_a"), F.col("_b"))
-    return (near.withColumn("_indel", indel).where(F.col("_indel") <= allowed)
+    candidates = stored.where(
+        F.col("is_active") & F.contains(F.lower("company"), company_key(F.lit(company))))
+    texts = compute_once(candidates, {
+        "a": sorted_tokens(F.lit(title), F.lit(company)),
+        "b": sorted_tokens(F.col("title"), F.col("company"))}).where(_maybe(threshold))
+    total = F.length("a") + F.length("b")
+    counted = compute_once(texts, {"indel": total - 2 * lcs_length_udf()(F.col("a"), F.col("b"))})
+    return (counted.where(F.col("indel") <= _allowed(threshold))
             .select("id", "title", "company", "source", "url",
-                    score_from_indel(F.col("_indel"), total).alias("similarity")))
+                    score_from_indel(F.col("indel"), total).alias("similarity")))
 
 
 def _grams(c: Column, n: int) -> Column:
@@ -91,13 +89,18 @@ def _distinct_new(batch: DataFrame) -> DataFrame:
                         company_key(F.col("company")).alias("key")).distinct()
 
 
-def _distinct_old(stored: DataFrame) -> DataFrame:
-    return (stored.where("is_active")
-            .select(sorted_tokens(F.col("title"), F.col("company")).alias("b"),
-                    F.lower("company").alias("name")).distinct())
+def _texts_of(stored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Distinct texts of the active listings whose company occurs in ``pairs``."""
+    rows = stored.where("is_active").select("title", "company", F.lower("company").alias("name"))
+    names = pairs.select("name").distinct()
+    if pairs.count() <= BROADCAST_ROWS:           # else nearly every company is wanted
+        rows = rows.join(F.broadcast(names), "name", "left_semi")
+    return rows.select(sorted_tokens(F.col("title"), F.col("company")).alias("b"),
+                       "name").distinct()
 
 
-def _candidate_sides(new: DataFrame, old: DataFrame, threshold: int, cell_rows: int) -> _Sides:
+def _candidate_sides(new: DataFrame, stored: DataFrame, threshold: int,
+                     cell_rows: int) -> _Sides:
     """Both sides keyed so that every matching pair meets in exactly one task.
 
     Keys are the stored company, a length band (lengths of a matching pair differ
@@ -106,9 +109,10 @@ def _candidate_sides(new: DataFrame, old: DataFrame, threshold: int, cell_rows:
     """
     own = length_band(F.length("a"), threshold)
     new = cut_lineage(new.withColumns({"band": own, **_words("a")}))
-    old = cut_lineage(old.withColumns({"band": length_band(F.length("b"), threshold),
-                                       **_words("b")}))
-    pairs = contained_in(new.select("key").distinct(), old.select("name").distinct())
+    names = stored.where("is_active").select(F.lower("company").alias("name")).distinct()
+    pairs = cut_lineage(contained_in(new.select("key").distinct(), names))
+    old = cut_lineage(_texts_of(stored, pairs).withColumns({
+        "band": length_band(F.length("b"), threshold), **_words("b")}))
     sizes = (old.groupBy("name", "band").agg(F.count(F.lit(1)).alias("n"))
              .select("name", "band", F.ceil(F.col("n") / cell_rows).cast("int").alias("cells")))
     old_side = (old.join(sizes, ["name", "band"])
@@ -119,6 +123,11 @@ def _candidate_sides(new: DataFrame, old: DataFrame, threshold: int, cell_rows:
                 .join(sizes, ["name", "band"])
                 .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
                 .drop("cells"))
+    if old.count() <= BROADCAST_ROWS:
+        # The work follows the compared pairs, not the bytes: spread the probing side.
+        conf = new.sparkSession.conf
+        new_side = new_side.repartition(int(conf.get("spark.sql.shuffle.partitions")), "a")
+        old_side = F.broadcast(old_side)
     return _Sides(new_side, old_side)
 
 
@@ -169,7 +178,7 @@ def fuzzy_matches(batch: DataFrame, stored: DataFrame, threshold: int = FUZZY_TH
     Works on distinct comparison strings; copies of a listing count once. Join
     back on (``b``, ``b_company``) for the stored rows.
     """
-    sides = _candidate_sides(_distinct_new(batch), _distinct_old(stored), threshold, cell_rows)
+    sides = _candidate_sides(_distinct_new(batch), stored, threshold, cell_rows)
     return _exact_pairs(_join(sides, _maybe(threshold), threshold, "inner"), threshold)
 
 
@@ -180,7 +189,7 @@ def fuzzy_keys(new: DataFrame, stored: DataFrame, threshold: int, cell_rows: int
     settles the clear matches without listing their pairs, and only the undecided
     texts go through the exact count.
     """
-    sides = _candidate_sides(new, _distinct_old(stored), threshold, cell_rows)
+    sides = _candidate_sides(new, stored, threshold, cell_rows)
     half = F.floor(_allowed(threshold) / 2)
     short = F.length("a") + F.length("b") <= LONG_TEXTS
     clear = (F.col("a") == F.col("b")) | (short & _within(half))
@@ -197,15 +206,18 @@ def tag_duplicates(batch: DataFrame, stored: DataFrame, threshold: int = FUZZY_T
     ``skip_unknown`` leaves listings of the placeholder company "Unknown" out of
     the fuzzy comparison.
     """
-    known = (stored.select("dedup_hash").distinct()
-             .withColumn("_exact", F.lit(True)))
+    # Small batches are sent to the store and the answers back, so neither is shuffled.
+    hashes = broadcast_if_small(cut_lineage(batch.select("dedup_hash").distinct()))
+    known = cut_lineage(stored.select("dedup_hash").join(hashes, "dedup_hash", "left_semi")
+                        .distinct())
+    known = broadcast_if_small(known).withColumn("_exact", F.lit(True))
     marked = batch.join(known, "dedup_hash", "left")
     open_rows = marked.where(F.col("_exact").isNull())
     if skip_unknown:
         open_rows = open_rows.where(F.col("company") != "Unknown")
     # Few, narrow rows; kept, so that every reader of the tags finds them done.
     similar = cut_lineage(fuzzy_keys(_distinct_new(open_rows), stored, threshold, cell_rows))
-    similar = similar.withColumnsRenamed(
+    similar = broadcast_if_small(similar).withColumnsRenamed(
         {"a": "_a", "key": "_key"}).withColumn("_fuzzy", F.lit(True))
     keyed = marked.withColumns({"_a": sorted_tokens(F.col("title"), F.col("company")),
                                 "_key": company_key(F.col("company"))})

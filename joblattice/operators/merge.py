@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .compute import BROADCAST_ROWS
 
 INSERT, TOUCH, IGNORED = "insert", "touch", "ignored"
 
-# Largest number of key rows (under 100 bytes each) that is broadcast.
-BROADCAST_ROWS = 500_000
-
 
 @dataclass(frozen=True)
 class UpsertResult:
