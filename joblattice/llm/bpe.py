@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from joblattice.llm.common import map_batches, prepare, spread, texts_of
 
-#: Distinct words remembered by a Python worker; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: Distinct words a Python worker remembers, twice at most (an older generation stays).
+REMEMBERED = 300_000
 
 # White space as the vocabulary file's pattern sees it, and characters that
 # Python also splits at though that pattern does not.
@@ -66,6 +66,7 @@ class MergeCounter:
         self.word = regex.compile(WORD_PATTERN)
         self.space = regex.compile(f"[{FILE_SPACE}]+")
         self.seen: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def symbol_count(self, word: str) -> int:
         """Tokens of one piece: symbols less merges."""
@@ -112,12 +113,15 @@ class MergeCounter:
                     heapq.heappush(agenda, (rank, h, parts[h], joined))
         return made
 
-    def _chunk(self, chunk: str) -> int:
-        """Tokens of a run without white space."""
+    def pieces(self, chunk: str) -> list[str]:
+        """Pieces of a run without white space, within which merges stay."""
         text = unicodedata.normalize("NFC", chunk)
         # One character at a time, as the file's lower-casing has no final sigma.
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        return sum(map(self.symbol_count, self.word.findall(text)))
+        return self.word.findall(text)
+
+    def _chunk(self, chunk: str) -> int:
+        return sum(map(self.symbol_count, self.pieces(chunk)))
 
     def _plain(self, text: str) -> int:
         if any(c in text for c in PYTHON_ONLY_SPACE):
@@ -128,9 +132,12 @@ class MergeCounter:
         for chunk in chunks:
             n = seen.get(chunk)
             if n is None:
-                n = self._chunk(chunk)
+                n = self.older.get(chunk)
+                if n is None:
+                    n = self._chunk(chunk)
                 if len(seen) >= REMEMBERED:
-                    seen.clear()
+                    self.older, self.seen = seen, {}
+                    seen = self.seen
                 if len(chunk) <= 64:
                     seen[chunk] = n
             total += n

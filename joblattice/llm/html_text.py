@@ -227,6 +227,8 @@ def labelled_pages() -> list[str]:
             f"<form><p>-{_words(5)}</p></form>",
             f"<div id=content>{named}<div class=share-links>-{_words(3)}</div></div><div class=comments>"
             f"<p>-{_words(45)}</p><p>-{_words(20)}</p></div><div class=cookie-notice>-{_words(25)}</div>",
+            f"<article>{named}</article>",
+            f"<p>-{_words(4)}</p><main>{named}</main><p>-{_words(7)}</p><p>-{_words(3)}</p>",
             f"<article>{named}<div class=comments><p>-{_words(60)}</p><p>-{_words(2)}</p></div>"
             f"<nav><p>-{_words(20)}</p></nav></article>",
             f"<ul>{_links(1, 2, 1, 3).replace('>word', '>-word')}</ul>{plain}<div>-{_words(3)}</div>"

@@ -25,8 +25,12 @@ from joblattice.llm import bpe
 from joblattice.llm.common import map_batches, prepare, spread, texts_of, with_position
 from joblattice.session import cut_lineage
 
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers, twice at most (an older generation stays).
+REMEMBERED = 300_000
+
+#: Rows of one matrix of pieces that are merged together; longer chunks go to the library.
+MERGED_ROWS = 4_000
+LONG_CHUNK = 32
 
 Plan = list[tuple[int, list[int]]]            # (number of sequences, lengths in order)
 
@@ -184,39 +188,128 @@ def packing_plan(counts: dict[int, int], size: int) -> Plan:
 # --- the job ----------------------------------------------------------------------------
 
 class _Ids:
-    """Token ids of texts as little-endian 32-bit bytes, remembered by chunk."""
+    """Token ids of texts as little-endian 32-bit bytes, remembered by chunk.
+
+    New chunks of a batch are merged together as rows of one matrix: each round joins the
+    lowest-ranked pair (leftmost first) of every row. Long pieces and texts that hold
+    special strings go through the library; both give the library's ids.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.space = bpe.counter(path).space
+        self.rules = bpe.counter(path)
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        symbols = self.rules.symbols
+        self.inner = np.array([vocab[c] for c in symbols], dtype=np.int64)
+        self.final = np.array([vocab[c + self.rules.end] for c in symbols], dtype=np.int64)
+        pairs = [(vocab[a] << 32 | vocab[b], rank, vocab[a + b])
+                 for (a, b), rank in self.rules.ranks.items()]
+        pairs.sort()
+        table = np.array(pairs, dtype=np.int64)
+        self.keys, self.rank = table[:, 0].copy(), table[:, 1].copy()
+        self.joined = np.zeros(len(pairs) + 1, dtype=np.int64)
+        self.joined[self.rank] = table[:, 2]
+        self.never = len(pairs)
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (right >= 0), self.rank[at], self.never)
+
+    def merge_rows(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece; rows of one matrix, padded by -1."""
+        size = np.array([len(p) for p in pieces])
+        width = int(size.max()) + 1
+        flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        ids = np.full((len(pieces), width), -1, dtype=np.int64)
+        inside = np.arange(width) < size[:, None]
+        ids[inside] = self.inner[flat]
+        ends = np.cumsum(size) - 1
+        ids[np.arange(len(pieces)), size - 1] = self.final[flat[ends]]
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        rows = np.arange(len(pieces))
+        while len(rows):
+            at = np.argmin(ranks[rows], axis=1)
+            low = ranks[rows, at]
+            going = low < self.never
+            rows, at, low = rows[going], at[going], low[going]
+            if not len(rows):
+                break
+            mine, my_ranks = ids[rows], ranks[rows]
+            behind = np.arange(1, width) > at[:, None]
+            shifted = np.full_like(mine, -1)
+            shifted[:, :-1] = mine[:, 1:]
+            mine[:, 1:] = np.where(behind, shifted[:, 1:], mine[:, 1:])
+            mine[np.arange(len(rows)), at] = self.joined[low]
+            moved = np.full_like(my_ranks, self.never)
+            moved[:, :-1] = my_ranks[:, 1:]
+            my_ranks = np.where(np.arange(width - 1) > at[:, None], moved, my_ranks)
+            here = np.arange(len(rows))
+            my_ranks[here, at] = self._ranks(mine[here, at], mine[here, at + 1])
+            prior = np.maximum(at - 1, 0)
+            before = self._ranks(mine[here, prior], mine[here, prior + 1])
+            my_ranks[here, prior] = before
+            ids[rows], ranks[rows] = mine, my_ranks
+        ends = np.cumsum((ids >= 0).sum(axis=1) * 4).tolist()
+        raw = ids[ids >= 0].astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks without white space or special strings."""
+        pieces: list[bytes] = []
+        owner: list[int] = []
+        out: list[bytes] = [b""] * len(chunks)
+        for i, chunk in enumerate(chunks):
+            if len(chunk) > LONG_CHUNK:
+                out[i] = self._whole(chunk)
+            elif chunk.isascii() and chunk.isalpha():
+                pieces.append(chunk.lower().encode())
+                owner.append(i)
+            else:
+                for piece in self.rules.pieces(chunk):
+                    pieces.append(piece.encode())
+                    owner.append(i)
+        done: list[bytes] = [b""] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))  # narrow matrices
+        for low in range(0, len(order), MERGED_ROWS):
+            part = order[low:low + MERGED_ROWS]
+            for k, ids in zip(part, self.merge_rows([pieces[k] for k in part]), strict=True):
+                done[k] = ids
+        for i, ids in zip(owner, done, strict=True):
+            out[i] += ids
+        return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    def _whole(self, text: str) -> bytes:
+        found = self.library.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(found.ids, dtype="<u4").tobytes()
 
     def of(self, texts: list[str]) -> list[bytes]:
         chunks: list[list[str] | None] = []
         new: set[str] = set()
-        seen = self.seen
         for text in texts:
             if any(t in text for t in self.special):
                 chunks.append(None)                              # the library splits these
                 continue
-            parts = (self.space.split(text) if any(c in text for c in bpe.PYTHON_ONLY_SPACE)
-                     else text.split())
+            parts = (self.rules.space.split(text)
+                     if any(c in text for c in bpe.PYTHON_ONLY_SPACE) else text.split())
             chunks.append(parts)
-            new.update(p for p in parts if p not in seen)
-        if new:
-            if len(seen) + len(new) > REMEMBERED:
-                seen.clear()
-                new = {p for parts in chunks if parts for p in parts}
-            words = list(new)
-            seen.update(zip(words, self._encode(words), strict=True))
-        return [self._encode([text])[0] if parts is None
-                else b"".join(map(seen.__getitem__, parts))
+            new.update(parts)
+        if len(self.seen) > REMEMBERED:                          # keep one older generation
+            self.older, self.seen = self.seen, {}
+        seen, older = self.seen, self.older
+        new.difference_update(seen)
+        words = []
+        for w in new:
+            if w in older:
+                seen[w] = older[w]
+            else:
+                words.append(w)
+        seen.update(zip(words, self._encode(words), strict=True))
+        return [self._whole(text) if parts is None else b"".join(map(seen.__getitem__, parts))
                 for text, parts in zip(texts, chunks, strict=True)]
 
 
