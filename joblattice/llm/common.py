@@ -205,7 +205,7 @@ def _pieces(text: bytes) -> Iterator[bytes]:
 
 # --- connected components ---------------------------------------------------------------
 
-def components(edges: DataFrame, nodes_type: str = "long") -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); the root is the smallest node reached.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014) over narrow edge
@@ -216,25 +216,27 @@ def components(edges: DataFrame, nodes_type: str = "long") -> DataFrame:
     spark = edges.sparkSession
     edges = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .where("a <> b").distinct())
-    seen = None
-    while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"),
-                                                               F.col("a").alias("b")))
+    while not _is_star_forest(edges):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = cut_lineage(both.join(low, "a").where("b > a and b <> m")
-                            .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = (both.join(low, "a").where("b > a and b <> m")
+                 .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = cut_lineage(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a").select(
+        edges = cut_lineage(large.join(low, "a").select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
                               F.struct("a", F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a <> b").distinct())
-        edges = cut_lineage(small)
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
-                      .first())
-        if state == seen:
-            break
-        seen = state
-    roots = edges.groupBy("a").agg(F.min("b").alias("b"))
     return cut_lineage(
-        roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        .unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+        edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        .unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other node which hangs on none."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"),
+                                         F.lit(1).alias("down")))
+    wrong = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where(
+        "up > 1 or (up = 1 and down = 1)")
+    return wrong.limit(1).count() == 0

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from joblattice.llm import bpe, exact_dedup, html_text, packing, sharding
+import corpus_pipeline
+from joblattice.llm import (bpe, embedding_dedup, exact_dedup, html_text, near_dedup, packing,
+                            piece_codec, pitman_yor, quality_lm, sharding)
 from joblattice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +67,53 @@ def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the word vocabulary."""
     return bpe.token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+@query("op8_embedding_dedup")
+def near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9 and above."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed(
+        "_id", "vec_id")
+
+
+@query("op10_quality_lm")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and decision of every document."""
+    return quality_lm.classify(table(spark, sf_dir, "documents"),
+                               table(spark, sf_dir, "labels")).selectExpr(
+        "_id AS doc_id", "_lang AS lang", "perplexity", "threshold", "kept")
+
+
+@query("op1_order_minhash")
+def near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_dedup.classes(table(spark, sf_dir, "documents")).selectExpr(
+        "_id AS doc_id", "class_id", "class_size", "kept")
+
+
+@query("op7_piece_codec")
+def piece_codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with merge-dropout and decoded again."""
+    docs = table(spark, sf_dir, "documents")
+    return piece_codec.decode(piece_codec.encode(docs)).selectExpr(
+        "_id AS doc_id", "variant", "n_pieces", "ids_crc32", "crc32(cast(text AS binary)) "
+        "AS text_crc32", "cast(char_length(text) AS long) AS n_chars")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline`` over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op5_pitman_yor")
+def pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; four fifths of them are trained on."""
+    docs = table(spark, sf_dir, "documents")
+    held = pitman_yor.held_out(F.col("doc_id"))
+    model = pitman_yor.train(docs.where(~held))
+    return pitman_yor.score(docs, model).select(
+        F.col("_id").alias("doc_id"), pitman_yor.held_out(F.col("_id")).alias("held_out"),
+        "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
+        pitman_yor.perplexity(F.col("score"), F.col("n_tokens")).alias("perplexity"))
