@@ -189,7 +189,7 @@ def _kneser_ney(texts):
         if n[1] and n[2] and n[3]:
             y = n[1] / (n[1] + 2 * n[2])
             d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
-            d = [max(0.0, x) for x in d]
+            d = [min(max(x, 0.05), 0.95 + i) for i, x in enumerate(d)]
         else:
             d = [0.5] * 3
         total, held = Counter(), Counter()
