@@ -7,10 +7,10 @@ band, documents of one band value are candidates. Two documents are linked if th
 that a banded alignment matches in order are at least ``SIMILARITY`` of all their shingles
 (matched / (first + second - matched)). Classes are the components of the links.
 
-Texts of equal words are one node before any comparison. In a bucket, pivots are compared
-with all nodes of another class, 1, then 8, 64 ... pivots chosen by hash, until every node
-has been a pivot or the bucket is one class: no candidate pair between classes stays
-untested, and a bucket that is one class costs one comparison a node.
+Texts of equal words are one node before any comparison. In a bucket every node is aligned
+with one center, then, where the bucket still holds several classes, with about 8 pivots
+chosen by hash. What is then still mixed is compared by blocks of nodes: no candidate pair
+between classes stays untested, and a bucket of one class costs one comparison a node.
 
 Defined cases: texts without words are alone; texts of less than five words are one shingle;
 a null id loses every tie; repeated rows are copies; an empty table gives no rows; further
@@ -36,8 +36,9 @@ SIMILARITY = 0.8
 #: Sketch values a band and bands: a pair at similarity 0.8 shares no band with chance 0.001.
 PER_BAND = 3
 BANDS = 24
-#: Growth of the number of pivots from round to round.
+#: Pivots of a bucket that still holds several classes, and nodes of a block comparison.
 PIVOTS = 8
+CHUNK = 256
 
 _rng = np.random.Generator(np.random.PCG64(31))
 _STEPS = _rng.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -231,6 +232,65 @@ def _pivot_share(nid: str, bucket: str):
     return F.pmod(F.xxhash64(nid, bucket), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (bucket, nid, n, root) of the buckets that hold more than one class."""
+    tagged = members.join(roots, F.col("nid") == F.col("node"), "left").select(
+        "bucket", "nid", "n", F.coalesce("root", "nid").alias("root"))
+    mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return cut_lineage(tagged.join(mixed.where("lo < hi").select("bucket"), "bucket"))
+
+
+def _blocks(rest: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes of a bucket whose shingle sets are similar enough.
+
+    A bucket is dealt to chunks of about ``CHUNK`` nodes; every pair of chunks is compared as
+    a product of matrices, and only pairs at ``least`` leave the task. Matched shingles of an
+    alignment are common shingles, so nothing that an alignment would link is lost.
+    """
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    dealt = (rest.withColumn("chunks", chunks)
+             .withColumn("c", F.pmod(F.xxhash64("bucket", "nid"), F.col("chunks")).cast("int"))
+             .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+             .select("bucket", "nid", "root", F.least("c", "o").alias("i"),
+                     F.greatest("c", "o").alias("j"), F.col("c").alias("own"))
+             .join(texts, "nid"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        nid, root = group.column("nid").to_numpy(), group.column("root").to_numpy()
+        own = group.column("own").to_numpy()
+        words, counts = words_of([t.encode() for t in group.column("text").to_pylist()])
+        sets = [_labelled(shingles(words[e - c:e]))
+                for e, c in zip(np.cumsum(counts), counts, strict=True)]
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        size = np.array([len(v) for v in sets])
+        common = common_counts([sets[k] for k in x], [sets[k] for k in y])
+        share = common / (size[x][:, None] + size[y][None, :] - common)
+        at, to = np.nonzero((share >= least) & (root[x][:, None] != root[y][None, :]))
+        a, b = nid[x[at]], nid[y[to]]
+        return pa.table([np.minimum(a, b), np.maximum(a, b)],
+                        schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray],
+                  columns: int = 8_192) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, columns in slices."""
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    if not left or not right:
+        return out
+    values, place = np.unique(np.concatenate(left + right), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(v) for v in left + right])
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    for low in range(0, len(values), columns):
+        part = slice(*np.searchsorted(place, [low, low + columns]))
+        dense = np.zeros((len(left) + len(right), min(columns, len(values) - low)), np.float32)
+        dense[owner[part], place[part] - low] = 1.0
+        out += dense[:len(left)] @ dense[len(left):].T
+    return out
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             least: float = SIMILARITY) -> DataFrame:
     """``_id, fp, class_id, class_size, kept`` of every row of ``docs``."""
@@ -240,41 +300,35 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows.where("bands is not null").groupBy("fp").agg(F.first("bands").alias("bands"))
         .withColumn("nid", F.monotonically_increasing_id()))
     spots = nodes.select("nid", F.explode("bands").alias("bucket"))
-    buckets = cut_lineage(spots.groupBy("bucket").agg(
-        F.min("nid").alias("center"), F.count("*").alias("n")).where("n > 1"))
-    members = cut_lineage(spots.join(buckets, "bucket")
-                          .select("bucket", "nid", "center", "n"))
+    sizes = spots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut_lineage(spots.join(sizes, "bucket").select("bucket", "nid", "n"))
+    # The original of a group of copies meets more of them than a copy does: it is the center.
+    rank = members.groupBy("nid").agg(F.sum("n").alias("met"))
+    center = members.join(rank, "nid").groupBy("bucket").agg(
+        F.max(F.struct("met", "nid"))["nid"].alias("center"))
+    pairs = cut_lineage(members.join(center, "bucket").where("nid <> center")
+                        .select(F.least("nid", "center").alias("a"),
+                                F.greatest("nid", "center").alias("b")).distinct())
     involved = cut_lineage(nodes.join(members.select("nid").distinct(), "nid", "left_semi")
                            .select("nid", "fp"))
     marked = _with_fingerprint(docs.select(F.col(text_col).alias("text")), "text", "fp")
     texts = cut_lineage(marked.join(involved, "fp").groupBy("nid")
                         .agg(F.first("text").alias("text")))
-    pairs = cut_lineage(members.where("nid <> center")
-                        .select(F.least("nid", "center").alias("a"),
-                                F.greatest("nid", "center").alias("b")).distinct())
     edges = _verified(pairs, texts, least)
-    done = 1
-    while True:
-        roots = components(edges)
-        tagged = members.join(roots, F.col("nid") == F.col("node"), "left").select(
-            "bucket", "nid", "n", F.coalesce("root", "nid").alias("root"))
-        mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        members_left = cut_lineage(
-            tagged.join(mixed.where("lo < hi").select("bucket"), "bucket")
-            .withColumn("share", _pivot_share("nid", "bucket")))
-        more = done * PIVOTS
-        pivots = (members_left.where((F.col("share") * F.col("n") >= (0 if done == 1 else done))
-                                     & (F.col("share") * F.col("n") < more))
-                  .select("bucket", F.col("nid").alias("p"), F.col("root").alias("p_root")))
-        if not members_left.where(F.col("n") > (0 if done == 1 else done)).limit(1).count():
-            break                                    # every node of a mixed bucket was a pivot
-        pairs = cut_lineage(
-            members_left.join(pivots, "bucket").where("root <> p_root")
-            .select(F.least("nid", "p").alias("a"), F.greatest("nid", "p").alias("b"))
-            .distinct().join(pairs, ["a", "b"], "left_anti"))
-        edges = cut_lineage(edges.unionByName(_verified(pairs, texts, least)))
-        done = more
-        members = members_left.select("bucket", "nid", "n")
+    roots = components(edges)
+    mixed = _mixed(members, roots)
+    pivots = (mixed.where(_pivot_share("nid", "bucket") * F.col("n") < PIVOTS)
+              .select("bucket", F.col("nid").alias("p"), F.col("root").alias("p_root")))
+    pairs = cut_lineage(
+        mixed.join(pivots, "bucket").where("root <> p_root")
+        .select(F.least("nid", "p").alias("a"), F.greatest("nid", "p").alias("b"))
+        .distinct().join(pairs, ["a", "b"], "left_anti"))
+    edges = cut_lineage(edges.unionByName(_verified(pairs, texts, least)))
+    roots = components(edges)
+    rest = _mixed(members.where(F.col("n") > PIVOTS), roots)
+    pairs = cut_lineage(_blocks(rest, texts, least).distinct())
+    edges = cut_lineage(edges.unionByName(_verified(pairs, texts, least)))
+    roots = components(edges)
     ids = nodes.select("fp", "nid").join(roots, F.col("nid") == F.col("node"), "left").select(
         "fp", F.coalesce("root", "nid").alias("root"))
     tagged = cut_lineage(rows.select("_id", "fp", F.col("bands").isNull().alias("blank"),
