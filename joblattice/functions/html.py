@@ -25,8 +25,12 @@ ENTITIES = (
     ("&bull;", "•"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&laquo;", "«"),
     ("&raquo;", "»"), ("&amp;", "&"),
 )
-ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
-FRAME = r"(?is)<iframe\b[^>]*?\bsrc\s*=\s*[\"']([^\"']*)[\"']"
+# An attribute name follows white space or a quote, so ``data-href`` is none; its value is
+# quoted either way or bare.
+_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+ANCHOR = r"""(?is)<a\s(?:[^>]*?[\s"'])??href""" + _VALUE + r"[^>]*>(.*?)</a>"
+FRAME = r"""(?is)<iframe\s(?:[^>]*?[\s"'])??src""" + _VALUE
+UNRENDERED = r"(?is)<!--.*?-->|<(script|style|noscript)\b.*?</\1\s*>"
 TAG = r"(?s)<[^>]*>"
 
 
@@ -66,12 +70,23 @@ def inner_text(fragment: Column) -> Column:
     return strip(decode_entities(F.regexp_replace(fragment, TAG, "")))
 
 
+def _unquoted(value: Column) -> Column:
+    """An attribute value without the quotes it was written in."""
+    quoted = F.left(value, F.lit(1)).isin('"', "'")
+    return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
 def anchors(html: Column) -> Column:
-    """``array<struct<href, text>>`` of all anchors, href as written."""
-    hrefs = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
-    bodies = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2))
-    return F.zip_with(hrefs, bodies, lambda h, b: F.struct(
-        strip(decode_entities(h)).alias("href"), inner_text(b).alias("text")))
+    """``array<struct<href, text>>`` of all anchors, href as written.
+
+    Anchors inside comments, scripts, styles and noscript are no anchors.
+    """
+    def found(markup: Column) -> Column:
+        hrefs = F.regexp_extract_all(markup, F.lit(ANCHOR), F.lit(1))
+        bodies = F.regexp_extract_all(markup, F.lit(ANCHOR), F.lit(2))
+        return F.zip_with(hrefs, bodies, lambda h, b: F.struct(
+            strip(decode_entities(_unquoted(h))).alias("href"), inner_text(b).alias("text")))
+    return let(F.regexp_replace(html, UNRENDERED, ""), found)
 
 
 def first_per_href(links: Column) -> Column:
@@ -90,7 +105,9 @@ def page_links(anchor_array: Column, base: Column) -> Column:
 
 
 def frames(html: Column) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(FRAME), F.lit(1)), decode_entities)
+    markup = F.regexp_replace(html, UNRENDERED, "")
+    return F.transform(F.regexp_extract_all(markup, F.lit(FRAME), F.lit(1)),
+                       lambda s: decode_entities(_unquoted(s)))
 
 
 def job_cards(anchor_array: Column) -> Column:

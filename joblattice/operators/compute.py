@@ -6,13 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-# Largest number of key rows (under 100 bytes each) that is broadcast.
+# Largest number of rows, and of bytes in their columns, that is broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A materialised table of narrow rows, marked for broadcast if it has few."""
-    return F.broadcast(df) if df.count() <= limit else df
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a materialised table has few rows and few bytes (text lengths are summed)."""
+    text = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    fixed = 16 * len(df.columns)
+    n, held = df.agg(F.count(F.lit(1)), sum(text, F.lit(0))).first()
+    return n <= rows and held + n * fixed <= size
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A materialised table, marked for broadcast if its rows and bytes are few."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.similarity import (allowed_indel, lcs_length_udf, length_band,
                                     score_from_indel, signature, signature_distance,
                                     sorted_tokens)
-from ..functions.text import strip
+from ..functions.text import dedup_hash, strip
 from ..session import cut_lineage
-from .compute import BROADCAST_ROWS, broadcast_if_small, compute_once
+from .compute import broadcast_if_small, compute_once, is_small
 
 # Score from which two listings count as the same, and how much of
 # the company name must occur in the stored one.
@@ -31,11 +31,22 @@ def company_key(company: Column) -> Column:
 
 def exact_duplicates(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Batch rows whose hash is stored."""
-    return batch.join(stored.select("dedup_hash"), "dedup_hash", "left_semi")
+    return _by_hash(batch, stored, "left_semi")
 
 
 def not_exact_duplicates(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    return batch.join(stored.select("dedup_hash"), "dedup_hash", "left_anti")
+    return _by_hash(batch, stored, "left_anti")
+
+
+def full_hash() -> Column:
+    """The row's hash; computed from title and company where it is absent or blank."""
+    return F.coalesce(F.when(F.col("dedup_hash") != "", F.col("dedup_hash")),
+                      dedup_hash(F.col("title"), F.col("company")))
+
+
+def _by_hash(batch: DataFrame, stored: DataFrame, how: str) -> DataFrame:
+    return (batch.withColumn("_hash", full_hash())
+            .join(stored.select(full_hash().alias("_hash")), "_hash", how).drop("_hash"))
 
 
 def find_fuzzy_duplicates(stored: DataFrame, title: str, company: str,
@@ -93,7 +104,7 @@ def _texts_of(stored: DataFrame, pairs: DataFrame) -> DataFrame:
     """Distinct texts of the active listings whose company occurs in ``pairs``."""
     rows = stored.where("is_active").select("title", "company", F.lower("company").alias("name"))
     names = pairs.select("name").distinct()
-    if pairs.count() <= BROADCAST_ROWS:           # else nearly every company is wanted
+    if is_small(pairs):           # else nearly every company is wanted
         rows = rows.join(F.broadcast(names), "name", "left_semi")
     return rows.select(sorted_tokens(F.col("title"), F.col("company")).alias("b"),
                        "name").distinct()
@@ -109,7 +120,9 @@ def _candidate_sides(new: DataFrame, stored: DataFrame, threshold: int,
     """
     own = length_band(F.length("a"), threshold)
     new = cut_lineage(new.withColumns({"band": own, **_words("a")}))
-    names = stored.where("is_active").select(F.lower("company").alias("name")).distinct()
+    # Read twice below: by its grams for their frequency, then for the rarest one.
+    names = cut_lineage(stored.where("is_active").select(F.lower("company").alias("name"))
+                        .distinct())
     pairs = cut_lineage(contained_in(new.select("key").distinct(), names))
     old = cut_lineage(_texts_of(stored, pairs).withColumns({
         "band": length_band(F.length("b"), threshold), **_words("b")}))
@@ -123,10 +136,11 @@ def _candidate_sides(new: DataFrame, stored: DataFrame, threshold: int,
                 .join(sizes, ["name", "band"])
                 .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
                 .drop("cells"))
-    if old.count() <= BROADCAST_ROWS:
+    if is_small(old):
         # The work follows the compared pairs, not the bytes: spread the probing side.
         conf = new.sparkSession.conf
-        new_side = new_side.repartition(int(conf.get("spark.sql.shuffle.partitions")), "a")
+        new_side = new_side.repartition(int(conf.get("spark.sql.shuffle.partitions")), "a", "name", "band",
+                                        "cell")
         old_side = F.broadcast(old_side)
     return _Sides(new_side, old_side)
 
@@ -207,11 +221,11 @@ def tag_duplicates(batch: DataFrame, stored: DataFrame, threshold: int = FUZZY_T
     the fuzzy comparison.
     """
     # Small batches are sent to the store and the answers back, so neither is shuffled.
-    hashes = broadcast_if_small(cut_lineage(batch.select("dedup_hash").distinct()))
-    known = cut_lineage(stored.select("dedup_hash").join(hashes, "dedup_hash", "left_semi")
+    hashes = broadcast_if_small(cut_lineage(batch.select(full_hash().alias("_hash")).distinct()))
+    known = cut_lineage(stored.select(full_hash().alias("_hash")).join(hashes, "_hash", "left_semi")
                         .distinct())
     known = broadcast_if_small(known).withColumn("_exact", F.lit(True))
-    marked = batch.join(known, "dedup_hash", "left")
+    marked = batch.withColumn("_hash", full_hash()).join(known, "_hash", "left")
     open_rows = marked.where(F.col("_exact").isNull())
     if skip_unknown:
         open_rows = open_rows.where(F.col("company") != "Unknown")

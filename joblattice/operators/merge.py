@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .compute import BROADCAST_ROWS
+from .compute import is_small
 
 INSERT, TOUCH, IGNORED = "insert", "touch", "ignored"
 
@@ -108,7 +108,7 @@ def resolve_batch(stored: DataFrame, batch: DataFrame) -> Resolution:
     groups = cut_lineage(narrow.groupBy("key", "source", "external_id")
                          .agg(F.min("seq").alias("seq")))
     # A small batch is sent to the store, so the store is scanned but never shuffled.
-    small = groups.count() <= BROADCAST_ROWS
+    small = is_small(groups)
     keys = _hinted(groups.select("key").distinct(), small)
     ids = _hinted(groups.select("source", "external_id").distinct(), small)
     known = cut_lineage(stored.where(F.col("dedup_hash") != "")

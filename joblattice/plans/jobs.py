@@ -41,10 +41,14 @@ def ingest_feeds(stored: DataFrame, feeds: dict[str, Callable[[], DataFrame]]) -
     ``date_scraped``). A feed whose reader fails is recorded as failed.
     """
     spark = stored.sparkSession
-    good, failed = [], []
+    good, failed, empty = [], [], []
     for source, read in feeds.items():
         try:
-            good.append(read())
+            # Staged here, so that a fault while parsing belongs to this feed as well.
+            rows = cut_lineage(read())
+            good.append(rows)
+            if rows.isEmpty():
+                empty.append((source,))
         except Exception as exc:              # any reader error belongs to this feed alone
             failed.append((source, str(exc).split("\n")[0]))
     if not good:
@@ -52,12 +56,15 @@ def ingest_feeds(stored: DataFrame, feeds: dict[str, Callable[[], DataFrame]]) -
     batch = good[0]
     for other in good[1:]:
         batch = batch.unionByName(other, allowMissingColumns=True)
-    # Parsed once; the merge reads the batch for its keys and again for its rows.
-    result = upsert_listings(stored, cut_lineage(batch))
+    result = upsert_listings(stored, batch)
     runs = result.counts().select(
         "source", "jobs_found", "jobs_new", F.lit("completed").alias("status"),
         F.lit(None).cast("string").alias("error_message"))
     zero = F.lit(0).cast("bigint")
+    if empty:
+        runs = runs.unionByName(spark.createDataFrame(empty, "source string").select(
+            "source", zero.alias("jobs_found"), zero.alias("jobs_new"),
+            F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error_message")))
     if failed:
         bad = spark.createDataFrame(failed, "source string, error_message string").select(
             "source", zero.alias("jobs_found"), zero.alias("jobs_new"),
@@ -95,7 +102,9 @@ def accept_pages(pages: DataFrame) -> DataFrame:
     records = compute_once(chosen, {
         "error": F.when(~ok, error), "text": F.when(ok, F.col("_text")),
         "links": F.when(ok, links).otherwise(none)})
-    return records.select("seq", "company", "careers_url", "final_url", "error", "text", "links")
+    given = ["scraped_at"] if "scraped_at" in pages.columns else []
+    return records.select("seq", "company", "careers_url", "final_url", *given, "error", "text",
+                          "links")
 
 
 def next_pages(pages: DataFrame) -> DataFrame:

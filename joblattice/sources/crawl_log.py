@@ -36,13 +36,21 @@ def read_successes(spark: SparkSession, path: str, lines_path: str) -> DataFrame
 def read_tolerant(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Records of a log that may be missing or damaged; damaged documents give no rows.
 
-    A document is a whole file, or a line with ``multi_line=False``.
+    A document is a whole file that holds one array, or with ``multi_line=False`` a line
+    that holds one record.
     """
+    if multi_line:
+        try:
+            files = spark.read.text(path, wholetext=True)
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], CRAWL_RECORD)
+        return parse_crawl_text(files, "value").drop("pos")
     schema = T.StructType([*CRAWL_RECORD.fields, T.StructField(_CORRUPT, T.StringType())])
     try:
-        raw = (spark.read.schema(schema).option("multiLine", multi_line)
-               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
-               .json(path))
+        raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
+               .option("columnNameOfCorruptRecord", _CORRUPT).json(path))
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -54,5 +62,6 @@ def read_tolerant(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 def parse_crawl_text(df: DataFrame, payload: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Records held as JSON text in a column; text that is no JSON array gives no rows."""
     array = T.ArrayType(CRAWL_RECORD)
-    return (df.select(*keep, F.posexplode(F.from_json(F.col(payload), array)).alias("pos", "r"))
+    listed = df.where(F.col(payload).rlike(r"^\s*\["))
+    return (listed.select(*keep, F.posexplode(F.from_json(F.col(payload), array)).alias("pos", "r"))
             .select(*keep, "pos", "r.*").where(F.col("company").isNotNull()))

@@ -98,7 +98,9 @@ def parse_object_feed(payloads: DataFrame, payload: str = "payload",
         *keep, F.col("pos").cast("bigint").alias("pos"),
         F.coalesce(field("id"), F.lit("")).alias("external_id"), F.lit(source).alias("source"),
         text("title").alias("title"), text("company_name").alias("company"),
-        field("company_logo").alias("company_url"), field("description").alias("description"),
+        field("company_logo").alias("company_url"),
+        F.when(~F.map_contains_key("e", "description"), "").otherwise(field("description"))
+        .alias("description"),
         text("url").alias("url"),
         F.coalesce(blank_to_null(text("candidate_required_location")), F.lit("Remote"))
         .alias("location"),

@@ -1,14 +1,18 @@
 """Incremental ingest: every micro-batch is merged as if rows arrived one by one.
 
 Listings are append-only on disk: a batch adds its new rows and its sightings,
-never rewriting the store. It reads only the key columns of earlier batches, so
-its cost follows the batch. Tables are partitioned by batch id; a batch that is
-replayed after a failure reads the batches before it and replaces its own
-folders, so the result does not depend on retries.
+never rewriting the store. It reads the key columns of the store and of earlier
+batches. Tables are partitioned by stream (a digest of its checkpoint) and batch
+id; a batch that is replayed after a failure reads all but itself and what
+followed it in its stream and replaces its own folders, so the result does not
+depend on retries, and a new checkpoint on the same root replaces nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,18 +25,30 @@ _SIGHTINGS = T.StructType([T.StructField("key", T.StringType()),
                            T.StructField("last_seen", T.TimestampType())])
 
 
-def _folder(root: str, table: str, batch_id: int) -> str:
-    return f"{root.rstrip('/')}/{table}/batch_id={batch_id}"
+def _stream_id(checkpoint: str) -> str:
+    """Name of a stream's folders; a digest of its checkpoint, which is the stream's identity."""
+    return "s" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def _folder(root: str, table: str, stream: str, batch_id: int) -> str:
+    return f"{root.rstrip('/')}/{table}/stream={stream}/batch_id={batch_id}"
 
 
 def _read(spark: SparkSession, root: str, table: str, schema: T.StructType,
-          before: int | None = None) -> DataFrame:
-    """Rows of all batches, or of the batches before one (partition pruning)."""
-    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    if before == 0:
+          before: tuple[str, int] | None = None) -> DataFrame:
+    """Rows of all batches, or of all but a stream's batches from one on (partition pruning)."""
+    with_batch = T.StructType([*schema.fields, T.StructField("stream", T.StringType()),
+                               T.StructField("batch_id", T.LongType())])
+    try:
+        rows = spark.read.schema(with_batch).parquet(f"{root.rstrip('/')}/{table}")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], with_batch)
-    rows = spark.read.schema(with_batch).parquet(f"{root.rstrip('/')}/{table}")
-    return rows if before is None else rows.where(F.col("batch_id") < before)
+    if before is None:
+        return rows
+    stream, batch_id = before
+    return rows.where((F.col("stream") != stream) | (F.col("batch_id") < batch_id))
 
 
 def _start(stream: DataFrame, checkpoint: str, handle) -> StreamingQuery:
@@ -43,25 +59,28 @@ def _start(stream: DataFrame, checkpoint: str, handle) -> StreamingQuery:
 def ingest_listings(stream: DataFrame, root: str, checkpoint: str,
                     base: DataFrame) -> StreamingQuery:
     """Merge a stream of listings (with ``seq``) onto ``base``; ends when the input is read."""
-    schema = base.schema
+    schema, mine = base.schema, _stream_id(checkpoint)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         keys = ["dedup_hash", "source", "external_id"]
-        earlier = _read(batch.sparkSession, root, "listings", schema, before=batch_id)
+        earlier = _read(batch.sparkSession, root, "listings", schema,
+                        before=(mine, batch_id))
         stored = base.select(*keys).unionByName(earlier.select(*keys))
         done = resolve_batch(stored, batch)
         (done.inserted().select(*base.columns).write.mode("overwrite")
-         .parquet(_folder(root, "listings", batch_id)))
-        done.seen.write.mode("overwrite").parquet(_folder(root, "sightings", batch_id))
+         .parquet(_folder(root, "listings", mine, batch_id)))
+        done.seen.write.mode("overwrite").parquet(_folder(root, "sightings", mine, batch_id))
 
     return _start(stream, checkpoint, handle)
 
 
 def current_listings(spark: SparkSession, root: str, base: DataFrame) -> DataFrame:
     """Listings after all batches. Write the result as the next base to compact the store."""
-    added = _read(spark, root, "listings", base.schema).drop("batch_id")
-    last = (_read(spark, root, "sightings", _SIGHTINGS).groupBy("key")
-            .agg(F.max_by("last_seen", "batch_id").alias("last_seen")))
+    added = _read(spark, root, "listings", base.schema).drop("stream", "batch_id")
+    # The last sighting of each stream; of several streams the latest time.
+    last = (_read(spark, root, "sightings", _SIGHTINGS).groupBy("key", "stream")
+            .agg(F.max_by("last_seen", "batch_id").alias("last_seen"))
+            .groupBy("key").agg(F.max("last_seen").alias("last_seen")))
     return refresh(base.unionByName(added), last)
 
 
@@ -71,11 +90,11 @@ def ingest_companies(stream: DataFrame, root: str, checkpoint: str, base: DataFr
 
     A batch adds its rows as they are; ``seq`` increases over the whole stream.
     """
-    columns = [*base.columns, seq]
+    columns, mine = [*base.columns, seq], _stream_id(checkpoint)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         (batch.select(*columns).write.mode("overwrite")
-         .parquet(_folder(root, "companies", batch_id)))
+         .parquet(_folder(root, "companies", mine, batch_id)))
 
     return _start(stream, checkpoint, handle)
 

@@ -238,3 +238,14 @@ def test_allowed_indel_rounds_half_to_even(spark):
                 from fractions import Fraction
                 return round(100 * (1 - Fraction(i, total)))
             assert k == max([i for i in range(total + 1) if score(i) >= threshold], default=-1), (total, threshold)
+
+
+def test_anchor_markup(values):
+    from joblattice.functions import html as H
+    page = """<a data-href="/x" href="/y">one</a><!-- <a href="/c">no</a> --><a href=/bare>two</a>
+<script>var s = '<a href="/s">no</a>';</script><a class='k' href='/q"r'>three</a><A HREF = "/up">4</A>
+<a name=z>none</a><iframe data-src="/lazy"></iframe><iframe title="t" src='/frame'></iframe>"""
+    got = values(lambda c: H.anchors(c), [page])[0]
+    assert [(a["href"], a["text"]) for a in got] == [
+        ("/y", "one"), ("/bare", "two"), ('/q"r', "three"), ("/up", "4")]
+    assert values(lambda c: H.frames(c), [page])[0] == ["/frame"]

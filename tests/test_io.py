@@ -65,6 +65,9 @@ def test_crawl_log_files(spark, tmp_path):
     assert [r["company"] for r in CL.read_successes(spark, str(tmp_path / "none.json"), str(lines)).collect()] == ["b"]
     assert CL.read_tolerant(spark, str(array)).count() == 3
     assert CL.read_tolerant(spark, str(bad)).count() == 0
+    single = tmp_path / "single.json"
+    single.write_text(json.dumps({"company": "alone"}))
+    assert CL.read_tolerant(spark, str(single)).count() == 0
     assert CL.read_tolerant(spark, str(tmp_path / "none.json")).count() == 0
     K.write_crawl_log(CL.read_crawl_log(spark, str(array)), str(tmp_path / "sorted"))
     assert [json.loads(x)["company"] for x in _lines(tmp_path / "sorted")] == ["A", "b", "c"]
@@ -126,6 +129,12 @@ def test_stream_equals_batch_by_batch(spark, tmp_path):
     got = I.current_listings(spark, str(tmp_path / "snap"), empty)
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
     assert got.count() == 3
+    # Another checkpoint on the same root adds to what is there.
+    more = tmp_path / "more"
+    spark.createDataFrame([(*_listing(9), 100)], schema).coalesce(1).write.parquet(str(more))
+    again = spark.readStream.schema(schema).parquet(str(more))
+    I.ingest_listings(again, str(tmp_path / "snap"), str(tmp_path / "log2"), empty).awaitTermination()
+    assert I.current_listings(spark, str(tmp_path / "snap"), empty).count() == 4
 
 
 def test_company_stream(spark, tmp_path):

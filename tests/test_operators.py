@@ -44,7 +44,7 @@ def _sequential(stored, batch):
 @pytest.mark.parametrize("seed", range(6))
 def test_upsert_equals_sequential_loop(spark, seed, monkeypatch):
     if seed % 2:                                  # joins instead of broadcasts
-        monkeypatch.setattr(MG, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(MG, "is_small", lambda df: False)
     rnd = random.Random(seed)
 
     def row(i, seq=None):
