@@ -169,9 +169,9 @@ def _salary(sep: str) -> str:
     return salary(sep)
 
 
-def _report(src: str, empty: str, sep: str) -> str:
+def _report(src: str, empty: str, sep: str, order: str = "seq") -> str:
     skills = "list_concat(list_concat(ops_hits, tech_hits), method_hits)"
-    return f"""SELECT row_number() OVER (ORDER BY total DESC, seq) AS rank, CAST(total AS BIGINT) AS score,
+    return f"""SELECT row_number() OVER (ORDER BY total DESC, {order}) AS rank, CAST(total AS BIGINT) AS score,
   company, title, coalesce(location, '') AS location, {_salary(sep)} AS salary, source,
   {_joined('role_hits', empty)} AS role_matches, {_joined('keyword_hits', empty)} AS keyword_matches,
   {_joined(skills, empty)} AS skills_matched, url AS apply_link FROM {src}"""
@@ -221,18 +221,19 @@ PAGE_ROWS = f"""page_links AS (SELECT g.seq, g.company, c.href, c.text AS link_t
   FROM good g JOIN clean_links c ON g.seq = c.seq AND g.has_links
   WHERE {F18.replace('href', 'c.href').replace('(text', '(c.text').replace('lower(text', 'lower(c.text')}),
  page_rows AS (
-  SELECT seq * 1048576 + lpos AS seq, substr(trim(link_text), 1, 200) AS title, company, href AS url,
+  SELECT seq, lpos AS pos, substr(trim(link_text), 1, 200) AS title, company, href AS url,
     substr(body, 1, 2000) AS description FROM page_links
-  UNION ALL SELECT seq * 1048576, 'Careers at ' || company, company,
+  UNION ALL SELECT seq, 0, 'Careers at ' || company, company,
     coalesce(nullif(final_url, ''), careers_url), substr(text, 1, 2000) FROM good g
   WHERE NOT has_links OR NOT EXISTS (SELECT 1 FROM clean_links c WHERE c.seq = g.seq))"""
 
 
-@query("u4_career_page_rows", f"WITH {CRAWL}, {PAGE_ROWS} SELECT CAST(seq AS BIGINT) AS seq, title, company, url, "
+@query("u4_career_page_rows", f"WITH {CRAWL}, {PAGE_ROWS} SELECT seq, CAST(pos AS BIGINT) AS pos, title, company, url, "
        "md5(description) AS digest FROM page_rows")
 def _(spark, d):
     return M.career_page_rows(V.crawl_log(spark, d)).select(
-        "seq", "title", "company", "url", F.md5("description").alias("digest"))
+        "seq", F.col("pos").cast("bigint").alias("pos"), "title", "company", "url",
+        F.md5("description").alias("digest"))
 
 
 @query("f18_listing_links", f"WITH {CRAWL} SELECT c.seq, c.href, c.text FROM clean_links c JOIN good g "
@@ -245,15 +246,14 @@ def _(spark, d):
 
 
 ALL_ROWS = f"""{S.LISTINGS}, {CRAWL}, {PAGE_ROWS}, all_rows AS (
-  SELECT 0 AS side, seq, title, company, url, source, location, salary_min, salary_max,
+  SELECT 0 AS side, seq, 0 AS pos, title, company, url, source, location, salary_min, salary_max,
     lower(title) AS tl, lower(title || ' ' || coalesce(description, '') || ' ' || {TAGS}) AS tx
   FROM listings WHERE is_active
-  UNION ALL SELECT 1, seq, title, company, url, 'career_page', NULL, NULL, NULL, lower(title),
+  UNION ALL SELECT 1, seq, pos, title, company, url, 'career_page', NULL, NULL, NULL, lower(title),
     lower(title || ' ' || coalesce(description, '') || ' ' || '') FROM page_rows),
  first_urls AS (SELECT * FROM all_rows WHERE lower(trim(company)) NOT IN ({EXCLUDED})
-  QUALIFY row_number() OVER (PARTITION BY url ORDER BY side, seq) = 1)"""
-UNIFIED = (f"(SELECT * REPLACE (side * {1 << 60} + seq AS seq) FROM "
-           f"{scored('first_urls', 'tl', 'tx')} WHERE total > 0)")
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY side, seq, pos) = 1)"""
+UNIFIED = f"(SELECT * FROM {scored('first_urls', 'tl', 'tx')} WHERE total > 0)"
 
 
 @query("u1_union_rows", f"WITH {ALL_ROWS} SELECT source, count(*) AS n, count(DISTINCT url) AS urls "
@@ -264,20 +264,20 @@ def _(spark, d):
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("urls"))
 
 
-@query("w7_first_seen_urls", f"WITH {ALL_ROWS} SELECT CAST(seq AS BIGINT) AS seq, url, source FROM first_urls")
+@query("w7_first_seen_urls", f"WITH {ALL_ROWS} SELECT seq, CAST(pos AS BIGINT) AS pos, url, source FROM first_urls")
 def _(spark, d):
     rows = (M.listing_rows(V.text_listings(spark, d).where("is_active")).withColumn("side", F.lit(0))
             .unionByName(M.career_page_rows(V.crawl_log(spark, d)).withColumn("side", F.lit(1))))
-    kept = rows.where(M.not_excluded(P)).select("seq", "url", "source", "side")
-    return R.keep_first(kept, ["url"], F.col("side"), F.col("seq")).drop("side")
+    kept = rows.where(M.not_excluded(P)).select("side", "seq", "pos", "url", "source")
+    return M.first_seen_urls(kept).select("seq", F.col("pos").cast("bigint").alias("pos"), "url", "source")
 
 
-@query("p8_unified_matching", f"WITH {ALL_ROWS} " + _report(UNIFIED, "", " - "))
+@query("p8_unified_matching", f"WITH {ALL_ROWS} " + _report(UNIFIED, "", " - ", "side, seq, pos"))
 def _(spark, d):
     return J.unified_matching(V.text_listings(spark, d), V.crawl_log(spark, d), P)
 
 
-@query("k10_unified_summary", f"WITH {ALL_ROWS} SELECT row_number() OVER (ORDER BY total DESC, seq) AS rank, "
+@query("k10_unified_summary", f"WITH {ALL_ROWS} SELECT row_number() OVER (ORDER BY total DESC, side, seq, pos) AS rank, "
        "CAST(total AS BIGINT) AS score, substr(company, 1, 24) AS company, substr(title, 1, 50) AS title, "
        f"substr(source, 1, 13) AS source FROM {UNIFIED} ORDER BY rank LIMIT 15")
 def _(spark, d):

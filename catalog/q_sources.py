@@ -307,18 +307,19 @@ def category_pages(spark, d):
 
 
 _CAT = S.title_case("lower(p_type)")
-_S13 = f"""SELECT seq, title, company, url, location, tags, job_type FROM (
- SELECT p_partkey * 1048576 AS seq, p_name || ' & co' AS title, p_brand AS company,
+_S13 = f"""SELECT seq, pos, title, company, url, location, tags, job_type FROM (
+ SELECT p_partkey AS seq, CAST(0 AS BIGINT) AS pos, p_name || ' & co' AS title, p_brand AS company,
    'https://weworkremotely.com/remote-jobs/' || p_partkey AS url, 'Anywhere in the World' AS location,
    p_type || '|Anywhere in the World|' || {_CAT} AS tags, 'full-time' AS job_type FROM part
- UNION ALL SELECT p_partkey * 1048576 + 1, p_type, 'Acme', 'https://other/' || p_brand, 'Oslo', {_CAT}, 'contract'
- FROM part WHERE p_size <= 45) QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1"""
+ UNION ALL SELECT p_partkey, 1, p_type, 'Acme', 'https://other/' || p_brand, 'Oslo', {_CAT}, 'contract'
+ FROM part WHERE p_size <= 45) QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq, pos) = 1"""
 
 
 @query("s13_category_pages", _S13)
 def _(spark, d):
     rows = B.parse_category_pages(category_pages(spark, d))
-    return rows.select("seq", "title", "company", "url", "location", F.array_join("tags", "|").alias("tags"), "job_type")
+    return rows.select("seq", F.col("pos").cast("bigint").alias("pos"), "title", "company", "url", "location",
+                       F.array_join("tags", "|").alias("tags"), "job_type")
 
 
 @query("s14_text_cards", """SELECT p_partkey AS seq, p_name AS title, CASE WHEN p_size < 5 THEN 'Unknown' ELSE p_brand END AS company,

@@ -55,8 +55,12 @@ def upsert_companies(stored: DataFrame, batch: DataFrame, seq: str = "seq",
     if keep_nonempty:
         tech = F.when(F.size(tech) > 0, tech)
     columns = [*_TEXT_COLUMNS, "tech_stack"]
-    old = stored.select("name", *columns).withColumn(seq, F.lit(-1).cast("bigint"))
-    new = batch.select("name", *columns, F.col(seq).cast("bigint").alias(seq))
+    # Stored values come before all of the batch, whatever the type of its order column.
+    kind = batch.schema[seq].dataType
+    old = stored.select("name", *columns, F.struct(F.lit(0).alias("side"),
+                                                   F.lit(None).cast(kind).alias("at")).alias(seq))
+    new = batch.select("name", *columns, F.struct(F.lit(1).alias("side"),
+                                                  F.col(seq).alias("at")).alias(seq))
     rows = old.unionByName(new).withColumn("tech_stack", tech)
     merged = latest_values(rows, "name", seq, columns)
     return merged.withColumn("tech_stack", F.coalesce("tech_stack",

@@ -16,9 +16,8 @@ PAGE_TITLE_CHARS = 200
 PAGE_TEXT_CHARS = 2000
 PAGE_SOURCE = "career_page"
 
-# Sequence numbers reserved per page, and the distance between board and page rows.
-PAGE_SLOTS = 1 << 20
-SIDE_SLOTS = 1 << 60
+# Columns that order scored rows: boards before pages, then row number, then link of a page.
+ROW_ORDER = ("side", "seq", "pos")
 
 HIT_COLUMNS = ["role_hits", "keyword_hits", "ops_hits", "tech_hits", "method_hits",
                "exclude_hits"]
@@ -41,9 +40,19 @@ def positive() -> Column:
     return F.col("total") > 0
 
 
+def row_order(rows: DataFrame) -> list[str]:
+    """The order columns that ``rows`` carries."""
+    return [c for c in ROW_ORDER if c in rows.columns]
+
+
 def listing_rows(listings: DataFrame) -> DataFrame:
-    """Stored listings in scoring shape (tags as JSON text)."""
-    return listings.select(*LISTING_COLUMNS, "description",
+    """Stored listings in scoring shape (tags as JSON text).
+
+    Stored listings are ordered by ``id``; a batch may bring its own ``seq``.
+    """
+    if "seq" not in listings.columns:
+        listings = listings.withColumn("seq", F.col("id"))
+    return listings.select(*LISTING_COLUMNS, F.lit(0).alias("pos"), "description",
                            json_list(F.col("tags")).alias("tags_text"))
 
 
@@ -51,8 +60,8 @@ def career_page_rows(records: DataFrame, seq: str = "seq") -> DataFrame:
     """One row per posting link of a crawled page, or one for a page without any link.
 
     A page whose links were all filtered away yields nothing. Both cases come out
-    of one pass over the pages. Link order is kept: ``seq`` numbers pages first,
-    links second.
+    of one pass over the pages. Link order is kept: ``seq`` numbers pages, ``pos``
+    the links of a page.
     """
     pages = records.where(is_success(F.col("error"), F.col("text")))
     links = F.coalesce("links", F.array().cast("array<struct<text:string,href:string>>"))
@@ -65,15 +74,14 @@ def career_page_rows(records: DataFrame, seq: str = "seq") -> DataFrame:
                            x["href"].alias("url")))
     entries = F.when(F.size(links) == 0, F.array(placeholder)).otherwise(postings)
     exploded = pages.select(
-        (F.col(seq) * PAGE_SLOTS).alias("_base"), "company",
+        F.col(seq).alias("seq"), "company",
         F.left("text", F.lit(PAGE_TEXT_CHARS)).alias("description"),
-        F.posexplode(entries).alias("_pos", "_entry"))
+        F.posexplode(entries).alias("pos", "_entry"))
     return exploded.select(
-        (F.col("_base") + F.col("_pos")).cast("bigint").alias("seq"), "_entry.title", "company",
-        "_entry.url", F.lit(PAGE_SOURCE).alias("source"),
+        "seq", "_entry.title", "company", "_entry.url", F.lit(PAGE_SOURCE).alias("source"),
         F.lit(None).cast("string").alias("location"),
         F.lit(None).cast("bigint").alias("salary_min"),
-        F.lit(None).cast("bigint").alias("salary_max"), "description",
+        F.lit(None).cast("bigint").alias("salary_max"), "pos", "description",
         F.lit("").alias("tags_text"))
 
 
@@ -105,8 +113,8 @@ def match_listings(listings: DataFrame, profile: Profile) -> DataFrame:
 
 
 def first_seen_urls(rows: DataFrame) -> DataFrame:
-    """First row per url in ``seq`` order; missing urls collapse like any other value."""
-    return keep_first(rows, ["url"], F.col("seq").asc())
+    """First row per url in row order; missing urls collapse like any other value."""
+    return keep_first(rows, ["url"], *[F.col(c).asc() for c in row_order(rows)])
 
 
 def match_all(listings: DataFrame, pages: DataFrame | None, profile: Profile) -> DataFrame:
@@ -117,14 +125,11 @@ def match_all(listings: DataFrame, pages: DataFrame | None, profile: Profile) ->
     on the map side, so the shuffle carries no description.
     """
     # Board rows come before page rows.
-    ordered = listing_rows(listings.where("is_active")).withColumn("_side", F.lit(0))
+    ordered = listing_rows(listings.where("is_active")).withColumn("side", F.lit(0))
     if pages is not None:
-        ordered = ordered.unionByName(career_page_rows(pages).withColumn("_side", F.lit(1)))
+        ordered = ordered.unionByName(career_page_rows(pages).withColumn("side", F.lit(1)))
     kept = ordered.where(not_excluded(profile))
-    first = keep_first(score_listings(kept, profile), ["url"], F.col("_side").asc(), F.col("seq").asc())
-    # One numeric order over both sides, used as the tie-break of ranks.
-    order = F.col("_side").cast("bigint") * F.lit(SIDE_SLOTS) + F.col("seq")
-    return first.where(positive()).withColumn("seq", order).drop("_side")
+    return first_seen_urls(score_listings(kept, profile)).where(positive())
 
 
 def match_pages(records: DataFrame, profile: Profile, seq: str = "seq") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .compute import is_small
+from .ranking import number_rows
 
 INSERT, TOUCH, IGNORED = "insert", "touch", "ignored"
 
@@ -93,6 +94,13 @@ class Resolution:
                               "is_active": F.lit(True)})
                 .drop("key", "last_seen", "seq"))
 
+    def numbered(self, after: int) -> DataFrame:
+        """New rows with the ids that follow ``after``, in ``seq`` order."""
+        ids = number_rows(self.accepted, "_n", F.col("seq").asc())
+        keyed = (self.keyed.drop("id").join(_hinted(ids, self.small), "seq")
+                 .withColumn("id", F.col("_n") + F.lit(after)).drop("_n"))
+        return replace(self, keyed=keyed).inserted()
+
 
 def resolve_batch(stored: DataFrame, batch: DataFrame) -> Resolution:
     """Decide insert, touch or ignore for every row of a batch (unique, increasing ``seq``).
@@ -141,10 +149,17 @@ def refresh(stored: DataFrame, seen: DataFrame, small: bool = False) -> DataFram
 
 
 def upsert_listings(stored: DataFrame, batch: DataFrame) -> UpsertResult:
-    """Merge a batch into the stored listings: new snapshot and row labels."""
+    """Merge a batch into the stored listings: new snapshot and row labels.
+
+    Inserted rows of a batch without ``id`` are numbered on from the largest stored id.
+    """
     done = resolve_batch(stored, batch)
+    if "id" in stored.columns and "id" not in batch.columns:
+        new = done.numbered(stored.agg(F.max("id")).first()[0] or 0)
+    else:
+        new = done.inserted()
     snapshot = refresh(stored, done.seen, done.small).unionByName(
-        done.inserted(), allowMissingColumns=True).select(*stored.columns)
+        new, allowMissingColumns=True).select(*stored.columns)
     return UpsertResult(snapshot, done.labels)
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Rows of equal score are ranked in this many slices of the tie-break column.
-RANK_SLICES = 64
+# Rows of one slice of a numbering; the number of slices follows from the row count.
+SLICE_ROWS = 500_000
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -46,31 +46,35 @@ def rank_top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return top_k(df, k, *order).withColumn("rank", F.row_number().over(window).cast("bigint"))
 
 
-def rank_all(df: DataFrame, score: str, tiebreak: str) -> DataFrame:
-    """Add ``rank`` over all rows by ``score`` descending, then ``tiebreak`` ascending.
+def number_rows(df: DataFrame, out: str, *order: Column) -> DataFrame:
+    """Add the 1-based position ``out`` of every row in a total ``order``.
 
-    ``tiebreak`` is a unique numeric column; ``score`` has few distinct values (a
-    weighted count of vocabulary hits). No single-task window over the rows is
-    used: they are cut into (score, slice) buckets, ranked inside each bucket and
-    shifted by the sizes of the buckets before it. ``df`` is materialised once
-    because three passes read it.
+    Rows are range-sorted into slices of about ``SLICE_ROWS`` and numbered inside
+    their slice; only the slice sizes are accumulated. ``order`` must end in a unique
+    column: then equal scores are split over slices as well. ``df`` is materialised,
+    because a range sort reads its input twice.
     """
     rows = cut_lineage(df)
-    cuts = [i / RANK_SLICES for i in range(1, RANK_SLICES)]
-    bounds = rows.agg(F.percentile_approx(tiebreak, cuts, 1000)).first()[0] or []
-    slice_no = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"),
-                               lambda b: b < F.col(tiebreak)))
-    sliced = rows.withColumn("_slice", slice_no)
-    sizes = sliced.groupBy(score, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(F.col(score).desc(), F.col("_slice")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = sizes.select(score, "_slice",
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(score, "_slice").orderBy(tiebreak)
-    return (sliced.withColumn("_rn", F.row_number().over(inside))
-            .join(offsets, [score, "_slice"])
-            .withColumn("rank", (F.col("_offset") + F.col("_rn")).cast("bigint"))
-            .drop("_slice", "_rn", "_offset"))
+    slices = max(1, -(-rows.count() // SLICE_ROWS))
+    # The number of a sorted row is its slice in the high bits, its place in the low ones.
+    placed = cut_lineage(rows.repartitionByRange(slices, *order).sortWithinPartitions(*order)
+                         .withColumn("_at", F.monotonically_increasing_id()))
+    slice_no = F.shiftright("_at", 33)
+    sizes = placed.groupBy(slice_no.alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (placed.withColumn("_slice", slice_no).join(offsets, "_slice")
+            .withColumn(out, (F.col("_off") + inside + 1).cast("bigint"))
+            .drop("_slice", "_off", "_at"))
+
+
+def rank_all(df: DataFrame, score: str, *tiebreak: str) -> DataFrame:
+    """Add ``rank`` over all rows by ``score`` descending, then ``tiebreak`` ascending.
+
+    The tie-break columns together are unique.
+    """
+    return number_rows(df, "rank", F.col(score).desc(), *[F.col(c).asc() for c in tiebreak])
 
 
 def previous_value(df: DataFrame, key: str, seq: str, value: str, out: str,

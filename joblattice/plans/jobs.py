@@ -21,6 +21,7 @@ from ..operators.crawl_log import (by_company, merge_recrawl, recovered_count, r
 from ..operators.dedup import FUZZY_THRESHOLD, dedup_totals, tag_duplicates
 from ..operators.matching import match_all, match_listings, match_pages
 from ..operators.merge import UpsertResult, upsert_listings
+from ..operators.ranking import number_rows
 from ..sinks.reports import failure_report, listing_match_report, page_match_report
 from ..session import cut_lineage
 from ..sources.directories import union_directories
@@ -38,7 +39,8 @@ def ingest_feeds(stored: DataFrame, feeds: dict[str, Callable[[], DataFrame]]) -
     """Merge all feeds into the stored listings; a failing feed leaves the others alone.
 
     ``feeds`` maps a source name to the reader of its batch (with ``seq`` and
-    ``date_scraped``). A feed whose reader fails is recorded as failed.
+    ``date_scraped``). A feed whose reader fails is recorded as failed. Where a feed is
+    ordered by ``seq`` and ``pos``, all rows are numbered anew, feeds in the given order.
     """
     spark = stored.sparkSession
     good, failed, empty = [], [], []
@@ -53,9 +55,15 @@ def ingest_feeds(stored: DataFrame, feeds: dict[str, Callable[[], DataFrame]]) -
             failed.append((source, str(exc).split("\n")[0]))
     if not good:
         raise ValueError("no feed could be read")
+    paged = any("pos" in rows.columns for rows in good)
+    if paged:
+        good = [rows.withColumn("_feed", F.lit(i)) for i, rows in enumerate(good)]
     batch = good[0]
     for other in good[1:]:
         batch = batch.unionByName(other, allowMissingColumns=True)
+    if paged:
+        batch = (number_rows(batch, "_n", F.col("_feed"), F.col("seq"), F.col("pos"))
+                 .withColumn("seq", F.col("_n")).drop("_n", "_feed", "pos"))
     result = upsert_listings(stored, batch)
     runs = result.counts().select(
         "source", "jobs_found", "jobs_new", F.lit("completed").alias("status"),
@@ -78,7 +86,7 @@ def ingest_directories(stored: DataFrame, profile_files: DataFrame, table: DataF
     """Merge three company directories in load order into the stored companies."""
     rows = union_directories(profile_files, table, listed)
     # Later directories follow earlier ones; inside a directory the given order holds.
-    order = F.col("source_rank").cast("bigint") * F.lit(1 << 60) + F.col(seq)
+    order = F.struct("source_rank", seq)
     return upsert_companies(stored, rows.withColumn("_seq", order), seq="_seq")
 
 

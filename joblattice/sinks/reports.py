@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.money import salary_display
 from ..operators.crawl_log import (failure_samples, failures_by_category, failures_by_domain,
                                    success_summary)
+from ..operators.matching import row_order
 from ..operators.ranking import rank_all, rank_top_k
 
 # List prefixes shown in reports.
@@ -32,6 +33,13 @@ def link_lines(links: Column, n: int = REPORT_LINKS) -> Column:
     return F.array_join(shown, "\n")
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rank`` by score and row order in place of the order columns."""
+    order = row_order(rows)
+    return rank_all(rows, "score", *order).select(
+        "rank", *[c for c in rows.columns if c not in order])
+
+
 def page_match_report(matches: DataFrame) -> DataFrame:
     """Twelve-column report of matched pages, ranked."""
     rows = matches.select(
@@ -43,15 +51,14 @@ def page_match_report(matches: DataFrame) -> DataFrame:
         joined(F.col("method_hits")).alias("methodology_hits"),
         joined(F.col("exclude_hits")).alias("excluded_keywords"),
         "careers_url", "final_url", link_lines(F.col("job_links")).alias("top_job_links"))
-    ranked = rank_all(rows, "score", "seq")
-    return ranked.select("rank", *[c for c in rows.columns if c != "seq"])
+    return _ranked(rows)
 
 
 def listing_match_rows(matches: DataFrame, empty: str = "", separator: str = " - ") -> DataFrame:
     """Report columns of matched listings, not yet ranked."""
     skills = F.concat("ops_hits", "tech_hits", "method_hits")
     return matches.select(
-        "seq", F.col("total").alias("score"), "company", "title",
+        *row_order(matches), F.col("total").alias("score"), "company", "title",
         F.coalesce("location", F.lit("")).alias("location"),
         salary_display(F.col("salary_min"), F.col("salary_max"), separator).alias("salary"),
         "source", joined(F.col("role_hits"), empty).alias("role_matches"),
@@ -62,9 +69,7 @@ def listing_match_rows(matches: DataFrame, empty: str = "", separator: str = " -
 def listing_match_report(matches: DataFrame, empty: str = "",
                          separator: str = " - ") -> DataFrame:
     """Eleven-column report of matched listings, ranked; ``empty`` marks a list without hits."""
-    rows = listing_match_rows(matches, empty, separator)
-    ranked = rank_all(rows, "score", "seq")
-    return ranked.select("rank", *[c for c in rows.columns if c != "seq"])
+    return _ranked(listing_match_rows(matches, empty, separator))
 
 
 def page_summary(matches: DataFrame, k: int = 30) -> DataFrame:
@@ -82,7 +87,8 @@ def page_summary(matches: DataFrame, k: int = 30) -> DataFrame:
 def listing_summary(matches: DataFrame, k: int = 10, company_chars: int = 29,
                     title_chars: int = 39, source_chars: int | None = None) -> DataFrame:
     """Console table of the best listings."""
-    best = rank_top_k(matches, k, F.col("total").desc(), F.col("seq").asc())
+    best = rank_top_k(matches, k, F.col("total").desc(),
+                      *[F.col(c).asc() for c in row_order(matches)])
     source = F.left("source", F.lit(source_chars)) if source_chars else F.col("source")
     return best.select(
         "rank", F.col("total").alias("score"),

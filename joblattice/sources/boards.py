@@ -34,9 +34,6 @@ SPAN_CLASS = "new-listing__categories__category"
 # Navigation texts that look like titles.
 NAV_TITLES = ("view job post", "jobs")
 
-# Sequence numbers reserved per page.
-PAGE_SLOTS = 1 << 20
-
 _UNKNOWN, _REMOTE = "Unknown", "Remote"
 
 
@@ -65,9 +62,9 @@ def _listing(df: DataFrame, keep, source: str, **cols: Column) -> DataFrame:
 
 def parse_category_pages(pages: DataFrame, html: str = "html", path: str = "cat_path",
                          page_key: str = "page_id") -> DataFrame:
-    """Postings of stored category pages, ``seq`` in page order, first row per url.
+    """Postings of stored category pages in order of ``seq`` (the page) and ``pos``.
 
-    Titles and companies are required; a blank place falls back to a tag naming
+    The first row per url stays. Titles and companies are required; a blank place falls back to a tag naming
     the whole world, then to "Remote".
     """
     source, base = CATEGORY_BOARD
@@ -85,14 +82,13 @@ def parse_category_pages(pages: DataFrame, html: str = "html", path: str = "cat_
     job_type, tags = split_spans(F.col("spans"))
     category = blank_to_null(category_name(F.col(path)))
     all_tags = F.when(category.isNull(), tags).otherwise(F.array_append(tags, category))
-    seq = (F.col(page_key) * PAGE_SLOTS + F.col("pos")).cast("bigint")
     rows = _listing(
-        usable.withColumn("seq", seq), ["seq"], source, title=F.col("title"),
+        usable.withColumn("seq", F.col(page_key)), ["seq", "pos"], source, title=F.col("title"),
         company=F.col("company"), url=resolve(F.col("href"), F.lit(base)),
         external_id=F.col("href"),
         location=F.coalesce(location_from_tags(F.col("place"), tags), F.lit(_REMOTE)),
         tags=all_tags, job_type=job_type)
-    return keep_first(rows, ["url"], F.col("seq").asc())
+    return keep_first(rows, ["url"], F.col("seq").asc(), F.col("pos").asc())
 
 
 def parse_text_cards(cards: DataFrame, seq: str = "seq") -> DataFrame:
