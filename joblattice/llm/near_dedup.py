@@ -8,9 +8,9 @@ that a banded alignment matches in order are at least ``SIMILARITY`` of all thei
 (matched / (first + second - matched)). Classes are the components of the links.
 
 Texts of equal words are one node before any comparison. In a bucket every node is aligned
-with one center, then, where the bucket still holds several classes, with about 8 pivots
-chosen by hash. What is then still mixed is compared by blocks of nodes: no candidate pair
-between classes stays untested, and a bucket of one class costs one comparison a node.
+with one center. A bucket that then still holds several classes is compared by blocks of
+nodes, those of one large class left out: no candidate pair between classes stays untested,
+and a large class costs one comparison a node plus one block for each block of others.
 
 Defined cases: texts without words are alone; texts of less than five words are one shingle;
 a null id loses every tie; repeated rows are copies; an empty table gives no rows; further
@@ -36,8 +36,7 @@ SIMILARITY = 0.8
 #: Sketch values a band and bands: a pair at similarity 0.8 shares no band with chance 0.001.
 PER_BAND = 3
 BANDS = 24
-#: Pivots of a bucket that still holds several classes, and nodes of a block comparison.
-PIVOTS = 8
+#: Nodes of a block.
 CHUNK = 256
 
 _rng = np.random.Generator(np.random.PCG64(31))
@@ -227,42 +226,57 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return cut_lineage(map_batches(joined, run, "a long, b long"))
 
 
-def _pivot_share(nid: str, bucket: str):
-    """Number in [0, 1) that orders the nodes of a bucket by hash."""
-    return F.pmod(F.xxhash64(nid, bucket), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (bucket, nid, n, root) of the buckets that hold more than one class."""
+    """Members (bucket, nid, root) of the buckets that hold more than one class."""
     tagged = members.join(roots, F.col("nid") == F.col("node"), "left").select(
-        "bucket", "nid", "n", F.coalesce("root", "nid").alias("root"))
+        "bucket", "nid", F.coalesce("root", "nid").alias("root"))
     mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     return cut_lineage(tagged.join(mixed.where("lo < hi").select("bucket"), "bucket"))
 
 
+def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further edges; only the graph of the roots is contracted."""
+    for end in ("a", "b"):
+        edges = edges.join(roots.select(F.col("node").alias(end), "root"), end, "left").withColumn(
+            end, F.coalesce("root", end)).drop("root")
+    over = components(edges)
+    moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")),
+                       "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return cut_lineage(moved.unionByName(over.join(roots.select("node"), "node", "left_anti")))
+
+
 def _blocks(rest: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of different classes of a bucket whose shingle sets are similar enough.
 
-    A bucket is dealt to chunks of about ``CHUNK`` nodes; every pair of chunks is compared as
-    a product of matrices, and only pairs at ``least`` leave the task. Matched shingles of an
-    alignment are common shingles, so nothing that an alignment would link is lost.
+    A class of at least ``CHUNK`` nodes of a bucket is dealt to blocks of its own, the others
+    share blocks. Every pair of blocks but those of one class is compared as a product of
+    matrices, and only pairs at ``least`` leave the task. Matched shingles of an alignment are
+    common shingles, so nothing that an alignment would link is lost.
     """
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    dealt = (rest.withColumn("chunks", chunks)
-             .withColumn("c", F.pmod(F.xxhash64("bucket", "nid"), F.col("chunks")).cast("int"))
-             .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-             .select("bucket", "nid", "root", F.least("c", "o").alias("i"),
-                     F.greatest("c", "o").alias("j"), F.col("c").alias("own"))
-             .join(texts, "nid"))
+    large = rest.groupBy("bucket", "root").count().where(F.col("count") >= CHUNK)
+    owned = rest.join(large, ["bucket", "root"], "left").select(
+        "bucket", "nid", "root", F.when(F.col("count").isNull(), -1)
+        .otherwise(F.col("root")).alias("g"))
+    parts = owned.groupBy("bucket", "g").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    dealt = cut_lineage(owned.join(parts, ["bucket", "g"]).select(
+        "bucket", "nid", "root", F.struct(
+            "g", F.pmod(F.xxhash64("bucket", "nid"), F.col("parts")).alias("c")).alias("own")))
+    blocks = cut_lineage(dealt.select("bucket", "own").distinct())
+    sides = (blocks.withColumnRenamed("own", "i")
+             .join(blocks.withColumnRenamed("own", "j"), "bucket")
+             .where("i <= j and (i.g <> j.g or i.g < 0)")
+             .withColumn("own", F.explode(F.array_distinct(F.array("i", "j")))))
+    dealt = (sides.join(dealt, ["bucket", "own"]).join(texts, "nid")
+             .select("bucket", "i", "j", "nid", "root", "text",
+                     (F.col("own") == F.col("i")).alias("left"),
+                     (F.col("own") == F.col("j")).alias("right")))
 
     def compare(group: pa.Table) -> pa.Table:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         nid, root = group.column("nid").to_numpy(), group.column("root").to_numpy()
-        own = group.column("own").to_numpy()
         words, counts = words_of([t.encode() for t in group.column("text").to_pylist()])
         sets = [_labelled(shingles(words[e - c:e]))
                 for e, c in zip(np.cumsum(counts), counts, strict=True)]
-        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        x, y = (np.flatnonzero(group.column(c).to_numpy()) for c in ("left", "right"))
         size = np.array([len(v) for v in sets])
         common = common_counts([sets[k] for k in x], [sets[k] for k in y])
         share = common / (size[x][:, None] + size[y][None, :] - common)
@@ -316,19 +330,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         .agg(F.first("text").alias("text")))
     edges = _verified(pairs, texts, least)
     roots = components(edges)
-    mixed = _mixed(members, roots)
-    pivots = (mixed.where(_pivot_share("nid", "bucket") * F.col("n") < PIVOTS)
-              .select("bucket", F.col("nid").alias("p"), F.col("root").alias("p_root")))
-    pairs = cut_lineage(
-        mixed.join(pivots, "bucket").where("root <> p_root")
-        .select(F.least("nid", "p").alias("a"), F.greatest("nid", "p").alias("b"))
-        .distinct().join(pairs, ["a", "b"], "left_anti"))
-    edges = cut_lineage(edges.unionByName(_verified(pairs, texts, least)))
-    roots = components(edges)
-    rest = _mixed(members.where(F.col("n") > PIVOTS), roots)
+    rest = _mixed(members.where("n > 2"), roots)
     pairs = cut_lineage(_blocks(rest, texts, least).distinct())
-    edges = cut_lineage(edges.unionByName(_verified(pairs, texts, least)))
-    roots = components(edges)
+    roots = _merged(roots, _verified(pairs, texts, least))
     ids = nodes.select("fp", "nid").join(roots, F.col("nid") == F.col("node"), "left").select(
         "fp", F.coalesce("root", "nid").alias("root"))
     tagged = cut_lineage(rows.select("_id", "fp", F.col("bands").isNull().alias("blank"),
