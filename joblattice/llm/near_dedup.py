@@ -38,6 +38,8 @@ PER_BAND = 3
 BANDS = 24
 #: Nodes of a block.
 CHUNK = 256
+#: Bits of a fingerprint that number a place in the bitmap of nodes: 8 MB at any input size.
+MAP_BITS = 26
 
 _rng = np.random.Generator(np.random.PCG64(31))
 _STEPS = _rng.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -194,13 +196,34 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(spread(rows), run, f"_id {id_type}, fp binary, bands array<long>")
 
 
-def _with_fingerprint(docs: DataFrame, text_col: str, name: str = "_fp") -> DataFrame:
-    """``docs`` and the fingerprint of each text as a further column."""
+def _places(nodes: DataFrame) -> np.ndarray:
+    """Bitmap, 2^MAP_BITS bits at any input size, of the places of the fingerprints of ``nodes``."""
+    place = F.shiftright(F.conv(F.hex(F.substring("fp", 1, 4)), 16, 10).cast("long"), 32 - MAP_BITS)
+    bits = (nodes.select(place.alias("at")).groupBy(F.shiftright("at", 15).alias("part"))
+            .agg(F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << 15) - 1)).alias("map")))
+    out = np.zeros((1 << (MAP_BITS - 15), 1 << 12), dtype=np.uint8)
+    for row in bits.toLocalIterator():                  # 2^11 rows of 4 kB at most
+        out[row["part"]] = np.frombuffer(bytes(row["map"]), dtype=np.uint8)
+    return out.ravel()
+
+
+def _with_fingerprint(docs: DataFrame, text_col: str, name: str = "_fp",
+                      places: np.ndarray | None = None) -> DataFrame:
+    """``docs`` and the fingerprint of each text as a further column.
+
+    With ``places`` only rows whose fingerprint has its bit set: a superset of the nodes' rows.
+    """
     from pyspark.sql.types import BinaryType, StructField, StructType
+    held = None if places is None else docs.sparkSession.sparkContext.broadcast(places)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        marks = pa.array([fingerprint(t) for t in texts_of(batch, text_col)], pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns, marks], [*batch.schema.names, name])
+        prints = [fingerprint(t) for t in texts_of(batch, text_col)]
+        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.binary())],
+                                         [*batch.schema.names, name])
+        if held is None:
+            return out
+        at = np.array([int.from_bytes(x[:4], "big") for x in prints], np.int64) >> 32 - MAP_BITS
+        return out.filter(pa.array((held.value[at >> 3] >> (at & 7)) & 1 == 1))
     schema = StructType([*docs.schema.fields, StructField(name, BinaryType())])
     return map_batches(spread(docs), run, schema)
 
@@ -325,9 +348,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                 F.greatest("nid", "center").alias("b")).distinct())
     involved = cut_lineage(nodes.join(members.select("nid").distinct(), "nid", "left_semi")
                            .select("nid", "fp"))
-    marked = _with_fingerprint(docs.select(F.col(text_col).alias("text")), "text", "fp")
-    texts = cut_lineage(marked.join(involved, "fp").groupBy("nid")
-                        .agg(F.first("text").alias("text")))
+    marked = _with_fingerprint(docs.select(F.col(text_col).alias("text")), "text", "fp",
+                               _places(involved))
+    texts = cut_lineage(marked.groupBy("fp").agg(F.first("text").alias("text"))
+                        .join(involved, "fp").select("nid", "text"))
     edges = _verified(pairs, texts, least)
     roots = components(edges)
     rest = _mixed(members.where("n > 2"), roots)
