@@ -83,6 +83,27 @@ def test_near_classes_by_brute_force(documents, near_texts):
     assert sum(r["kept"] for r in rows) == len(set(root))
 
 
+def test_blocks_find_every_link_between_classes(spark, near_texts, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 3)
+    nodes = [(i, t) for i, t in enumerate(near_texts[:40])]
+    root = {i: 100 if i % 4 else i for i, _ in nodes}                 # one large class
+    rest = spark.createDataFrame([(7, i, root[i]) for i, _ in nodes],
+                                 "bucket long, nid long, root long")
+    texts = spark.createDataFrame(nodes, "nid long, text string")
+    found = {(r["a"], r["b"]) for r in near_dedup._blocks(rest, texts, 0.8).collect()}
+    sets = [shingle_set(t) for _, t in nodes]
+    assert found and found == {
+        (a, b) for b in range(40) for a in range(b) if root[a] != root[b]
+        and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+
+
+def test_merged_roots(spark):
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "node long, root long")
+    edges = spark.createDataFrame([(2, 6), (8, 9)], "a long, b long")
+    got = {r["node"]: r["root"] for r in near_dedup._merged(roots, edges).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8}
+
+
 def test_drop_near_passes_columns(documents, near_texts):
     docs = documents([*enumerate(near_texts), (0, near_texts[0]), (None, near_texts[5])])
     kept = near_dedup.drop_near(docs)
