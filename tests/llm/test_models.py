@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from joblattice.llm import (embedding_dedup, near_dedup, packing, piece_codec, pitman_yor,
@@ -272,6 +273,22 @@ def test_quality_decisions(spark, labelled):
     assert quality_lm.classify(odd.limit(0), none).count() == 0
 
 
+def test_quality_thresholds_are_blended_quantiles(spark, labelled):
+    docs, labels = labelled
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 16 == 0, "few").otherwise("xy"))
+    scorer = quality_lm.train(docs, labels)
+    trusted = scorer.score(docs.join(labels.where("quality = 1"), "doc_id", "left_semi"))
+    top, rows = {}, {}
+    for r in trusted.collect():                      # under 200 rows the quantile is the largest
+        for lang in (r["_lang"], None):
+            top[lang] = max(top.get(lang, 0), r["perplexity"])
+            rows[lang] = rows.get(lang, 0) + 1
+    assert rows["few"] == 15 and scorer.thresholds[None] == pytest.approx(top[None])
+    for lang in ("few", "xy"):
+        own = rows[lang] / (rows[lang] + quality_lm.POOLED_ROWS)
+        assert scorer.thresholds[lang] == pytest.approx(top[lang] ** own * top[None] ** (1 - own))
+
+
 def _tokens(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub(
         "[A-Z]", lambda m: m[0].lower(), text or "")) if w] + [None]
