@@ -5,7 +5,8 @@ of the block before and after, and where it stands. A decision tree fitted on a
 of labelled blocks (``LABELLED_PAGES``) says which blocks are main text.
 
 Defined cases: null, empty or markup-only pages give an empty text; unclosed elements last
-to the end of what holds them, an unclosed comment or script to the end of the page; pages
+to the end of what holds them, an unclosed comment or raw-text element (``RAW``) to the end of
+the page; other hidden elements hide what is before their end tag, and nothing without one; pages
 are read whole; repeated rows are done each; an empty table gives no rows; further columns
 are not read.
 """
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 from joblattice.llm.common import map_batches, prepare, spread, texts_of
 
 # HTML element names and the words that name page furniture.
-HIDDEN = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "select",
-          "textarea", "button", "title", "canvas", "video", "audio")
+RAW = ("script", "style", "noscript", "iframe", "textarea", "title")
+HIDDEN = frozenset("template svg math object select button canvas video audio".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark "
                    "q s samp small span strike strong sub sup time tt u var wbr".split())
 BOILER_TAGS = frozenset("nav aside footer form menu dialog head fieldset".split())
@@ -40,7 +41,7 @@ MAIN_WORDS = frozenset("article content main post story entry body text".split()
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>" + "|".join(HIDDEN) + r")\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>]|\Z)[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
     re.S | re.I)
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -65,6 +66,23 @@ def _place(tag: str, attrs: str, inside_main: bool) -> int:
     return 1 if tag in MAIN_TAGS else 0
 
 
+def _hidden_ends(tokens: list[re.Match]) -> dict[int, int]:
+    """Where each hidden element that has an end tag begins and ends."""
+    open_at: dict[str, list[int]] = {}
+    ends = {}
+    for token in tokens:
+        tag = (token["tag"] or "").lower()
+        if tag not in HIDDEN:
+            continue
+        held = open_at.setdefault(tag, [])
+        if token["close"]:
+            if held:
+                ends[held.pop()] = token.end()
+        elif not (tag in ("svg", "math") and token["attrs"].endswith("/")):
+            held.append(token.start())
+    return ends
+
+
 def blocks_of(page: str) -> list[tuple[str, int, int, int, int, int]]:
     """Flat blocks in order: text, words, words in links, in main, in furniture, heading."""
     blocks = []
@@ -86,7 +104,11 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, int, int]]:
             linked.clear()
 
     at = 0
-    for token in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    ends = _hidden_ends(tokens)
+    for token in tokens:
+        if token.start() < at:                       # inside a hidden element
+            continue
         if token.start() > at:
             piece = page[at:token.start()]
             parts.append(piece)
@@ -97,6 +119,9 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, int, int]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in HIDDEN and not token["close"]:
+            at = ends.get(token.start(), at)
+            continue
         if tag == "a":
             link = 0 if token["close"] else 1
             continue

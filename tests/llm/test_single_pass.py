@@ -171,6 +171,15 @@ def test_html_text(spark, as_dict):
         assert (got[i]["text"], got[i]["n_chars"]) == (want, len(want))
 
 
+@pytest.mark.parametrize("inner", [
+    "<svg viewBox='0 0 1 1'/>", "<math/>", "<object-card>", "<button>", "<video src=a>", "<select>",
+    "<object data=x>", "<svg><svg><text>no</text></svg><text>no</text></svg>",
+    "<BUTTON>no</BUTTON >", "<script>no</script>"])
+def test_html_hidden_elements_end(inner):
+    page = f"<article><p>one</p>{inner}<p>two</p><p>three</p></article><p><svg>no</svg></p>"
+    assert html_text.main_text(page) == "one two three"
+
+
 def test_tree_fits_its_table():
     for page in html_text.labelled_pages():
         blocks = html_text.blocks_of(page)
