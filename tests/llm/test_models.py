@@ -277,18 +277,83 @@ def test_quality_thresholds_are_blended_quantiles(spark, labelled):
     docs, labels = labelled
     docs = docs.withColumn("lang", F.when(F.col("doc_id") % 16 == 0, "few").otherwise("xy"))
     scorer = quality_lm.train(docs, labels)
-    trusted = scorer.score(docs.join(labels.where("quality = 1"), "doc_id", "left_semi"))
+    trusted = docs.join(labels.where("quality = 1"), "doc_id", "left_semi")
+    held = scorer.score(trusted.where(quality_lm.held_out(F.col("doc_id"))))
     top, rows = {}, {}
-    for r in trusted.collect():                      # under 200 rows the quantile is the largest
+    for r in held.collect():                         # under 200 rows the quantile is the largest
         for lang in (r["_lang"], None):
             top[lang] = max(top.get(lang, 0), r["perplexity"])
             rows[lang] = rows.get(lang, 0) + 1
-    assert rows["few"] == 15 and scorer.thresholds[None] == pytest.approx(top[None])
+    assert 0 < rows["few"] < rows["xy"] and scorer.thresholds[None] == pytest.approx(top[None])
     for lang in ("few", "xy"):
         own = rows[lang] / (rows[lang] + quality_lm.POOLED_ROWS)
         assert scorer.thresholds[lang] == pytest.approx(top[lang] ** own * top[None] ** (1 - own))
 
 
+def _word_kneser_ney(texts, spell):
+    """Word model of order 3 by its definition: log10 probability of a text."""
+    from collections import Counter
+
+    def grams(text):
+        w = ["<", "<", *text.split(), ">"]
+        return [tuple(w[i - 2:i + 1]) for i in range(2, len(w))]
+    c3 = Counter(g for t in texts for g in grams(t))
+    c2 = Counter(g[1:] for g in c3)
+    c1 = Counter(g[1:] for g in c2)
+
+    def level(counts, lower):
+        n = Counter(counts.values())
+        d = [0.5] * 3
+        if n[1] and n[2] and n[3]:
+            y = n[1] / (n[1] + 2 * n[2])
+            d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
+            d = [min(max(x, 0.05), 0.95 + i) for i, x in enumerate(d)]
+        total, held = Counter(), Counter()
+        for g, v in counts.items():
+            total[g[:-1]] += v
+            held[g[:-1]] += min(d[min(v, 3) - 1], v)
+
+        def p(g):
+            if not total[g[:-1]]:
+                return lower(g)
+            v = counts[g]
+            own = max(v - d[min(v, 3) - 1], 0) / total[g[:-1]] if v else 0
+            return own + held[g[:-1]] / total[g[:-1]] * lower(g)
+        return p
+    one = level(c1, lambda g: spell("" if g[0] == ">" else g[0]))
+    two = level(c2, lambda g: one(g[1:]))
+    model = level(c3, lambda g: two(g[1:]))
+    return lambda text: sum(math.log10(model(g)) for g in grams(text))
+
+
+@pytest.mark.parametrize("hot", [0, 1 << 18])
+def test_quality_word_model_by_definition(spark, hot):
+    texts = [" ".join(words(60, i % 9)) for i in range(12)] + ["Ünder über", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scorer = quality_lm.Scorer(docs, hot_grams=hot)
+    types = [w.encode() + b" " for w in {x for t in texts for x in t.split()} | {""}]
+    byte = _kneser_ney(types)
+
+    def spell(word):
+        raw = b"\x02\x02" + word.encode() + b" "
+        return math.prod(byte(raw[i:i + 3]) for i in range(len(raw) - 2))
+    want = _word_kneser_ney(texts, spell)
+    shuffled = words(60, 1)
+    random.Random(5).shuffle(shuffled)
+    tries = [texts[1], " ".join(shuffled), "übrig zzz Ünder", f"{VOCAB[0]} " * 40, "q\n\tq", " ", ""]
+    got = scorer.score(spark.createDataFrame([(i, t, "xy") for i, t in enumerate(tries)],
+                                             "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(tries)
+    for r in got:
+        text = tries[r["_id"]]
+        assert (r["perplexity"] is None) == (text == "")
+        if text:
+            assert r["perplexity"] == pytest.approx(
+                10 ** (-want(text) / (len(text.split()) + 1)), rel=1e-4)
+    by = {r["_id"]: r["perplexity"] for r in got}
+    assert by[1] > 2 * by[0]                         # the same words out of order
+
+
 def _tokens(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub(
         "[A-Z]", lambda m: m[0].lower(), text or "")) if w] + [None]
