@@ -3,10 +3,12 @@
 A text is marked at its start and its spaces as the public piece vocabulary does, split into
 chunks that no piece crosses, and merged by an agenda: the best-scored adjacent pair first,
 the leftmost on ties. Each candidate taken from the agenda is skipped with chance
-``dropout``, decided by a hash of the key, its place and its text; so a key always gives the
-same pieces, another key gives others, and every result decodes to the same text. Without
-dropout the pieces are the library's. The key of a document is one of ``VARIANTS`` chosen by
-a keyed hash of its id, which lets a worker remember chunks by variant.
+``dropout``, decided by a hash of the key, its place in the text and its text; so a key always
+gives the same pieces, another key gives others, and every result decodes to the same text.
+Without dropout the pieces are the library's. The key of a document is a hash of the seed and
+its id, so each occurrence of a word in each document is split for itself. A worker remembers
+what does not depend on the key: the first candidates of a chunk. ``variant`` numbers the
+documents by ``VARIANTS`` classes of their keys and decides nothing.
 
 Defined cases: null counts as empty; an empty text has no pieces; characters outside the
 vocabulary, and the space mark itself, are written as bytes; texts are read whole; repeated
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from joblattice.llm.common import map_batches, prepare, spread, texts_of
 
 MARK = "▁"
-#: Segmentations a chunk can get, and chunks a worker remembers (twice at most).
+#: Classes of keys, and chunks a worker remembers (twice at most).
 VARIANTS = 2
 REMEMBERED = 250_000
 
@@ -58,23 +60,35 @@ class PieceCodec:
         self.text_of = [p.replace(MARK, " ") for p in self.pieces]
         for b, i in enumerate(self.bytes_at):        # a lone byte waits for the others
             self.text_of[i] = bytes([b]).decode("utf-8", "surrogateescape")
-        self.seen: dict[tuple[int, float], dict[str, bytes]] = {}
-        self.older: dict[tuple[int, float], dict[str, bytes]] = {}
-        self.held = 0
-
-    def merge(self, chunk: str, key: int, dropout: float) -> list[str]:
-        """Pieces of one chunk."""
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.first: dict[str, list[tuple]] = {}
+        self.first_older: dict[str, list[tuple]] = {}
+
+    def _candidates(self, chunk: str) -> list[tuple]:
+        """First agenda of a chunk, a heap; remembered for short chunks."""
+        agenda = self.first.get(chunk)
+        if agenda is None:
+            agenda = self.first_older.get(chunk)
+            if agenda is None:
+                rank = self.rank
+                pairs = ((rank.get(chunk[i:i + 2]), i) for i in range(len(chunk) - 1))
+                agenda = [(r, i, chunk[i], chunk[i + 1]) for r, i in pairs if r is not None]
+                heapq.heapify(agenda)
+            if len(chunk) <= 64:
+                if len(self.first) > REMEMBERED // 4:    # one older generation stays
+                    self.first_older, self.first = self.first, {}
+                self.first[chunk] = agenda
+        return agenda
+
+    def merge(self, chunk: str, key: int, dropout: float, place: int = 0) -> list[str]:
+        """Pieces of one chunk that begins at ``place`` of its text."""
         parts = list(chunk)
         n = len(parts)
         rank = self.rank
-        agenda = []
-        for i in range(n - 1):
-            r = rank.get(parts[i] + parts[i + 1])
-            if r is not None:
-                agenda.append((r, i, parts[i], parts[i + 1]))
+        agenda = list(self._candidates(chunk))
         if not agenda:
             return parts
-        heapq.heapify(agenda)
         limit = int(dropout * (1 << 32))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
@@ -84,7 +98,7 @@ class PieceCodec:
                 continue
             joined = left + right
             if limit:
-                h = zlib.crc32(joined.encode(), (key + i * 0x9E3779B1) & 0xFFFFFFFF)
+                h = zlib.crc32(joined.encode(), (key + (place + i) * 0x9E3779B1) & 0xFFFFFFFF)
                 if (h * 0x9E3779B1 ^ h >> 15) & 0xFFFFFFFF < limit:
                     continue
             parts[i], parts[j] = joined, ""
@@ -102,9 +116,9 @@ class PieceCodec:
                     heapq.heappush(agenda, (r, h, parts[h], joined))
         return [p for p in parts if p]
 
-    def _chunk_ids(self, chunk: str, key: int, dropout: float) -> bytes:
+    def _chunk_ids(self, chunk: str, key: int, dropout: float, place: int) -> bytes:
         out = []
-        for piece in self.merge(chunk, key, dropout):
+        for piece in self.merge(chunk, key, dropout, place):
             i = self.ids.get(piece)
             if i is None:
                 out += [self.bytes_at[b] for b in piece.encode()]
@@ -118,27 +132,32 @@ class PieceCodec:
             return np.zeros(0, dtype="<u4")
         if MARK in text:                             # the mark itself goes through bytes
             raw = np.array([self.bytes_at[b] for b in MARK.encode()], dtype="<u4").tobytes()
-            runs = text.split(MARK)
-            coded = [self._run(MARK + runs[0], key, dropout),
-                     *[self._run(r, key, dropout) for r in runs[1:]]]
+            coded, place = [], 0
+            for run in (MARK + text).split(MARK)[1:]:
+                run = run if place else MARK + run
+                coded.append(self._run(run, key, dropout, place))
+                place += len(run) + 1
             return np.frombuffer(raw.join(coded), dtype="<u4")
         return np.frombuffer(self._run(MARK + text, key, dropout), dtype="<u4")
 
-    def _run(self, text: str, key: int, dropout: float) -> bytes:
-        if self.held > REMEMBERED:                   # one older generation stays
-            self.older, self.seen, self.held = self.seen, {}, 0
-        seen = self.seen.setdefault((key, dropout), {})
-        older = self.older.get((key, dropout), {})
+    def _run(self, text: str, key: int, dropout: float, place: int = 0) -> bytes:
+        chunks = _CHUNK.findall(text.replace(" ", MARK))
         out = []
-        for chunk in _CHUNK.findall(text.replace(" ", MARK)):
-            ids = seen.get(chunk)
+        if dropout:
+            for chunk in chunks:
+                out.append(self._chunk_ids(chunk, key, dropout, place))
+                place += len(chunk)
+            return b"".join(out)
+        for chunk in chunks:
+            ids = self.seen.get(chunk)
             if ids is None:
-                ids = older.get(chunk)
+                ids = self.older.get(chunk)
                 if ids is None:
-                    ids = self._chunk_ids(chunk, key, dropout)
+                    ids = self._chunk_ids(chunk, 0, 0.0, 0)
                 if len(chunk) <= 64:
-                    seen[chunk] = ids
-                    self.held += 1
+                    if len(self.seen) > REMEMBERED:  # one older generation stays
+                        self.older, self.seen = self.seen, {}
+                    self.seen[chunk] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -171,16 +190,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``_id, variant, ids`` of every row, in one pass without a shuffle."""
     prepare(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    variant = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(variants)).cast("int")
-    rows = docs.select(F.col(id_col).alias("_id"), variant.alias("variant"),
+    key = F.xxhash64(F.lit(seed), F.col(id_col))
+    rows = docs.select(F.col(id_col).alias("_id"), key.alias("_key"),
+                       F.pmod(key, F.lit(variants)).cast("int").alias("variant"),
                        F.col(text_col).alias("_text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tool = codec(vocabulary)
-        keys = [zlib.crc32(f"{seed}/{v}".encode()) for v in range(variants)]
-        ids = [tool.encode(t.decode("utf-8", "replace"), keys[v], dropout).astype(np.int32)
-               for t, v in zip(texts_of(batch, "_text"), batch.column("variant").to_pylist(),
-                               strict=True)]
+        keys = [zlib.crc32(str(k).encode()) for k in batch.column("_key").to_pylist()]
+        ids = [tool.encode(t.decode("utf-8", "replace"), k, dropout).astype(np.int32)
+               for t, k in zip(texts_of(batch, "_text"), keys, strict=True)]
         return pa.RecordBatch.from_arrays(
             [batch.column("_id"), batch.column("variant"), pa.array(ids, pa.list_(pa.int32()))],
             ["_id", "variant", "ids"])

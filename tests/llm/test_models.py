@@ -193,6 +193,17 @@ def test_piece_codec_is_lossless_and_equals_library(documents):
     assert {r["_id"]: r["text"] for r in rows} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+def test_piece_dropout_varies_by_document_and_place(documents):
+    rows = piece_codec.encode(documents([(i, " ".join(["interpolation"] * 40)) for i in range(12)]),
+                              dropout=0.3).collect()
+    assert len({tuple(r["ids"]) for r in rows}) == 12
+    tool = piece_codec.codec()
+    split = {tuple(tool.merge("▁interpolation", 7, 0.3, at)) for at in range(0, 560, 14)}
+    assert len(split) > 5
+    text = " ".join(["interpolation"] * 40)
+    assert len(set(" ".join(tool.pieces[i] for i in tool.encode(text, 7, 0.3)).split("▁"))) > 5
+
+
 def _kneser_ney(texts):
     """Interpolated modified Kneser-Ney of order 3 by its definition, over dictionaries."""
     from collections import Counter
