@@ -74,7 +74,8 @@ def contained_in(keys: DataFrame, names: DataFrame) -> DataFrame:
     """(key, name) pairs where ``key`` is a substring of ``name``, without comparing all pairs.
 
     A contained key brings all its 3-grams along, so looking up its rarest one
-    finds every name (keys of one or two characters are looked up whole).
+    finds every name (keys of one or two characters are looked up whole). The blank
+    key, one at most, is in every name and has no gram.
     """
     name_grams = names.select(
         "name", F.explode(F.array_distinct(F.concat(*[_grams(F.col("name"), n)
@@ -85,8 +86,10 @@ def contained_in(keys: DataFrame, names: DataFrame) -> DataFrame:
         F.when(F.length(key) >= 3, _grams(key, 3)).otherwise(F.array(key))).alias("gram"))
     rarest = (key_grams.join(frequency, "gram", "left").groupBy("key")
               .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")))
+    blank = F.broadcast(keys.where(key == "").select("key").distinct())
     return (rarest.join(name_grams, "gram")
-            .where(F.contains(F.col("name"), key)).select("key", "name"))
+            .where(F.contains(F.col("name"), key)).select("key", "name")
+            .unionByName(names.where("name is not null").select("name").crossJoin(blank)))
 
 
 @dataclass(frozen=True)

@@ -143,6 +143,23 @@ def test_fuzzy_matches_equal_brute_force(spark, threshold, cell_rows):
                       if active and key in other.lower() and _score(a, b) >= threshold}
 
 
+def test_blank_company_meets_all_stored(spark):
+    schema = "id bigint, title string, company string, source string, url string, is_active boolean"
+
+    def frame(rows):
+        df = spark.createDataFrame([(i, t, c, "s", f"u{i}", True) for i, t, c in rows], schema)
+        return df.withColumn("dedup_hash", dedup_hash(F.col("title"), F.col("company")))
+    stored = frame([(1, "senior data engineer platform team", "Ab"), (2, "gardener", "Acme"),
+                    (3, "senior data engineer platform team x", "")])
+    batch = frame([(7, "senior data engineer platform team", " "), (8, "pilot", "")])
+    got = {r["b_company"] for r in DD.fuzzy_matches(batch, stored).collect()}
+    want = {r["company"].lower() for r in DD.find_fuzzy_duplicates(
+        stored, "senior data engineer platform team", " ").collect()}
+    assert got == want == {"ab", ""}
+    tags = {r["id"]: r["dup_kind"] for r in DD.tag_duplicates(batch, stored).collect()}
+    assert tags == {7: "fuzzy", 8: None}
+
+
 def test_contained_in(spark):
     rnd = random.Random(3)
     keys = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 5))) for _ in range(60)}
