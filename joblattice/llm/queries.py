@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from joblattice.llm import (bpe, embedding_dedup, exact_dedup, html_text, near_dedup, packing,
-                            piece_codec, pitman_yor, quality_lm, sharding)
+from joblattice.llm import (bpe, embedding_dedup, exact_dedup, html_text, merkle, near_dedup,
+                            packing, piece_codec, pitman_yor, quality_lm, sharding)
 from joblattice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,9 @@ def pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         "base_score", "score",
         pitman_yor.perplexity(F.col("score"), F.col("n_tokens")).alias("perplexity"))
+
+
+@query("op13_merkle_manifest")
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and inclusion proof of every document; a third is tampered with."""
+    return merkle.proofs(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
