@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from joblattice.llm import (bpe, embedding_dedup, exact_dedup, html_text, merkle, near_dedup,
-                            packing, piece_codec, pitman_yor, quality_lm, sharding)
+from joblattice.llm import (bpe, conversation, embedding_dedup, exact_dedup, html_text, merkle,
+                            near_dedup, packing, piece_codec, pitman_yor, quality_lm, sharding)
 from joblattice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,11 @@ def pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and inclusion proof of every document; a third is tampered with."""
     return merkle.proofs(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+@query("op11_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after damage."""
+    return conversation.repaired_hashes(table(spark, sf_dir, "conversations")).select(
+        F.col("_conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal",
+        "cost", "audit", F.col("sha").alias("repaired_sha256"))
