@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from joblattice.llm import (bpe, conversation, embedding_dedup, exact_dedup, html_text, merkle,
-                            near_dedup, packing, piece_codec, pitman_yor, quality_lm, sharding)
+                            near_dedup, packing, piece_codec, pitman_yor, quality_lm, sharding,
+                            suffix_levels)
 from joblattice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +132,10 @@ def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repaired_hashes(table(spark, sf_dir, "conversations")).select(
         F.col("_conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal",
         "cost", "audit", F.col("sha").alias("repaired_sha256"))
+
+
+@query("op12_suffix_levels")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that passages of 400 bytes found elsewhere leave over."""
+    return suffix_levels.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed(
+        "_id", "doc_id")
