@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_listings", "q_matching", "q_crawl", "q_scalars", "q_merge", "q_sources")
+_MODULES = ("q_listings", "q_matching", "q_crawl", "q_scalars", "q_merge", "q_sources",
+            "q_profiles")
 
 
 def load() -> None:
