@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -45,35 +46,100 @@ def _hinted(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def _accepted(candidates: DataFrame) -> DataFrame:
-    """Rows a first-come-first-served insert would accept under both unique keys.
+#: Conflicting key rows that are settled by one task in arrival order.
+SETTLED_ROWS = 200_000
 
-    Each round accepts the rows that come first under the hash and under
-    (source, external_id) and drops every row sharing a key with them. A round
-    accepts at least the earliest row, so the loop ends; key conflicts that chain
-    are rare, so it ends after very few rounds.
+_EXT = ["source", "external_id"]
+
+
+def _accepted(candidates: DataFrame, most: int = SETTLED_ROWS) -> DataFrame:
+    """``key, seq`` of rows a first-come-first-served insert would accept under both keys.
+
+    Rows are edges between a hash and a (source, external_id); a row is accepted if no
+    accepted earlier row shares an end with it. Rows that share no end, nearly all of
+    them, pass at once. The others, in narrow form, are settled by one task if they are
+    few; a constant number of tables is written, however long their chains are. More of
+    them are first thinned out by :func:`_thin`. Ends with a NULL conflict with nothing.
+    """
+    rows = candidates.select("seq", "key", *_EXT)
+    twice_key = rows.groupBy("key").count().where("count > 1").select("key")
+    twice_ext = (rows.dropna(subset=_EXT).groupBy(*_EXT).count().where("count > 1")
+                 .select(*_EXT))
+    tangled = cut_lineage(rows.join(twice_key, "key", "left_semi").select(rows.columns).unionByName(
+        rows.join(twice_ext, _EXT, "left_semi").select(rows.columns)).distinct())
+    free = rows.join(_hinted(tangled.select("seq"), is_small(tangled)), "seq", "left_anti")
+    accepted = free.select("key", "seq")
+    while not is_small(tangled, rows=most):
+        taken, tangled = _thin(tangled)
+        accepted = accepted.unionByName(taken)
+    settled = cut_lineage(tangled.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(
+        _first_come(), tangled.select("key", "seq").schema))
+    return accepted.unionByName(settled)
+
+
+def _first_come():
+    """Accepted rows among those of one table, in ``seq`` order (sent to workers by value)."""
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("seq")
+        keys, ends = set(), set()
+        taken = []
+        for at, (key, source, ext) in enumerate(zip(
+                *[rows.column(c).to_pylist() for c in ("key", "source", "external_id")],
+                strict=True)):
+            end = None if source is None or ext is None else (source, ext)
+            if key not in keys and (end is None or end not in ends):
+                keys.add(key)
+                ends.add(end)
+                taken.append(at)
+        return rows.select(["key", "seq"]).take(pa.array(taken, pa.int64()))
+    return run
+
+
+def _drop_neighbours(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """Rows that share no end with an accepted one."""
+    return (rows.join(taken.select("key"), "key", "left_anti")
+            .join(taken.select(*_EXT), _EXT, "left_anti").select(rows.columns))
+
+
+def _thin(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, left over): settle what comes first at both ends, then whole chains.
+
+    A row with one earlier neighbour is accepted exactly if that one is not. Such rows
+    point to their neighbour; pointers are doubled, with the parity of the steps, until
+    they end at a row without earlier neighbours, which is accepted, or at one with
+    several, which is left over with all that hang on it. So a chain of any length is
+    settled in a logarithmic number of joins.
     """
-    accepted, pending = None, candidates
-    while True:
-        first_hash = pending.groupBy("key").agg(F.min("seq").alias("seq"))
-        first_ext = (pending.where(F.col("external_id").isNotNull())
-                     .groupBy("source", "external_id").agg(F.min("seq").alias("seq")))
-        marked = (pending.join(first_hash.select("seq", F.lit(True).alias("_hash")), "seq", "left")
-                  .join(first_ext.select("seq", F.lit(True).alias("_ext")), "seq", "left"))
-        wins = F.col("_hash").isNotNull() & (F.col("_ext").isNotNull()
-                                             | F.col("external_id").isNull())
-        marked = cut_lineage(marked.withColumn("wins", wins).drop("_hash", "_ext"))
-        winners = marked.where("wins").drop("wins")
-        losers = marked.where("not wins").drop("wins")
-        accepted = winners if accepted is None else accepted.unionByName(winners)
-        if losers.isEmpty():
-            return accepted
-        pending = cut_lineage(
-            losers.join(winners.select("key"), "key", "left_anti")
-            .join(winners.select("source", "external_id"), ["source", "external_id"],
-                  "left_anti"))
-        if pending.isEmpty():
-            return accepted
+    first_key = rows.groupBy("key").agg(F.min("seq").alias("seq"))
+    first_ext = rows.dropna(subset=_EXT).groupBy(*_EXT).agg(F.min("seq").alias("seq"))
+    no_ext = rows.where(F.col("source").isNull() | F.col("external_id").isNull()).select("seq")
+    winners = cut_lineage(rows.join(first_key.select("seq"), "seq", "left_semi").join(
+        first_ext.select("seq").unionByName(no_ext), "seq", "left_semi").select(rows.columns))
+    rest = cut_lineage(_drop_neighbours(rows, winners))
+
+    def earlier(*end: str) -> DataFrame:
+        # What is left of a group begins with its first row; only the second has one before it.
+        known = rest.dropna(subset=list(end))
+        order = Window.partitionBy(*end).orderBy("seq")
+        return known.select("seq", F.lag("seq").over(order).alias("before"),
+                            (F.row_number().over(order) - 1).alias("n"))
+    both = earlier("key").unionByName(earlier(*_EXT)).groupBy("seq").agg(
+        F.max("before").alias("before"), F.sum("n").alias("n"))
+    chain = cut_lineage(both.select(
+        "seq", F.when(F.col("n") == 1, F.col("before")).alias("to"),
+        (F.col("n") == 1).alias("odd"), (F.col("n") > 1).alias("open")))
+    while not chain.where("to is not null").isEmpty():
+        ahead = chain.select(F.col("seq").alias("to"), F.col("to").alias("_to"),
+                             F.col("odd").alias("_odd"), F.col("open").alias("_open"))
+        chain = cut_lineage(chain.join(ahead, "to", "left").select(
+            "seq", F.col("_to").alias("to"),
+            (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
+            F.when(F.col("to").isNull(), F.col("open")).otherwise(F.col("_open")).alias("open")))
+    states = rest.join(chain, "seq")
+    taken = cut_lineage(states.where("not open and not odd").select(rows.columns))
+    open_rows = states.where("open").select(rows.columns)
+    left = cut_lineage(_drop_neighbours(open_rows, taken))
+    return winners.unionByName(taken).select("key", "seq"), left
 
 
 @dataclass(frozen=True)
