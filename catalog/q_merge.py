@@ -76,16 +76,27 @@ def _(spark, d):
     return M.upsert_listings(V.known_listings(spark, d), listing_batch(spark, d)).counts()
 
 
-@query("t1_incremental_ingest", _WR + _ONTO_NOTHING + _snapshot("(SELECT * FROM known WHERE false)", 0))
+def _in_slices(spark, d, rows, order: str, slices: int = 4):
+    """A stream that brings ``rows`` in several micro-batches, by ranges of ``order``."""
+    from joblattice.session import new_folder
+    path = new_folder(spark, "arrivals")
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    step = ((high or 0) - (low or 0)) // slices + 1
+    for n in range(slices):                        # one after another: arrival order is file age
+        start = (low or 0) + n * step
+        part = rows.where((F.col(order) >= start) & (F.col(order) < start + step))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("t1_incremental_ingest", _WR + _ONTO_KNOWN + _snapshot("known", LATER))
 def _(spark, d):
     from joblattice.session import new_folder
     from joblattice.streaming import incremental as I
     root = new_folder(spark, "stream")
-    schema = V.table(spark, d, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    stream = V.shape_listings(docs)
-    stored = V.listings(spark, d).drop("seq").limit(0)
-    I.ingest_listings(stream, root + "/store", root + "/log", stored).awaitTermination()
+    stored = V.known_listings(spark, d).drop("seq")
+    stream = _in_slices(spark, d, listing_batch(spark, d), "seq")
+    I.ingest_listings(stream, root + "/store", root + "/log", stored, parts=16).awaitTermination()
     return _shape(I.current_listings(spark, root + "/store", stored))
 
 
@@ -103,6 +114,18 @@ def _(spark, d):
     return merged.select("name", F.array_join("tech_stack", ",").alias("tech"), *_COMPANY_COLS)
 
 
+@query("t1_company_ingest", _MERGED)
+def _(spark, d):
+    from joblattice.session import new_folder
+    from joblattice.streaming import incremental as I
+    root = new_folder(spark, "stream")
+    stored = V.companies(spark, d)
+    stream = _in_slices(spark, d, V.company_batch(spark, d), "seq")
+    I.ingest_companies(stream, root + "/store", root + "/log", stored).awaitTermination()
+    merged = I.current_companies(spark, root + "/store", stored)
+    return merged.select("name", F.array_join("tech_stack", ",").alias("tech"), *_COMPANY_COLS)
+
+
 @query("w5_latest_values", f"WITH {S.COMPANY_BATCH} SELECT name, " + ", ".join(
     f"arg_max({c}, seq) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in _COMPANY_COLS)
     + " FROM company_batch GROUP BY name")

@@ -1,8 +1,8 @@
 """Incremental ingest: every micro-batch is merged as if rows arrived one by one.
 
 Listings are append-only on disk: a batch adds its new rows and its sightings,
-never rewriting the store. It reads the key columns of the store and of earlier
-batches. Tables are partitioned by stream (a digest of its checkpoint) and batch
+never rewriting the store. Of the store and of earlier batches it reads key
+filters and the parts of the key table its own keys may be in. Tables are partitioned by stream (a digest of its checkpoint) and batch
 id; a batch that is replayed after a failure reads all but itself and what
 followed it in its stream and replaces its own folders, so the result does not
 depend on retries, and a new checkpoint on the same root replaces nothing.
@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.companies import upsert_companies
 from ..operators.merge import refresh, resolve_batch
+from ..sources.key_store import PARTS, KeyStore
 
 _SIGHTINGS = T.StructType([T.StructField("key", T.StringType()),
                            T.StructField("last_seen", T.TimestampType())])
@@ -56,20 +57,22 @@ def _start(stream: DataFrame, checkpoint: str, handle) -> StreamingQuery:
             .trigger(availableNow=True).start())
 
 
-def ingest_listings(stream: DataFrame, root: str, checkpoint: str,
-                    base: DataFrame) -> StreamingQuery:
-    """Merge a stream of listings (with ``seq``) onto ``base``; ends when the input is read."""
-    schema, mine = base.schema, _stream_id(checkpoint)
+def ingest_listings(stream: DataFrame, root: str, checkpoint: str, base: DataFrame,
+                    parts: int = PARTS) -> StreamingQuery:
+    """Merge a stream of listings (with ``seq``) onto ``base``; ends when the input is read.
+
+    The keys of ``base`` are laid out below ``root`` when its first stream starts.
+    """
+    mine = _stream_id(checkpoint)
+    KeyStore(base.sparkSession, f"{root.rstrip('/')}/keys", parts).ensure_base(base)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        keys = ["dedup_hash", "source", "external_id"]
-        earlier = _read(batch.sparkSession, root, "listings", schema,
-                        before=(mine, batch_id))
-        stored = base.select(*keys).unionByName(earlier.select(*keys))
-        done = resolve_batch(stored, batch)
-        (done.inserted().select(*base.columns).write.mode("overwrite")
-         .parquet(_folder(root, "listings", mine, batch_id)))
+        store = KeyStore(batch.sparkSession, f"{root.rstrip('/')}/keys", parts)
+        done = resolve_batch(store.lookup(batch, before=(mine, batch_id)), batch)
+        added = _folder(root, "listings", mine, batch_id)
+        done.inserted().select(*base.columns).write.mode("overwrite").parquet(added)
         done.seen.write.mode("overwrite").parquet(_folder(root, "sightings", mine, batch_id))
+        store.append(batch.sparkSession.read.schema(base.schema).parquet(added), mine, batch_id)
 
     return _start(stream, checkpoint, handle)
 
