@@ -76,7 +76,7 @@ def _(spark, d):
     return M.upsert_listings(V.known_listings(spark, d), listing_batch(spark, d)).counts()
 
 
-def _in_slices(spark, d, rows, order: str, slices: int = 4):
+def _in_slices(spark, d, rows, order: str, slices: int = 3):
     """A stream that brings ``rows`` in several micro-batches, by ranges of ``order``."""
     from joblattice.session import new_folder
     path = new_folder(spark, "arrivals")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -286,39 +287,45 @@ def _(spark, d):
 # --- boards and cards ----------------------------------------------------------------------
 
 def category_pages(spark, d):
-    """One category page per part with two postings; the second repeats across parts."""
+    """One category page per part with two postings; the second repeats across parts.
+
+    Fields hold nested markup, an advert with the posting's classes stands outside the list,
+    an item has a second link, and a comment holds a posting.
+    """
     k = _text("p_partkey")
+    advert = ('<div class="ad"><a class="listing-link--unlocked" href="/ad"><h3 class="'
+              'new-listing__header__title__text">Ad</h3><p class="new-listing__company-name">Ad</p></a></div>')
 
     def item(cls, href, title, company, place, spans):
         return F.concat(F.lit(f'<li><a class="x listing-link--{cls}" href="'), href,
                         F.lit('"><h3 class="new-listing__header__title__text">'), title,
-                        F.lit('</h3><p class="new-listing__company-name">'), company,
-                        F.lit('</p><p class="new-listing__company-headquarters">'), place, F.lit("</p>"),
+                        F.lit('</h3><p class="new-listing__company-name"><span>'), company,
+                        F.lit("</span><i> Ltd </i></p><p class='new-listing__company-headquarters'>"), place, F.lit("</p>"),
                         *[F.concat(F.lit('<p class="new-listing__categories__category">'), s, F.lit("</p>")) for s in spans],
-                        F.lit("</a></li>"))
+                        F.lit('</a><a class="listing-link--locked" href="/second"></a></li>'))
     one = item("unlocked", F.concat(F.lit("/remote-jobs/"), k), F.concat(F.lit(" "), F.col("p_name"), F.lit(" &amp; co ")),
                F.col("p_brand"), F.lit(""), [F.lit("Featured"), F.col("p_type"), F.lit("Full-Time"), F.lit("Anywhere in the World")])
     two = item("locked", F.concat(F.lit("https://other/"), F.col("p_brand")), F.when(F.col("p_size") > 45, "").otherwise(F.col("p_type")),
                F.lit("Acme"), F.lit("Oslo"), [F.lit("Contract")])
-    html = F.concat(F.lit('<section class="jobs"><article><ul>'), one, two,
-                    F.lit('<li><a href="/other">More</a></li></ul></article></section>'))
+    html = F.concat(F.lit(advert + '<section class="x jobs"><article><ul>'), one, F.lit(f"<!-- <li>{advert}</li> -->"), two,
+                    F.lit(f'<li><a href="/other">More</a></li></ul>{advert}</article></section><ul><li>{advert}</li></ul>'))
     path = F.concat(F.lit("/categories/remote-"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")), F.lit("-jobs"))
     return V.spread_table(spark, d, "part", "p_partkey").select(F.col("p_partkey").alias("page_id"), path.alias("cat_path"), html.alias("html"))
 
 
 _CAT = S.title_case("lower(p_type)")
-_S13 = f"""SELECT seq, pos, title, company, url, location, tags, job_type FROM (
- SELECT p_partkey AS seq, CAST(0 AS BIGINT) AS pos, p_name || ' & co' AS title, p_brand AS company,
+_S13 = f"""SELECT seq, title, company, url, location, tags, job_type FROM (
+ SELECT p_partkey AS seq, CAST(0 AS BIGINT) AS pos, p_name || ' & co' AS title, p_brand || 'Ltd' AS company,
    'https://weworkremotely.com/remote-jobs/' || p_partkey AS url, 'Anywhere in the World' AS location,
    p_type || '|Anywhere in the World|' || {_CAT} AS tags, 'full-time' AS job_type FROM part
- UNION ALL SELECT p_partkey, 1, p_type, 'Acme', 'https://other/' || p_brand, 'Oslo', {_CAT}, 'contract'
+ UNION ALL SELECT p_partkey, 1, p_type, 'AcmeLtd', 'https://other/' || p_brand, 'Oslo', {_CAT}, 'contract'
  FROM part WHERE p_size <= 45) QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq, pos) = 1"""
 
 
 @query("s13_category_pages", _S13)
 def _(spark, d):
     rows = B.parse_category_pages(category_pages(spark, d))
-    return rows.select("seq", F.col("pos").cast("bigint").alias("pos"), "title", "company", "url", "location",
+    return rows.select("seq", "title", "company", "url", "location",
                        F.array_join("tags", "|").alias("tags"), "job_type")
 
 
@@ -397,3 +404,66 @@ def _(spark, d):
     cards = V.table(spark, d, "part").select(F.col("p_partkey").alias("seq"), title.alias("title"),
                                              F.concat(F.lit("/job/"), F.col("p_brand")).alias("url"))
     return B.parse_line_cards(cards).select("seq", "title", "company", "url")
+
+
+# --- cards read from stored markup -----------------------------------------------------------
+
+def _markup(*parts) -> Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
+def _part_pages(spark, d, html):
+    return V.spread_table(spark, d, "part", "p_partkey").select(
+        F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+@query("s15_titled_cards_html", """SELECT p_partkey AS page_id, p_name AS title, CASE WHEN p_size < 25 THEN 'Unknown'
+ ELSE p_brand || ' Inc' END AS company, 'https://startup.jobs/jobs/' || p_partkey AS url, CASE WHEN p_size > 40 THEN 'Oslo' ELSE 'Remote' END AS location
+ FROM part UNION ALL SELECT p_partkey, 'Plain ' || p_brand, 'Unknown', 'https://startup.jobs/jobs/x', 'Remote' FROM part""")
+def _(spark, d):
+    company = F.when(F.col("p_size") < 25, "").otherwise(_markup(
+        '<div class="company"><div><b>', F.col("p_brand"), "</b> Inc</div></div>"))
+    place = F.when(F.col("p_size") > 40, '<span class="job-location">Oslo</span>').otherwise("")
+    html = _markup('<main><article class="job-card big"><h2>', F.col("p_name"), "</h2>", company, place,
+                   '<a href="/jobs/', _text("p_partkey"), '">Apply</a></article><p class="company">Outside</p>',
+                   '<section class="job-listing"><a href="/jobs/x">Plain <i>', F.col("p_brand"), "</i></a></section>",
+                   '<section class="job-listing"><a href="/jobs/">All</a></section></main>')
+    cards = B.titled_cards(_part_pages(spark, d, html))
+    return B.parse_titled_cards(cards, page="page_id").select("page_id", "title", "company", "url", "location")
+
+
+@query("s16_board_cards_html", """SELECT p_partkey AS page_id, p_name AS title, p_brand || ' & Co' AS company,
+ CASE WHEN p_size > 40 THEN 'Oslo' ELSE 'Remote' END AS location, CASE WHEN p_size > 30 THEN 'https://wellfound.com/jobs/' || p_partkey
+ ELSE 'https://wellfound.com' END AS url FROM part WHERE p_size >= 25""")
+def _(spark, d):
+    title = F.when(F.col("p_size") > 30, _markup('<a href="/jobs/', _text("p_partkey"), '"><div>', F.col("p_name"), "</div></a>")
+                   ).otherwise(_markup("<h3>", F.col("p_name"), "</h3>"))
+    company = F.when(F.col("p_size") >= 25, _markup('<div class="styles_company__x"><div><span>', F.col("p_brand"),
+                                                    "</span> &amp; Co</div></div>")).otherwise("")
+    place = F.when(F.col("p_size") > 40, '<span class="styles_Location">Oslo</span>').otherwise("")
+    html = _markup('<div class="company">Outside</div><div class="x JobListing_y">', title, "<div>", company, "</div>", place,
+                   '</div><div class="location">Outside</div>')
+    return _with_page(B.board_cards(_part_pages(spark, d, html)), B.parse_board_cards)
+
+
+def _with_page(cards, parse):
+    """Parsed cards with their page; every page holds one card."""
+    rows = parse(cards.withColumn("seq", F.col("page_id")), "seq")
+    return rows.select(F.col("seq").alias("page_id"), "title", "company", "location", "url")
+
+
+@query("s18_line_cards_html", """SELECT p_partkey AS page_id, p_name AS title, CASE WHEN p_size < 25 THEN 'Unknown' ELSE p_brand END AS company,
+ 'Remote' AS location, 'https://www.trueup.io/job/' || p_partkey AS url FROM part""")
+def _(spark, d):
+    company = F.when(F.col("p_size") < 25, "").otherwise(_markup("<p>", F.col("p_brand"), "</p>"))
+    html = _markup('<nav><a href="/jobs">Jobs page</a></nav><a class=row href=/job/', _text("p_partkey"), "><div><b>",
+                   F.col("p_name"), "</b></div>", company, "</a><p>After</p>")
+    return _with_page(B.link_cards(_part_pages(spark, d, html), path="/job/"), B.parse_line_cards)
+
+
+@query("s17_link_cards_html", """SELECT p_partkey AS page_id, p_name AS title, 'Unknown' AS company, 'Remote' AS location,
+ 'https://remotefirstjobs.com/jobs/' || p_partkey AS url FROM part""")
+def _(spark, d):
+    html = _markup('<a href="/about">About us all</a><ul><li><a href="/jobs/', _text("p_partkey"), '">', F.col("p_name"),
+                   '</a></li><li><a href="/jobs/9">Four</a>')
+    return _with_page(B.link_cards(_part_pages(spark, d, html)), B.parse_link_cards)

@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import decode_entities, inner_text
 from ..functions.money import parse_int_range
 from ..functions.text import (blank_to_null, category_name, dedup_hash, labelled_field,
                               location_from_tags, split_spans, split_title_company, strip,
                               stripped_lines)
 from ..functions.urls import absolutize, resolve
+from ..operators import elements as EL
 from ..operators.compute import compute_once
 from ..operators.ranking import keep_first
 
@@ -23,29 +23,23 @@ TITLED_CARDS = ("startupjobs", "https://startup.jobs")
 BOARD_CARDS = ("wellfound", "https://wellfound.com")
 LINK_CARDS = ("remotefirstjobs", "https://remotefirstjobs.com")
 LINE_CARDS = ("trueup", "https://www.trueup.io")
-# Markup of one posting on the category pages.
-POSTING_LINK = (r"(?is)<a\b[^>]*?\bclass\s*=\s*\"[^\"]*\blisting-link--(?:un)?locked\b[^\"]*\"[^>]*>"
-                r".*?</a>")
-POSTING_HREF = r"(?is)^<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\""
+# Classes of one posting and its list on the category pages.
+LIST_CLASS = "jobs"
+POSTING_CLASSES = ("listing-link--unlocked", "listing-link--locked")
 TITLE_CLASS = "new-listing__header__title__text"
 COMPANY_CLASS = "new-listing__company-name"
 PLACE_CLASS = "new-listing__company-headquarters"
 SPAN_CLASS = "new-listing__categories__category"
+# Classes of the cards of the other boards and of their fields.
+TITLED_CARD = ("job-card", "job-listing")
+TITLED_TITLE, TITLED_COMPANY = ("title", "job-title"), ("company", "company-name", "employer")
+TITLED_PLACE = ("location", "job-location")
 # Navigation texts that look like titles.
 NAV_TITLES = ("view job post", "jobs")
 
 _UNKNOWN, _REMOTE = "Unknown", "Remote"
 
 
-def _by_class(cls: str) -> str:
-    return (rf"(?is)<(?:\w+)\b[^>]*?\bclass\s*=\s*\"(?:[^\"]*\s)?{cls}(?:\s[^\"]*)?\"[^>]*>"
-            r"(.*?)</(?:p|span|div|h\d|li)>")
-
-
-def _one(html: Column, cls: str) -> Column:
-    return inner_text(F.regexp_extract(html, _by_class(cls), 1))
-
-
 def _listing(df: DataFrame, keep, source: str, **cols: Column) -> DataFrame:
     missing = {
         "external_id": "string", "company_url": "string", "description": "string",
@@ -60,23 +54,40 @@ def _listing(df: DataFrame, keep, source: str, **cols: Column) -> DataFrame:
     return df.select(*keep, *[c.alias(n) for n, c in filled.items()])
 
 
+def _named(*names: str) -> EL.Test:
+    return lambda name, attrs: name.isin(*names)
+
+
+def _classed(*classes: str, names: tuple[str, ...] = ()) -> EL.Test:
+    def test(name: Column, attrs: Column) -> Column:
+        hit = EL.has_class(attrs, *classes)
+        return name.isin(*names) & hit if names else hit
+    return test
+
+
 def parse_category_pages(pages: DataFrame, html: str = "html", path: str = "cat_path",
                          page_key: str = "page_id") -> DataFrame:
     """Postings of stored category pages in order of ``seq`` (the page) and ``pos``.
 
+    A posting is the first posting link of an item of a list in an article of the jobs
+    section; each field is the whole element of its class, the stripped texts joined.
     The first row per url stays. Titles and companies are required; a blank place falls back to a tag naming
     the whole world, then to "Remote".
     """
     source, base = CATEGORY_BOARD
-    items = pages.select(page_key, path, F.posexplode(
-        F.regexp_extract_all(F.col(html), F.lit(POSTING_LINK), F.lit(0))).alias("pos", "item"))
-    item = F.col("item")
-    fields = compute_once(items, {
-        "href": decode_entities(F.regexp_extract(item, POSTING_HREF, 1)),
-        "title": _one(item, TITLE_CLASS), "company": _one(item, COMPANY_CLASS),
-        "place": _one(item, PLACE_CLASS),
-        "spans": F.transform(F.regexp_extract_all(item, F.lit(_by_class(SPAN_CLASS)), F.lit(1)),
-                             inner_text)}).drop("item")
+    paths = pages.select(F.col(page_key).alias("_page"), path)
+    found = EL.cards(
+        pages.select(F.col(page_key).alias("_page"), html), "_page", html,
+        [_classed(LIST_CLASS, names=("section",)), _named("article"), _named("ul"), _named("li")],
+        _classed(*POSTING_CLASSES, names=("a",)),
+        {"title": _classed(TITLE_CLASS), "company": _classed(COMPANY_CLASS),
+         "place": _classed(PLACE_CLASS), "span": _classed(SPAN_CLASS)}, first_in_scope=True)
+    fields = compute_once(found, {
+        "href": EL.attribute(F.col("attrs"), "href"),
+        **{n: EL.joined(EL.first_of(F.col(n))) for n in ("title", "company", "place")},
+        "spans": EL.each_joined(F.col("span"))}).drop("span", "parts", "attrs")
+    fields = (fields.join(paths, "_page").withColumnRenamed("_page", page_key)
+              .withColumnRenamed("at", "pos"))
     usable = fields.where((F.col("href") != "") & ~F.col("href").startswith("javascript")
                           & (F.col("title") != "") & (F.col("company") != ""))
     job_type, tags = split_spans(F.col("spans"))
@@ -157,6 +168,72 @@ def parse_line_cards(cards: DataFrame, seq: str = "seq") -> DataFrame:
                     url=_card_url(url, base), location=F.lit(_REMOTE))
 
 
+def _seen_in(text: str) -> EL.Test:
+    return lambda name, attrs: (name == "a") & EL.attribute(attrs, "href").contains(text)
+
+
+def _class_has(*parts: str) -> EL.Test:
+    """The class attribute contains one of ``parts`` anywhere."""
+    return lambda name, attrs: reduce(
+        lambda a, b: a | b, [F.contains(EL.attribute(attrs, "class"), F.lit(p)) for p in parts])
+
+
+def titled_cards(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``key, seq, href, title, company, location`` of the job cards of stored pages.
+
+    A card is a job element, an article or, where a link lies in none, its division; fields
+    are the card's first heading or title, company and place, the link's text if it has no title.
+    """
+    def either(*tests: EL.Test) -> EL.Test:
+        return lambda name, attrs: reduce(lambda a, b: a | b, [t(name, attrs) for t in tests])
+    found = EL.cards(
+        pages, key, html, [],
+        either(_classed(*TITLED_CARD), _named("article", "div")),
+        {"link": _seen_in("/jobs/"),
+         "heading": either(_named("h2", "h3"), _classed(*TITLED_TITLE)),
+         "company": _classed(*TITLED_COMPANY), "place": _classed(*TITLED_PLACE)},
+        holding=_seen_in("/jobs/"))
+    rows = compute_once(found, {
+        "href": EL.attribute(F.get("link", F.lit(0))["attrs"], "href"),
+        "title": F.left(F.coalesce(
+            F.when(F.size("heading") > 0, EL.rendered(EL.first_of(F.col("heading")))),
+            EL.rendered(EL.first_of(F.col("link")))), F.lit(200)),
+        "company": EL.rendered(EL.first_of(F.col("company"))),
+        "location": EL.rendered(EL.first_of(F.col("place")))})
+    return (rows.where((F.size("link") > 0) & ~F.col("href").isin("/jobs", "/jobs/"))
+            .select(key, F.col("at").alias("seq"), "href", "title", "company", "location"))
+
+
+def board_cards(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``key, seq, title, company, location, url`` of the board's job elements.
+
+    A job element is the innermost one around a company. The title is the posting link's text, else the first heading's.
+    """
+    def is_card(name: Column, attrs: Column) -> Column:
+        return _class_has("JobListing", "job-card")(name, attrs) | F.contains(
+            EL.attribute(attrs, "data-test"), F.lit("job"))
+    found = EL.cards(pages, key, html, [], is_card, {
+        "link": _seen_in("/jobs/"), "heading": _named("h2", "h3"),
+        "company": _class_has("company", "Company"), "place": _class_has("location", "Location")},
+        holding=_class_has("company", "Company"))
+    title = F.when(F.size("link") > 0, EL.rendered(EL.first_of(F.col("link")))).otherwise(
+        EL.rendered(EL.first_of(F.col("heading"))))
+    url = F.coalesce(EL.attribute(F.get("link", F.lit(0))["attrs"], "href"), F.lit(""))
+    return found.select(
+        key, F.col("at").alias("seq"), title.alias("title"),
+        EL.rendered(EL.first_of(F.col("company"))).alias("company"),
+        EL.rendered(EL.first_of(F.col("place"))).alias("location"), url.alias("url"))
+
+
+def link_cards(pages: DataFrame, key: str = "page_id", html: str = "html",
+               path: str = "/job") -> DataFrame:
+    """``key, seq, title, url`` of the posting links of stored pages, texts as lines."""
+    found = EL.cards(pages, key, html, [], _seen_in(path), {})
+    return found.select(key, F.col("at").alias("seq"),
+                        F.left(EL.rendered(F.col("parts")), F.lit(200)).alias("title"),
+                        EL.attribute(F.col("attrs"), "href").alias("url"))
+
+
 def union_all(parts: list[DataFrame], rank: str | None = None) -> DataFrame:
     """UNION ALL in the given order; ``rank`` adds the position of the part."""
     numbered = [p if rank is None else p.withColumn(rank, F.lit(i)) for i, p in enumerate(parts)]
