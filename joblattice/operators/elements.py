@@ -14,15 +14,25 @@ nested cards belongs to the innermost one; of nested fields of one kind the last
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import BLOCK_TAGS, UNRENDERED, decode_entities
 from ..functions.text import let, strip
+from .compute import compute_once
 
-#: A test of an opening tag, by its name and its attributes as written.
-Test = Callable[[Column, Column], Column]
+class Tag(NamedTuple):
+    """Columns of a tag that a test may ask for."""
+
+    name: Column
+    attrs: Column       # as written
+    classes: Column     # class attribute
+
+
+#: A test of an opening tag.
+Test = Callable[[Tag], Column]
 
 # Elements that have no end tag.
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
@@ -30,23 +40,26 @@ VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 _FAR = 1 << 30
 
 
+def _raw_attribute(attrs: Column, name: str) -> Column:
+    pattern = rf"""(?is)(?:^|[\s"']){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    return F.btrim(F.regexp_extract(attrs, pattern, 1), F.lit("\"'"))
+
+
 def attribute(attrs: Column, name: str) -> Column:
     """Value of an attribute, entities decoded; empty if absent."""
-    pattern = rf"""(?is)(?:^|[\s"']){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return decode_entities(F.concat(*[F.regexp_extract(attrs, pattern, k) for k in (1, 2, 3)]))
+    return decode_entities(_raw_attribute(attrs, name))
 
 
-def has_class(attrs: Column, *classes: str) -> Column:
-    """One of the words of the class attribute is one of ``classes``."""
-    words = F.split(attribute(attrs, "class"), r"\s+")
-    return F.arrays_overlap(words, F.array(*[F.lit(c) for c in classes]))
+def has_class(classes: Column, *wanted: str) -> Column:
+    """One of the words of a class attribute is one of ``wanted``."""
+    return F.arrays_overlap(F.split(classes, r"\s+"), F.array(*[F.lit(c) for c in wanted]))
 
 
-def tags_of(pages: DataFrame, key: str, html: str) -> DataFrame:
+def tags_of(pages: DataFrame, key: str, html: str, tests: dict[str, Test]) -> DataFrame:
     """``key, at, name, closing, attrs, text, single, level, ends``: a row a tag and its text.
 
     ``ends`` of an opening tag is the place of the tag that closes it; ``single`` tags close
-    themselves. Comments, scripts,
+    themselves. Every test is a column, false for closing tags. Comments, scripts,
     styles and noscript are left out; a ``<`` that begins no tag is text.
     """
     markup = F.regexp_replace(F.coalesce(html, F.lit("")), UNRENDERED, "")
@@ -57,6 +70,11 @@ def tags_of(pages: DataFrame, key: str, html: str) -> DataFrame:
         F.col("p").startswith("/").alias("closing"),
         F.regexp_replace(inner, "^/?[A-Za-z][A-Za-z0-9]*", "").alias("attrs"),
         F.substring("p", F.length(inner) + 2, F.length("p")).alias("text"))
+    # Tests are evaluated once a tag; the windows below carry their results.
+    rows = compute_once(rows, {"_classes": _raw_attribute(F.col("attrs"), "class")})
+    tag = Tag(F.col("name"), F.col("attrs"), F.col("_classes"))
+    rows = compute_once(rows, {n: ~F.col("closing") & F.coalesce(t(tag), F.lit(False))
+                               for n, t in tests.items()}).drop("_classes")
     single = F.col("name").isin(*VOID_TAGS) | (F.right(F.rtrim("attrs"), F.lit(1)) == "/")
     by_name = Window.partitionBy(key, "name").orderBy("at")
     step = F.when(F.col("single"), 0).when(F.col("closing"), -1).otherwise(1)
@@ -98,44 +116,33 @@ def cards(pages: DataFrame, key: str, html: str, within: list[Test], card: Test,
     texts: ``array<struct<at, start, attrs, breaks, text>>``, ``start`` being the element a
     text is in, ``attrs`` its tag's.
     """
-    tags = tags_of(pages, key, html)
-    page = Window.partitionBy(key).orderBy("at")
-    so_far = page.rowsBetween(Window.unboundedPreceding, 0)
-    opens = ~F.col("closing")
-
-    def inside(hits: Column) -> Column:
-        return F.max(F.when(hits, F.col("ends"))).over(so_far)
-
-    def latest(hits: Column, value: str) -> Column:
-        return F.last(F.when(hits, F.col(value)), ignorenulls=True).over(so_far)
-    rows = tags.withColumn("_in", F.lit(True))
-    for test in within:
-        hits = opens & F.col("_in") & test(F.col("name"), F.col("attrs"))
-        rows = rows.withColumn("_hit", hits)
-        rows = rows.withColumn("_end", inside(F.col("_hit"))).withColumn("_scope_hit", F.col("_hit"))
-        rows = rows.withColumn("_in", F.coalesce((F.col("_end") > F.col("at")) & ~F.col("_hit"),
-                                                 F.lit(False)))
+    tests = {f"_w{i}": t for i, t in enumerate(within)} | {"_hit": card}
+    tests |= {f"_h_{name}": t for name, t in fields.items()}
+    if holding is not None:
+        tests["_holds"] = holding
+    rows = tags_of(pages, key, html, tests).withColumn("_in", F.lit(True))
+    so_far = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    for i in range(len(within)):
+        hit = F.col(f"_w{i}") & F.col("_in")
+        end = F.max(F.when(hit, F.col("ends"))).over(so_far)
+        rows = rows.withColumns({"_scope_hit": hit, "_end": end}).withColumn(
+            "_in", F.coalesce((F.col("_end") > F.col("at")) & ~F.col("_scope_hit"), F.lit(False)))
     if first_in_scope:
         rows = _innermost(rows, key, "_scope_hit", "_scope")
-    rows = rows.withColumn("_hit", opens & F.col("_in") & card(F.col("name"), F.col("attrs")))
+    rows = rows.withColumn("_hit", F.col("_hit") & F.col("_in"))
     if first_in_scope:
         before = F.count(F.when(F.col("_hit"), 1)).over(
             Window.partitionBy(key, "_scope").orderBy("at").rowsBetween(
                 Window.unboundedPreceding, -1))
         rows = rows.withColumn("_hit", F.col("_hit") & (before == 0))
     if holding is not None:
-        held = opens & ~F.col("_hit") & holding(F.col("name"), F.col("attrs"))
-        rows = _innermost(rows, key, "_hit", "_around").withColumn("_held", held)
-        any_held = F.max("_held").over(Window.partitionBy(key, "_around"))
-        rows = rows.withColumn("_hit", F.col("_hit") & any_held).drop("_around", "_held")
+        rows = _innermost(rows, key, "_hit", "_around")
+        any_held = F.max(F.col("_holds") & ~F.col("_hit")).over(Window.partitionBy(key, "_around"))
+        rows = rows.withColumn("_hit", F.col("_hit") & any_held).drop("_around")
     rows = _innermost(rows, key, "_hit", "_card").where(F.col("_card").isNotNull())
-    for name, test in fields.items():
-        hit = opens & ~F.col("_hit") & test(F.col("name"), F.col("attrs"))
-        rows = rows.withColumn(f"_h_{name}", hit)
-        marked = {f"_s_{name}": latest(F.col(f"_h_{name}"), "at"),
-                  f"_e_{name}": latest(F.col(f"_h_{name}"), "ends"),
-                  f"_a_{name}": latest(F.col(f"_h_{name}"), "attrs")}
-        rows = rows.withColumns(marked)
+    rows = rows.withColumns({f"_f_{n}": F.last(
+        F.when(F.col(f"_h_{n}") & ~F.col("_hit"), F.struct("at", "ends", "attrs")),
+        ignorenulls=True).over(so_far) for n in fields})
     breaks = F.col("name").isin(*BLOCK_TAGS.split("|"))
 
     def entry(start: Column, attrs: Column) -> Column:
@@ -143,9 +150,9 @@ def cards(pages: DataFrame, key: str, html: str, within: list[Test], card: Test,
                         decode_entities(F.col("text")).alias("text"))
 
     def gathered(name: str) -> Column:
-        start = F.col(f"_s_{name}")
-        held = (start > F.col("_card")) & (F.col("at") < F.col(f"_e_{name}"))
-        return F.sort_array(F.collect_list(F.when(held, entry(start, F.col(f"_a_{name}"))))
+        field = F.col(f"_f_{name}")
+        held = (field["at"] > F.col("_card")) & (F.col("at") < field["ends"])
+        return F.sort_array(F.collect_list(F.when(held, entry(field["at"], field["attrs"])))
                             ).alias(name)
     return (rows.groupBy(key, F.col("_card").alias("_at"))
             .agg(F.min_by("attrs", "at").alias("attrs"),
@@ -179,3 +186,47 @@ def rendered(parts: Column) -> Column:
     lines = F.transform(F.split(raw, "\u0001"),
                         lambda s: strip(F.regexp_replace(s, r"\s+", " ")))
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
+
+
+# --- the same in one row, for small fragments ---------------------------------------------
+
+def pieces_of(html: Column) -> Column:
+    """Markup cut before its tags: each piece but the first is a tag with the text after it."""
+    markup = F.regexp_replace(F.coalesce(html, F.lit("")), UNRENDERED, "")
+    return F.split(markup, "<(?=/?[A-Za-z])")
+
+
+def piece_name(piece: Column) -> Column:
+    """Name of a piece's tag in lower case, with a slash if it closes."""
+    return F.lower(F.regexp_extract(piece, "^/?[A-Za-z][A-Za-z0-9]*", 0))
+
+
+def piece_classes(piece: Column) -> Column:
+    return _raw_attribute(F.substring_index(piece, ">", 1), "class")
+
+
+def element_at(pieces: Column, names: Column, at: Column) -> Column:
+    """The pieces of the element that begins at index ``at``, without its closing tag.
+
+    One pass over what follows counts opening and closing tags of the same name.
+    """
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+
+    def inner(at: Column, name: Column) -> Column:
+        def step(acc: Column, other: Column) -> Column:
+            depth = (acc["depth"] + (other == name).cast("int")
+                     - (other == F.concat(F.lit("/"), name)).cast("int"))
+            return F.when(acc["depth"] == 0, acc).otherwise(F.struct(
+                depth.alias("depth"), (acc["n"] + (depth > 0).cast("int")).alias("n")))
+        rest = F.slice(names, at + 2, F.size(names))
+        return F.when(name.isin(*VOID_TAGS), F.lit(0)).otherwise(
+            F.aggregate(rest, start, step, lambda acc: acc["n"]))
+    # ``let``: the index and the name are values inside the pass, not computed for each step.
+    return let(at, lambda i: F.slice(
+        pieces, i + 1, let(F.get(names, i), lambda name: inner(i, name)) + 1))
+
+
+def joined_pieces(pieces: Column) -> Column:
+    """The stripped texts of pieces without anything between them."""
+    return F.array_join(F.transform(pieces, lambda x: strip(decode_entities(
+        F.substring(x, F.length(F.substring_index(x, ">", 1)) + 2, F.length(x))))), "")

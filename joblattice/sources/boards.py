@@ -55,16 +55,79 @@ def _listing(df: DataFrame, keep, source: str, **cols: Column) -> DataFrame:
 
 
 def _named(*names: str) -> EL.Test:
-    return lambda name, attrs: name.isin(*names)
+    return lambda tag: tag.name.isin(*names)
 
 
 def _classed(*classes: str, names: tuple[str, ...] = ()) -> EL.Test:
-    def test(name: Column, attrs: Column) -> Column:
-        hit = EL.has_class(attrs, *classes)
-        return name.isin(*names) & hit if names else hit
+    def test(tag: EL.Tag) -> Column:
+        hit = EL.has_class(tag.classes, *classes)
+        return tag.name.isin(*names) & hit if names else hit
     return test
 
 
+def _places(cls: str) -> Column:
+    """Indexes of a posting's pieces with a class; the posting's own tag is none of them."""
+    at = F.transform("c", lambda x, i: F.when((i > 0) & EL.has_class(x, cls), i))
+    return F.array_compact(at)
+
+
+def _postings(pages: DataFrame, key: str, path: str, html: str) -> DataFrame:
+    """``key, path, pos`` and pieces ``p``, names ``n`` and classes ``c`` of every posting link.
+
+    One pass over the tags of a page keeps how deep it is in the jobs section, its
+    articles and lists, and for every open item whether it has had its link.
+    """
+    staged = compute_once(pages.select(key, path, html), {"t": EL.pieces_of(F.col(html))})
+    staged = compute_once(staged.drop(html), {"names": F.transform("t", EL.piece_name)})
+    kinds = ("section", "article", "ul", "li")
+
+    def event(name: Column, i: Column) -> Column:
+        classes = EL.piece_classes(F.get("t", i))
+        hit = F.when(name == "section", EL.has_class(classes, LIST_CLASS)).when(
+            name == "a", EL.has_class(classes, *POSTING_CLASSES))
+        wanted = name.isin(*kinds, *[f"/{k}" for k in kinds]) | ((name == "a") & hit)
+        return F.when(wanted, F.struct(i.alias("at"), name.alias("name"), hit.alias("hit")))
+
+    def step(acc: Column, e: Column) -> Column:
+        name = e["name"]
+
+        def depth(kind: str, within: Column, old: Column) -> Column:
+            return (F.when(~within, 0).when(name == kind, old + 1)
+                    .when(name == f"/{kind}", F.greatest(old - 1, F.lit(0))).otherwise(old))
+        section = acc["section"] + (name == "section").cast("int") - (name == "/section").cast("int")
+        jobs = (F.when((name == "section") & (acc["jobs"] == 0) & e["hit"], section)
+                .when((name == "/section") & (acc["jobs"] > section), 0).otherwise(acc["jobs"]))
+        article = depth("article", jobs > 0, acc["article"])
+        ul = depth("ul", article > 0, acc["ul"])
+        taken, none = acc["taken"], F.array().cast("array<boolean>")
+        but_last = F.slice(taken, F.lit(1), F.greatest(F.size(taken) - 1, F.lit(0)))
+        in_item = F.size(taken) > 0
+        new = (name == "a") & in_item & ~F.try_element_at(taken, F.lit(-1))
+        return F.struct(
+            section.alias("section"), jobs.alias("jobs"), article.alias("article"), ul.alias("ul"),
+            F.when(ul == 0, none).when(name == "li", F.array_append(taken, F.lit(False)))
+            .when(name == "/li", but_last)
+            .when(new, F.array_append(but_last, F.lit(True))).otherwise(taken).alias("taken"),
+            F.when(new, F.array_append(acc["found"], e["at"])).otherwise(acc["found"]).alias("found"))
+    zero = F.lit(0)
+    start = F.struct(
+        zero.alias("section"), zero.alias("jobs"), zero.alias("article"), zero.alias("ul"),
+        F.array().cast("array<boolean>").alias("taken"), F.array().cast("array<int>").alias("found"))
+    events = F.array_compact(F.transform("names", event))
+    found = compute_once(staged, {"found": F.aggregate(events, start, step, lambda a: a["found"])})
+
+    def link(at: Column) -> Column:
+        rest = F.slice("names", at + 2, F.size("names"))
+        ends = F.array_compact(F.array(*[F.nullif(F.array_position(rest, n), F.lit(0).cast("long"))
+                                         for n in ("a", "/a")]))
+        size = F.coalesce(F.array_min(ends).cast("int"), F.size("names"))
+        return F.struct(at.alias("pos"), F.slice("t", at + 1, size).alias("p"),
+                        F.slice("names", at + 1, size).alias("n"))
+    rows = (found.select(key, path, F.explode(F.transform("found", link)).alias("link"))
+            .select(key, path, "link.*"))
+    return compute_once(rows, {"c": F.transform("p", EL.piece_classes)})
+
+
 def parse_category_pages(pages: DataFrame, html: str = "html", path: str = "cat_path",
                          page_key: str = "page_id") -> DataFrame:
     """Postings of stored category pages in order of ``seq`` (the page) and ``pos``.
@@ -75,19 +138,14 @@ def parse_category_pages(pages: DataFrame, html: str = "html", path: str = "cat_
     the whole world, then to "Remote".
     """
     source, base = CATEGORY_BOARD
-    paths = pages.select(F.col(page_key).alias("_page"), path)
-    found = EL.cards(
-        pages.select(F.col(page_key).alias("_page"), html), "_page", html,
-        [_classed(LIST_CLASS, names=("section",)), _named("article"), _named("ul"), _named("li")],
-        _classed(*POSTING_CLASSES, names=("a",)),
-        {"title": _classed(TITLE_CLASS), "company": _classed(COMPANY_CLASS),
-         "place": _classed(PLACE_CLASS), "span": _classed(SPAN_CLASS)}, first_in_scope=True)
-    fields = compute_once(found, {
-        "href": EL.attribute(F.col("attrs"), "href"),
-        **{n: EL.joined(EL.first_of(F.col(n))) for n in ("title", "company", "place")},
-        "spans": EL.each_joined(F.col("span"))}).drop("span", "parts", "attrs")
-    fields = (fields.join(paths, "_page").withColumnRenamed("_page", page_key)
-              .withColumnRenamed("at", "pos"))
+    fields = compute_once(_postings(pages.select(page_key, path, html), page_key, path, html), {
+        "href": EL.attribute(F.substring_index(F.get("p", F.lit(0)), ">", 1), "href"),
+        **{n: EL.joined_pieces(EL.element_at(F.col("p"), F.col("n"), F.get(_places(c), F.lit(0))))
+           for n, c in (("title", TITLE_CLASS), ("company", COMPANY_CLASS),
+                        ("place", PLACE_CLASS))},
+        "spans": F.transform(_places(SPAN_CLASS), lambda i: EL.joined_pieces(
+            EL.element_at(F.col("p"), F.col("n"), i)))}).drop("p", "n", "c")
+    fields = fields.withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "company", "place")})
     usable = fields.where((F.col("href") != "") & ~F.col("href").startswith("javascript")
                           & (F.col("title") != "") & (F.col("company") != ""))
     job_type, tags = split_spans(F.col("spans"))
@@ -169,13 +227,13 @@ def parse_line_cards(cards: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def _seen_in(text: str) -> EL.Test:
-    return lambda name, attrs: (name == "a") & EL.attribute(attrs, "href").contains(text)
+    return lambda tag: (tag.name == "a") & EL.attribute(tag.attrs, "href").contains(text)
 
 
 def _class_has(*parts: str) -> EL.Test:
     """The class attribute contains one of ``parts`` anywhere."""
-    return lambda name, attrs: reduce(
-        lambda a, b: a | b, [F.contains(EL.attribute(attrs, "class"), F.lit(p)) for p in parts])
+    return lambda tag: reduce(
+        lambda a, b: a | b, [F.contains(tag.classes, F.lit(p)) for p in parts])
 
 
 def titled_cards(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -185,7 +243,7 @@ def titled_cards(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     are the card's first heading or title, company and place, the link's text if it has no title.
     """
     def either(*tests: EL.Test) -> EL.Test:
-        return lambda name, attrs: reduce(lambda a, b: a | b, [t(name, attrs) for t in tests])
+        return lambda tag: reduce(lambda a, b: a | b, [t(tag) for t in tests])
     found = EL.cards(
         pages, key, html, [],
         either(_classed(*TITLED_CARD), _named("article", "div")),
@@ -209,9 +267,9 @@ def board_cards(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 
     A job element is the innermost one around a company. The title is the posting link's text, else the first heading's.
     """
-    def is_card(name: Column, attrs: Column) -> Column:
-        return _class_has("JobListing", "job-card")(name, attrs) | F.contains(
-            EL.attribute(attrs, "data-test"), F.lit("job"))
+    def is_card(tag: EL.Tag) -> Column:
+        return _class_has("JobListing", "job-card")(tag) | F.contains(
+            EL.attribute(tag.attrs, "data-test"), F.lit("job"))
     found = EL.cards(pages, key, html, [], is_card, {
         "link": _seen_in("/jobs/"), "heading": _named("h2", "h3"),
         "company": _class_has("company", "Company"), "place": _class_has("location", "Location")},
