@@ -15,7 +15,7 @@ from joblattice.sinks import reports as RP
 
 from . import sql as S
 from . import views as V
-from .q_matching import _NOISE
+from .q_matching import _NOISE, CRAWL
 from .registry import query
 
 
@@ -209,6 +209,39 @@ def _(spark, d):
     return merged.select("company", "seq", "error", "text")
 
 
+# Whole crawl records: text and links as they are crawled, merged and written.
+_RECORDS = f"""WITH {CRAWL}, linked AS (SELECT seq, string_agg(text || '|' || href, chr(10) ORDER BY pos) AS links
+  FROM clean_links GROUP BY seq),
+ records AS (SELECT c.seq, num, company, careers_url, final_url, error, text,
+    CASE WHEN has_links THEN coalesce(l.links, '') ELSE '' END AS links FROM crawl c LEFT JOIN linked l ON c.seq = l.seq),
+ again AS (SELECT seq, num, company, careers_url, final_url, error, CASE WHEN error IS NULL THEN 'fresh ' || coalesce(text, '') END AS text,
+    CASE WHEN num < 150 THEN 'Open roles|' || careers_url ELSE links END AS links
+  FROM (SELECT * REPLACE (CASE WHEN num < 150 THEN NULL WHEN num > 950 THEN 'late failure' ELSE error END AS error) FROM records)) """
+
+
+@query("j8_merge_records", _RECORDS + f"""SELECT company, seq, error, md5(text) AS text_md5, md5(links) AS links_md5
+ FROM (SELECT *, 0 AS side FROM records UNION ALL SELECT *, 1 FROM again) {_LAST}""")
+def _(spark, d):
+    from joblattice.session import cut_lineage
+    records = cut_lineage(V.crawl_log(spark, d))
+    merged = O.merge_recrawl(records, V.recrawl_records(records))
+    return merged.select("company", "seq", "error", F.md5("text").alias("text_md5"),
+                         F.md5(V.link_lines(F.col("links"))).alias("links_md5"))
+
+
+@query("k4_write_records", _RECORDS + """SELECT company, careers_url, final_url, error, md5(text) AS text_md5,
+ md5(links) AS links_md5 FROM records""")
+def _(spark, d):
+    from joblattice.session import new_folder
+    from joblattice.sinks.files import write_crawl_log
+    from joblattice.sources.crawl_log import read_crawl_lines
+    path = new_folder(spark, "crawl-records")
+    write_crawl_log(V.crawl_log(spark, d), path)
+    return read_crawl_lines(spark, path).select(
+        "company", "careers_url", "final_url", "error", F.md5("text").alias("text_md5"),
+        F.md5(V.link_lines(F.col("links"))).alias("links_md5"))
+
+
 _RECOVERED = """SELECT count(*) FILTER (WHERE is_new AND NOT failed AND coalesce(prev, true)) AS recovered FROM (
  SELECT *, lag(failed) OVER (PARTITION BY company ORDER BY is_new, seq) AS prev FROM (
   SELECT company, seq, coalesce(error, '') <> '' AS failed, false AS is_new FROM errlog

@@ -166,6 +166,22 @@ def recrawl(spark: SparkSession, d: str) -> DataFrame:
             .withColumn("text", F.when(F.col("error").isNull(), "fresh text")))
 
 
+def recrawl_records(records: DataFrame) -> DataFrame:
+    """A later crawl of the same records, with new texts and links."""
+    n = F.col("num")
+    error = F.when(n < 150, None).when(n > 950, "late failure").otherwise(F.col("error"))
+    link = F.array(F.struct(F.lit("Open roles").alias("text"), F.col("careers_url").alias("href")))
+    return (records.withColumn("error", error.cast("string"))
+            .withColumn("text", F.when(F.col("error").isNull(),
+                                       F.concat(F.lit("fresh "), F.coalesce("text", F.lit("")))))
+            .withColumn("links", F.when(n < 150, link).otherwise(F.col("links"))))
+
+
+def link_lines(links: Column) -> Column:
+    """Links as lines of text and address."""
+    return F.array_join(F.transform(links, lambda x: F.concat(x["text"], F.lit("|"), x["href"])), "\n")
+
+
 def companies(spark: SparkSession, d: str) -> DataFrame:
     """Customers as company directory."""
     seg = F.col("c_mktsegment")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.crawl import categorize, is_failure, is_success
 from ..functions.urls import url_authority
-from .ranking import first_k, keep_last, previous_value
+from ..session import cut_lineage
+from .compute import broadcast_if_small
+from .ranking import first_k, previous_value
 
 # Sizes of the failure report.
 TOP_DOMAINS = 25
@@ -107,11 +109,21 @@ def success_by_cycle(records: DataFrame, cycle: str = "cycle") -> DataFrame:
 
 
 def merge_recrawl(log: DataFrame, recrawl: DataFrame, seq: str = "seq") -> DataFrame:
-    """Crawl log with re-crawled companies replaced; the last row per company wins."""
+    """Crawl log with re-crawled companies replaced; the last row per company wins.
+
+    Winners are decided on (company, side, ``seq``) alone; texts and links are fetched by one
+    join of the winners, so nothing wide is grouped or sorted. ``seq`` is unique on each side.
+    """
     rows = (log.withColumn("_side", F.lit(0))
-            .unionByName(recrawl.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-            .withColumn("_order", F.struct("_side", seq)))
-    return keep_last(rows, ["company"], "_order").drop("_side", "_order")
+            .unionByName(recrawl.withColumn("_side", F.lit(1)), allowMissingColumns=True))
+    latest = rows.groupBy("company").agg(
+        F.max(F.when(F.col("_side") == 1, F.col(seq))).alias("_new"),
+        F.max(F.when(F.col("_side") == 0, F.col(seq))).alias("_old"))
+    winners = cut_lineage(latest.select(
+        F.when(F.col("_new").isNotNull(), 1).otherwise(0).alias("_side"),
+        F.coalesce("_new", "_old").alias(seq)))
+    return (rows.join(broadcast_if_small(winners), ["_side", seq], "left_semi")
+            .select(*[c for c in rows.columns if c != "_side"]))
 
 
 def recovered_count(log: DataFrame, recrawl: DataFrame, seq: str = "seq") -> DataFrame:
@@ -128,6 +140,11 @@ def recovered_count(log: DataFrame, recrawl: DataFrame, seq: str = "seq") -> Dat
     return steps.agg(F.count_if(recovered).alias("recovered"))
 
 
-def by_company(records: DataFrame) -> DataFrame:
-    """Stable log order: company ignoring case."""
-    return records.orderBy(F.lower(F.coalesce("company", F.lit(""))), "company")
+def by_company(records: DataFrame, seq: str = "seq") -> DataFrame:
+    """Stable log order: company ignoring case, then as written, then ``seq`` if there is one.
+
+    With ``seq`` no two rows tie, so the range slices of the sort are cut by rows and one
+    company may fill several.
+    """
+    order = [F.lower(F.coalesce("company", F.lit(""))), F.col("company")]
+    return records.orderBy(*order, *([F.col(seq)] if seq in records.columns else []))
