@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
-# Result limits of search and export.
+# Result limits of search and export, companies in the statistics.
 SEARCH_LIMIT = 50
 EXPORT_LIMIT = 5000
 MARKDOWN_LIMIT = 200
 STALE_DAYS = 30
+TOP_COMPANIES = 10
 
 # Region terms: union members, neighbours usually hired with them, and wide-open postings.
 EU_TERMS = (
@@ -127,18 +129,30 @@ def latest_run_per_source(runs: DataFrame) -> DataFrame:
 
 
 def stats(listings: DataFrame, runs: DataFrame) -> DataFrame:
-    """Statistics bundle as (section, key, value): totals, sources, companies, latest run."""
+    """Statistics bundle as (section, key, value): totals, sources, companies, latest run.
+
+    The listings are scanned once: grouping sets count by source and by company, and the
+    sections read that table of counts. The runs are scanned once as well.
+    """
+    counts = cut_lineage(
+        listings.where(is_active()).select("source", "company")
+        .groupingSets([["source"], ["company"]], "source", "company")
+        .agg(F.grouping("source").alias("by_company"), F.count(F.lit(1)).alias("cnt")))
+
     def section(name: str, df: DataFrame, key: Column, value: Column) -> DataFrame:
         return df.select(F.lit(name).alias("section"), key.alias("key"),
                          value.cast("bigint").alias("value"))
-    run = latest_run(runs)
-    return (section("total_active", active_count(listings), F.lit("all"), F.col("total_active"))
-            .unionByName(section("by_source", count_by(listings, "source"),
-                                 F.col("source"), F.col("cnt")))
-            .unionByName(section("top_companies", count_by(listings, "company", 10),
-                                 F.col("company"), F.col("cnt")))
-            .unionByName(section("latest_run_found", run, F.col("source"), F.col("jobs_found")))
-            .unionByName(section("latest_run_new", run, F.col("source"), F.col("jobs_new"))))
+    sources, firms = counts.where("by_company = 0"), counts.where("by_company = 1")
+    top = firms.orderBy(F.col("cnt").desc(), F.col("company").asc()).limit(TOP_COMPANIES)
+    total = sources.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"))
+    found = latest_run(runs).select(F.explode(F.array(*[
+        F.struct(F.lit(f"latest_run_{n}").alias("section"), F.col("source").alias("key"),
+                 F.col(f"jobs_{n}").cast("bigint").alias("value")) for n in ("found", "new")]))
+        .alias("r")).select("r.*")
+    return (section("total_active", total, F.lit("all"), F.col("cnt"))
+            .unionByName(section("by_source", sources, F.col("source"), F.col("cnt")))
+            .unionByName(section("top_companies", top, F.col("company"), F.col("cnt")))
+            .unionByName(found))
 
 
 def mark_stale(listings: DataFrame, as_of: Column, days: int = STALE_DAYS) -> DataFrame:

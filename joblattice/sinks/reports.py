@@ -10,6 +10,7 @@ from ..operators.crawl_log import (failure_samples, failures_by_category, failur
                                    success_summary)
 from ..operators.matching import row_order
 from ..operators.ranking import rank_all, rank_top_k
+from ..session import cut_lineage
 
 # List prefixes shown in reports.
 REPORT_LINKS = 8
@@ -101,7 +102,13 @@ def unified_summary(matches: DataFrame, k: int = 15) -> DataFrame:
 
 
 def failure_report(records: DataFrame, seq: str) -> DataFrame:
-    """Failure report as one long table: (section, key, detail, value)."""
+    """Failure report as one long table: (section, key, detail, value).
+
+    The log is scanned once, into a narrow table without texts and links; the sections read that.
+    """
+    records = cut_lineage(records.select(
+        seq, "company", "careers_url", "error",
+        F.left("text", F.lit(1)).alias("text")))             # whether there is one
     def part(df: DataFrame, section: str, key: Column, detail: Column, value: Column):
         return df.select(F.lit(section).alias("section"), key.alias("key"),
                          detail.alias("detail"), value.cast("double").alias("value"))

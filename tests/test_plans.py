@@ -72,3 +72,33 @@ def test_ranks_use_no_single_task_window_over_rows(spark):
     assert "row_number" not in text
     # The single window adds up the sizes of the slices, never the rows.
     assert len(re.findall(r"Window \[", text)) == 1 and "_n#" in text
+
+
+def scans_while(spark, monkeypatch, module, build, path):
+    """Scans of ``path`` in all plans of a job, written tables included."""
+    plans = []
+    real = module.cut_lineage
+
+    def spy(df):
+        plans.append(plan(df))
+        return real(df)
+    monkeypatch.setattr(module, "cut_lineage", spy)
+    plans.append(plan(build()))
+    return sum(p.count(f"{path}.parquet") for p in plans)
+
+
+def test_statistics_scan_each_table_once(spark, monkeypatch):
+    rows, runs = V.listings(spark, SF), V.runs(spark, SF)
+    assert scans_while(spark, monkeypatch, L, lambda: L.stats(rows, runs), "documents") == 1
+    assert scans_while(spark, monkeypatch, L, lambda: L.stats(rows, runs), "events") == 1
+
+
+def test_failure_report_scans_the_log_once_and_keeps_no_text(spark, monkeypatch):
+    from joblattice.sinks import reports as RP
+    log = V.error_log(spark, SF)
+    assert scans_while(spark, monkeypatch, RP, lambda: RP.failure_report(log, "seq"), "pages") == 1
+
+
+def test_statistics_of_an_empty_table(spark):
+    rows = L.stats(V.listings(spark, SF).limit(0), V.runs(spark, SF).limit(0)).collect()
+    assert [tuple(r) for r in rows] == [("total_active", "all", 0)]
