@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import compute
 from .compute import is_small
 from .ranking import number_rows
 
@@ -69,7 +70,7 @@ def _accepted(candidates: DataFrame, most: int = SETTLED_ROWS) -> DataFrame:
         rows.join(twice_ext, _EXT, "left_semi").select(rows.columns)).distinct())
     free = rows.join(_hinted(tangled.select("seq"), is_small(tangled)), "seq", "left_anti")
     accepted = free.select("key", "seq")
-    while not is_small(tangled, rows=most):
+    while not compute.is_small(tangled, rows=most):
         taken, tangled = _thin(tangled)
         accepted = accepted.unionByName(taken)
     settled = cut_lineage(tangled.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(
