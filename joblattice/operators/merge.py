@@ -62,7 +62,7 @@ def _accepted(candidates: DataFrame, most: int = SETTLED_ROWS) -> DataFrame:
     few; a constant number of tables is written, however long their chains are. More of
     them are first thinned out by :func:`_thin`. Ends with a NULL conflict with nothing.
     """
-    rows = candidates.select("seq", "key", *_EXT)
+    rows = cut_lineage(candidates.select("seq", "key", *_EXT))          # read five times below
     twice_key = rows.groupBy("key").count().where("count > 1").select("key")
     twice_ext = (rows.dropna(subset=_EXT).groupBy(*_EXT).count().where("count > 1")
                  .select(*_EXT))

@@ -64,7 +64,7 @@ def test_long_chains_write_a_constant_number_of_tables(spark, tables):
         rows = chain(n)
         rng.shuffle(rows)
         assert accepted(spark, rows, M.SETTLED_ROWS) == loop(rows)
-        assert len(tables) == 2
+        assert len(tables) == 3
 
 
 def test_chains_beyond_one_task_take_a_logarithmic_number(spark, tables):
