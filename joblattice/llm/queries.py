@@ -97,8 +97,8 @@ def piece_codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with merge-dropout and decoded again."""
     docs = table(spark, sf_dir, "documents")
     return piece_codec.decode(piece_codec.encode(docs)).selectExpr(
-        "_id AS doc_id", "variant", "n_pieces", "ids_crc32", "crc32(cast(text AS binary)) "
-        "AS text_crc32", "cast(char_length(text) AS long) AS n_chars")
+        "_id AS doc_id", "n_pieces", "ids_crc32", "crc32(cast(text AS binary)) AS text_crc32",
+        "cast(char_length(text) AS long) AS n_chars", "xxhash64(text) = text_hash AS lossless")
 
 
 @query("pipeline", corpus_pipeline.ORACLE_SQL)

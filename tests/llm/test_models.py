@@ -1,5 +1,6 @@
 """Near duplicates, embeddings, language models, piece codec and the pipeline."""
 
+import itertools
 import math
 import random
 import re
@@ -191,6 +192,61 @@ def test_piece_codec_is_lossless_and_equals_library(documents):
     assert len(tool.encode(text, 1, 1.0)) == len(text) + 1
     rows = piece_codec.decode(piece_codec.encode(documents(list(enumerate(TEXTS))))).collect()
     assert {r["_id"]: r["text"] for r in rows} == {i: t or "" for i, t in enumerate(TEXTS)}
+    decoded = piece_codec.decode(piece_codec.encode(documents(list(enumerate(TEXTS)))))
+    assert decoded.where("xxhash64(text) = text_hash").count() == len(TEXTS)
+
+
+def _plain_dropout(tool, chunk, key, place, dropout):
+    """Merge-dropout with a list: the best pair not skipped before, until none is left."""
+    base = (key + place * int(piece_codec._PLACE)) % 2 ** 64
+    base = int(piece_codec.mix(np.array([base], np.uint64))[0])
+    parts, skipped, number = list(chunk), set(), 0
+    while True:
+        found, at = [], 0
+        for left, right in itertools.pairwise(parts):
+            if left + right in tool.rank and (at, left, right) not in skipped:
+                found.append((tool.rank[left + right], at, left, right))
+            at += len(left)
+        if not found:
+            return parts
+        pair = min(found)[1:]
+        h = (base + number * int(piece_codec._NUMBER)) % 2 ** 64
+        number += 1
+        if int(piece_codec.mix(np.array([h], np.uint64))[0]) >> 32 < int(dropout * 2 ** 32):
+            skipped.add(pair)
+            continue
+        at = next(i for i in range(len(parts)) if sum(map(len, parts[:i])) == pair[0])
+        parts[at:at + 2] = [pair[1] + pair[2]]
+
+
+def test_piece_dropout_equals_plain_loop():
+    tool = piece_codec.codec()
+    texts = [" ".join(words(60, 3)), "a  b\nc ▁ d▁▁e", "antidisestablishmentarianism" * 4,
+             "日本語のテキスト und Größe 😀x", "x" * 70 + " " + "ab" * 32, "é" * 9 + "\u0301 \n\n"]
+    for dropout in (0.0, 0.1, 0.5):
+        for key, text in enumerate(texts, 2 ** 63 + 5):
+            want, place = [], 0
+            for n, run in enumerate(text.split("▁")):
+                if n:
+                    want += [tool.bytes_at[b] for b in "▁".encode()]
+                    place += 1
+                run = (run if n else "▁" + run).replace(" ", "▁")
+                for chunk in re.findall("\n|▁*[^▁\n]+|▁+", run):
+                    for piece in _plain_dropout(tool, chunk, key, place, dropout):
+                        i = tool.ids.get(piece)
+                        want += [i] if i is not None else [tool.bytes_at[b]
+                                                           for b in piece.encode()]
+                    place += len(chunk)
+            assert tool.encode(text, key, dropout).tolist() == want, text
+
+
+def test_pieces_of_long_texts_do_not_depend_on_groups(monkeypatch):
+    tool = piece_codec.codec()
+    texts = ["", " ".join(words(500, 4)), " \n", "▁" + " ".join(words(300, 5)), "q" * 3000]
+    want = [x.tolist() for x in tool.encode_all(texts, range(5), 0.2)]
+    monkeypatch.setattr(piece_codec, "LETTERS", 50)
+    assert [x.tolist() for x in tool.encode_all(texts, range(5), 0.2)] == want
+    assert [tool.encode(t, k, 0.2).tolist() for k, t in enumerate(texts)] == want
 
 
 def test_piece_dropout_varies_by_document_and_place(documents):
@@ -198,7 +254,7 @@ def test_piece_dropout_varies_by_document_and_place(documents):
                               dropout=0.3).collect()
     assert len({tuple(r["ids"]) for r in rows}) == 12
     tool = piece_codec.codec()
-    split = {tuple(tool.merge("▁interpolation", 7, 0.3, at)) for at in range(0, 560, 14)}
+    split = {tuple(tool.encode("interpolation", key, 0.3)) for key in range(40)}
     assert len(split) > 5
     text = " ".join(["interpolation"] * 40)
     assert len(set(" ".join(tool.pieces[i] for i in tool.encode(text, 7, 0.3)).split("▁"))) > 5
