@@ -82,7 +82,8 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity and decision of every document."""
     return quality_lm.classify(table(spark, sf_dir, "documents"),
                                table(spark, sf_dir, "labels")).selectExpr(
-        "_id AS doc_id", "_lang AS lang", "perplexity", "threshold", "kept")
+        "_id AS doc_id", "_lang AS lang", "perplexity", "threshold", "byte_perplexity",
+        "byte_threshold", "reason", "kept")
 
 
 @query("op1_order_minhash")

@@ -329,7 +329,16 @@ def labelled(spark):
 
 def test_quality_decisions(spark, labelled):
     docs, labels = labelled
-    got = {r["_id"]: r["kept"] for r in quality_lm.classify(docs, labels).collect()}
+    rows = quality_lm.classify(docs, labels).collect()
+    got = {r["_id"]: r["kept"] for r in rows}
+    for r in rows:                                   # the columns give the whole decision
+        over = [x for x, value, limit in (
+            ("words", r["perplexity"], r["threshold"]),
+            ("bytes", r["byte_perplexity"], r["byte_threshold"])) if value > limit]
+        assert r["reason"] == (" and ".join(over) or None) and r["kept"] == (not over)
+    clashing = docs.withColumns({x: F.lit("x") for x in ("_trusted", "_id", "_h1", "_text")})
+    kept = quality_lm.train(clashing, labels).keep(clashing)
+    assert kept.columns == clashing.columns and kept.count() == 180
     assert got == {i: i % 4 != 3 for i in range(240)}
     kept = quality_lm.train(docs, labels).keep(docs)
     assert kept.columns == docs.columns and kept.count() == 180
