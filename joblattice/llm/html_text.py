@@ -2,7 +2,12 @@
 
 A page becomes a flat list of text blocks. Each has its word count and link density, those
 of the block before and after, and where it stands. A decision tree fitted on a small table
-of labelled blocks (``LABELLED_PAGES``) says which blocks are main text.
+of labelled blocks (``labelled_pages``) says which blocks are main text.
+
+Names of elements tell furniture and main parts only as far as they are plain: of an element's
+names the first that says either counts, and names of a state (``no-sidebar``, ``has-header``,
+``ad-free``) say nothing. An element that is furniture by such a name, but holds nearly all
+words of a page without being mostly links, is the page's layout and counts as unnamed.
 
 Defined cases: null, empty or markup-only pages give an empty text; unclosed elements last
 to the end of what holds them, an unclosed comment or raw-text element (``RAW``) to the end of
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +44,15 @@ BOILER_WORDS = frozenset(
     "subscribe signup login form search share sharing social related recommended comment comments "
     "disqus reply replies respond copyright legal pagination pager toolbar skip".split())
 MAIN_WORDS = frozenset("article content main post story entry body text".split())
+# Words that make a name one of a state, and heads of main parts.
+STATE_WORDS = frozenset("no not non has have with without is hide hides hidden disable disabled".split())
+HEAD_WORDS = frozenset("header masthead".split())
+#: Furniture words that may as well name a page's layout.
+LAYOUT_WORDS = frozenset("header masthead topbar footer sidebar side aside widget banner promo "
+                         "notice notices alert overlay social share sharing related skip".split())
+
+#: Share and least number of a page's unlinked words that make furniture by name its layout.
+LAYOUT_SHARE, LAYOUT_WORDS_LEAST = 0.8, 60
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -52,18 +67,31 @@ FEATURES = ("words", "link_density", "words_before", "density_before", "words_af
             "density_after", "in_main", "in_boiler", "heading")
 
 
-def _place(tag: str, attrs: str, inside_main: bool) -> int:
-    """-1 page furniture, 1 main part, 0 neither."""
+def _said(name: str) -> tuple[int, bool]:
+    """What one name says, as ``_place``, and whether it may name a layout."""
+    words = [p.lower() for p in _PART.findall(name)]
+    if not words or words[0] in STATE_WORDS or words[-1] == "free":
+        return 0, False
+    boiler = BOILER_WORDS.intersection(words)
+    main = not MAIN_WORDS.isdisjoint(words)
+    if boiler:
+        if main and boiler <= HEAD_WORDS:            # the headline of a main part
+            return 0, False
+        return -1, boiler <= LAYOUT_WORDS
+    return int(main), False
+
+
+def _place(tag: str, attrs: str, inside_main: bool) -> tuple[int, bool]:
+    """-1 page furniture, 1 main part, 0 neither; whether the element may be a layout."""
     if tag in BOILER_TAGS or (tag == "header" and not inside_main):
-        return -1
-    if attrs:
-        parts = {p.lower() for m in _NAME.finditer(attrs)
-                 for p in _PART.findall(m[1] or m[2] or m[3] or "")}
-        if parts & BOILER_WORDS and tag not in ("html", "body", *MAIN_TAGS):
-            return -1
-        if parts & MAIN_WORDS and tag not in ("html", "body"):
-            return 1
-    return 1 if tag in MAIN_TAGS else 0
+        return -1, False
+    if attrs and tag not in ("html", "body"):
+        for m in _NAME.finditer(attrs):
+            for name in (m[1] or m[2] or m[3] or "").split():
+                place, layout = _said(name)
+                if place > 0 or place < 0 and tag not in MAIN_TAGS:
+                    return place, layout
+    return int(tag in MAIN_TAGS), False
 
 
 def _hidden_ends(tokens: list[re.Match]) -> dict[int, int]:
@@ -88,8 +116,10 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, int, int]]:
     blocks = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int]] = []
-    link = heading = 0
+    stack: list[tuple[str, int, int]] = []
+    layouts: list[int] = []                          # open elements that may be a layout
+    within: list[tuple[int, ...]] = []               # of every block
+    link = heading = number = 0
     main = boiler = 0
 
     def close_block() -> None:
@@ -100,6 +130,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, int, int]]:
                 words = text.count(" ") + 1
                 blocks.append((text, words, min(links, words), int(main > 0), int(boiler > 0),
                                int(heading > 0)))
+                within.append(tuple(layouts))
             parts.clear()
             linked.clear()
 
@@ -129,17 +160,19 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, int, int]]:
             continue
         if tag in INLINE:
             # Inline elements end no block, but may be furniture by name.
-            if token["close"] or tag in _VOID or _place(tag, token["attrs"], main > 0) >= 0:
+            if token["close"] or tag in _VOID or _place(tag, token["attrs"], main > 0)[0] >= 0:
                 if not token["close"]:
                     continue
         close_block()
         if token["close"]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
-                    for name, place in stack[depth:]:
+                    for name, place, layout in stack[depth:]:
                         main -= place == 1
-                        boiler -= place == -1
+                        boiler -= place == -1 and not layout
                         heading -= name in HEADINGS
+                        if layout:
+                            layouts.remove(layout)
                     del stack[depth:]
                     break
             if tag not in INLINE:
@@ -148,20 +181,43 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, int, int]]:
         if tag in _VOID or token["attrs"].endswith("/") and tag in INLINE:
             continue
         if tag == "p" and stack and stack[-1][0] == "p":
-            name, place = stack.pop()
+            _, place, layout = stack.pop()
             main -= place == 1
-            boiler -= place == -1
-        place = _place(tag, token["attrs"], main > 0)
-        stack.append((tag, place))
+            boiler -= place == -1 and not layout
+            if layout:
+                layouts.remove(layout)
+        place, may_be_layout = _place(tag, token["attrs"], main > 0)
+        number += 1
+        stack.append((tag, place, number if may_be_layout else 0))
         main += place == 1
-        boiler += place == -1
+        if may_be_layout:
+            layouts.append(number)
+        else:
+            boiler += place == -1
         heading += tag in HEADINGS
     if at < len(page):
         parts.append(page[at:])
         if link:
             linked.append(page[at:])
     close_block()
-    return blocks
+    return _without_layouts(blocks, within)
+
+
+def _without_layouts(blocks: list[tuple], within: list[tuple[int, ...]]) -> list[tuple]:
+    """Blocks with furniture by name told from the page's layout, by words and links."""
+    plain, linked, main = Counter(), Counter(), Counter()
+    sure = [(b, w) for b, w in zip(blocks, within, strict=True) if not b[4]]
+    for block, open_ones in sure:                    # what is surely furniture counts nowhere
+        for layout in open_ones:
+            plain[layout] += block[1] - block[2]
+            linked[layout] += block[2]
+            main[layout] += block[3]
+    least = max(LAYOUT_SHARE * sum(b[1] - b[2] for b, _ in sure), LAYOUT_WORDS_LEAST)
+    mains = sum(b[3] for b, _ in sure)               # no layout leaves a main part outside
+    found = {x for x, n in plain.items()
+             if n >= least and linked[x] < n / 2 and main[x] == mains}
+    return [b if b[4] or found.issuperset(w) else (*b[:4], 1, b[5])
+            for b, w in zip(blocks, within, strict=True)]
 
 
 def features(blocks: list[tuple]) -> np.ndarray:
@@ -261,6 +317,22 @@ def labelled_pages() -> list[str]:
             f"<table><tr><td><a href=/>-{_words(2)}</a></td><td><a href=/b>-{_words(3)}</a></td></tr>"
             f"</table>{plain}<p><a href=/c>-{_words(12)}</a></p><p><a href=/d>-{_words(5)}</a></p>",
         ]
+    # Nothing says what is what: headings and short paragraphs between longer ones are main.
+    for a, b, c in ((40, 30, 25), (20, 60, 35), (80, 15, 50), (28, 18, 22)):
+        body = (f"<h1>+{_words(a % 5 + 3)}</h1><p>+{_words(a)}</p><p>+{_words(5)}</p><p>+{_words(b)}</p>"
+                f"<h2>+{_words(3)}</h2><p>+{_words(c)}</p><p>+{_words(2)}</p><p>+{_words(a)}</p>"
+                f"<p>+{_words(8)}</p><p>+{_words(b)}</p><h3>+{_words(1)}</h3><p>+{_words(c)}</p>")
+        pages += [
+            f"<ul>{_links(1, 2, 1).replace('>word', '>-word')}</ul><div>{body}</div><div>-{_words(3)}"
+            f"</div><div>-{_words(6)}</div><ul>{_links(2, 3).replace('>word', '>-word')}</ul>",
+            f"<div>-{_words(2)}</div><div><a href=/>-{_words(2)}</a></div>{body}"
+            f"<p><a href=/e>-{_words(4)}</a></p><h4>-{_words(2)}</h4>"
+            f"<ul>{_links(5, 6, 4).replace('>word', '>-word')}</ul><p>-{_words(7)}</p>",
+            f"<div>{body}</div><div>-{_words(4)}</div><div>-{_words(2)}</div>",
+            f"<div>-{_words(3)}</div><div class=entry>{body}</div><div>-{_words(5)}</div>",
+            f"<div>-{_words(4)}</div><article><h1>+{_words(2)}</h1><p>+{_words(a)}</p></article>",
+            f"<article><h1>+{_words(2)}</h1><p>+{_words(a)}</p><p>+{_words(b)}</p></article>",
+        ]
     return pages
 
 

@@ -185,3 +185,36 @@ def test_tree_fits_its_table():
         blocks = html_text.blocks_of(page)
         keep = html_text.fitted_tree().predict(html_text.features(blocks))
         assert [b[0].startswith("+") for b in blocks] == list(keep), page[:80]
+
+
+def _paragraphs(*sizes):
+    return "".join(f"<p>{' '.join(f'w{k}' for k in range(n))}</p>" for n in sizes)
+
+
+@pytest.mark.parametrize("opening", [
+    '<div class="content no-sidebar">', '<div id="page" class="has-header">',
+    '<section class="story notice-board">', '<div class="post-body ad-free">', "<div>",
+    '<div class="sidebar-layout">', '<div class="has-sidebar with-banner">',
+    '<main class="footer-sticky">'])
+def test_words_of_furniture_do_not_hide_an_article(opening):
+    closing = f"</{re.match('<([a-z]+)', opening)[1]}>"
+    body = "<h1>Big Head</h1>" + _paragraphs(40, 5, 30) + "<h2>Part</h2>" + _paragraphs(25)
+    want = html_text.main_text(f"<article>{body}</article>")
+    assert want.split()[:3] == ["Big", "Head", "w0"] and len(want.split()) == 103
+    page = (f'<ul><li><a href="/">home</a></li></ul>{opening}{body}<div class="sidebar">'
+            f'{_paragraphs(12)}</div>{closing}<div class="comments">{_paragraphs(20, 30)}</div>')
+    assert html_text.main_text(page) == want
+
+
+def test_headline_container_stays_and_furniture_goes():
+    post = ('<div class="post"><div class="post-header"><h1>Big Head</h1></div>'
+            f'{_paragraphs(40)}<div class="post-comments">{_paragraphs(30)}</div></div>')
+    assert len(html_text.main_text(post).split()) == 42
+    # A long thread under a short article is no layout, nor is a page of furniture alone.
+    thread = (f'<div class="content">{_paragraphs(20)}</div><div class="comments">'
+              f'{_paragraphs(200, 200)}</div>')
+    assert len(html_text.main_text(thread).split()) == 20
+    assert html_text.main_text(f'<div class="sidebar">{_paragraphs(30)}</div>') == ""
+    beside = (f'<div class="content">{_paragraphs(20)}</div><div class="sidebar">'
+              f'{_paragraphs(100, 100)}</div>')
+    assert len(html_text.main_text(beside).split()) == 20
