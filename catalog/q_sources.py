@@ -467,3 +467,72 @@ def _(spark, d):
     html = _markup('<a href="/about">About us all</a><ul><li><a href="/jobs/', _text("p_partkey"), '">', F.col("p_name"),
                    '</a></li><li><a href="/jobs/9">Four</a>')
     return _with_page(B.link_cards(_part_pages(spark, d, html)), B.parse_link_cards)
+
+
+# --- every feed in one ingest ------------------------------------------------------------------
+
+def text_cards(spark, d):
+    return V.table(spark, d, "part").select(
+        F.col("p_partkey").alias("seq"), F.concat(F.lit("/jobs/"), F.col("p_name")).alias("href"),
+        F.concat("p_name", F.lit("\n"), "p_brand").alias("text"))
+
+
+def url_cards(spark, d, title, where="true"):
+    return V.table(spark, d, "part").where(where).select(
+        F.col("p_partkey").alias("seq"), title.alias("title"), F.concat(F.lit("/job/"), _text("p_partkey")).alias("url"))
+
+
+def every_feed(spark, d):
+    """Eight feeds in the order of their runs, one that fails in its last rows, one without rows
+    and one that cannot be reached."""
+    lines = F.concat("p_name", F.lit("\n"), "p_brand", F.lit("\nx"))
+
+    def dated(rows):
+        return lambda: rows().withColumn("date_scraped", V.moment(5))
+
+    def breaks_late():
+        rows = B.parse_line_cards(url_cards(spark, d, lines))
+        return rows.withColumn("title", F.when(F.col("seq") > 150, F.raise_error(F.lit("page broke"))).otherwise(F.col("title")))
+
+    def unreachable():
+        raise ConnectionError("feed not available")
+    feeds = {
+        "remoteok": lambda: FE.parse_array_feed(array_payloads(spark, d), keep=("o_orderkey",)).withColumnRenamed("o_orderkey", "seq"),
+        "remotive": lambda: FE.parse_object_feed(object_payloads(spark, d), keep=("p_partkey",)).withColumnRenamed("p_partkey", "seq"),
+        "weworkremotely": lambda: B.parse_category_pages(category_pages(spark, d)),
+        "late": breaks_late,
+        "startupjobs": lambda: B.parse_titled_cards(titled_cards(spark, d)),
+        "dayonejobs": lambda: B.parse_text_cards(text_cards(spark, d)),
+        "nothing": lambda: B.parse_link_cards(url_cards(spark, d, F.col("p_name"), "false")),
+        "wellfound": lambda: B.parse_board_cards(board_cards(spark, d)),
+        "trueup": lambda: B.parse_line_cards(url_cards(spark, d, lines)),
+        "gone": unreachable,
+        "remotefirstjobs": lambda: B.parse_link_cards(url_cards(spark, d, F.col("p_name")))}
+    return {name: dated(read) for name, read in feeds.items()}
+
+
+# External ids: cards of three boards have none, so only their hashes can be met again.
+_EVERY = f"""WITH o AS (SELECT * FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')),
+ rows_ AS (SELECT 1 AS run, o_orderkey AS seq, pos, external_id AS ext, title, company FROM ({_S7_ALL})
+  UNION ALL SELECT 2, p_partkey, pos, external_id, title, company FROM ({_S8_ALL})
+  UNION ALL SELECT 3, seq, CASE WHEN company = 'AcmeLtd' THEN 1 ELSE 0 END, url, title, company FROM ({_S13})
+  UNION ALL SELECT 5, seq, 0, url, title, company FROM ({_S15.format("p_brand")})
+  UNION ALL SELECT 6, p_partkey, 0, p_name, p_name, p_brand FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1
+  UNION ALL SELECT 8, p_partkey, 0, NULL, p_name, p_brand FROM part WHERE p_size >= 25
+  UNION ALL SELECT 9, p_partkey, 0, NULL, p_name, p_brand FROM part
+  UNION ALL SELECT 11, p_partkey, 0, NULL, p_name, 'Unknown' FROM part WHERE length(p_name) >= 5),
+ hashed AS (SELECT *, lower(trim(title)) || '|' || lower(trim(company)) AS h, row_number() OVER (ORDER BY run, seq, pos) AS n FROM rows_),
+ firsts AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY n) AS rh, row_number() OVER (PARTITION BY run, ext ORDER BY n) AS rk FROM hashed),
+ ins AS (SELECT h, n FROM firsts WHERE rh = 1 AND (rk = 1 OR ext IS NULL)),
+ labelled AS (SELECT f.run, i.n IS NULL OR i.n >= f.n AS new FROM hashed f LEFT JOIN ins i ON f.h = i.h),
+ names AS (SELECT * FROM (VALUES (1, 'remoteok'), (2, 'remotive'), (3, 'weworkremotely'), (4, 'late'), (5, 'startupjobs'), (6, 'dayonejobs'),
+  (7, 'nothing'), (8, 'wellfound'), (9, 'trueup'), (10, 'gone'), (11, 'remotefirstjobs')) AS t(id, source))"""
+
+
+@query("p1_every_feed", _EVERY + """ SELECT CAST(id AS BIGINT) AS id, source, count(run) AS jobs_found, count(*) FILTER (WHERE new) AS jobs_new,
+ CASE WHEN source IN ('late', 'gone') THEN 'failed' ELSE 'completed' END AS status, source IN ('late', 'gone') AS has_error, TRUE AS finished
+ FROM names LEFT JOIN labelled ON run = id GROUP BY id, source""")
+def _(spark, d):
+    runs = J.ingest_feeds(V.listings(spark, d).drop("seq").limit(0), every_feed(spark, d)).runs
+    return runs.select("id", "source", "jobs_found", "jobs_new", "status", F.col("error_message").isNotNull().alias("has_error"),
+                       (F.col("finished_at") >= F.col("started_at")).alias("finished"))

@@ -21,15 +21,15 @@ class UpsertResult:
     """Outcome of one batch: new snapshot and one label per batch row."""
 
     snapshot: DataFrame
-    labels: DataFrame       # seq, source, label
+    labels: DataFrame       # seq, source, feed if the batch has one, label
 
     def counts(self) -> DataFrame:
         """Totals per source; ``jobs_new`` counts ignored rows as new, as the run log does."""
         return run_counts(self.labels)
 
 
-def run_counts(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("source").agg(
+def run_counts(labels: DataFrame, by: str = "source") -> DataFrame:
+    return labels.groupBy(by).agg(
         F.count(F.lit(1)).alias("jobs_found"),
         F.count_if(F.col("label") == INSERT).alias("inserted"),
         F.count_if(F.col("label") == TOUCH).alias("touched"),
@@ -148,7 +148,7 @@ class Resolution:
     """What a batch does to a store, in key-sized tables."""
 
     keyed: DataFrame        # batch rows with their merge key
-    labels: DataFrame       # seq, source, label
+    labels: DataFrame       # seq, source, feed if the batch has one, label
     accepted: DataFrame     # seq of the rows to insert
     seen: DataFrame         # key, last_seen: stored or inserted keys met by the batch
     small: bool             # key tables may be broadcast
@@ -175,11 +175,12 @@ def resolve_batch(stored: DataFrame, batch: DataFrame) -> Resolution:
     Only the key columns of the store are read. A row whose hash is known
     refreshes its listing; any other row is inserted unless its
     (source, external_id) is taken. The outcome equals handling the rows one by
-    one in ``seq`` order.
+    one in ``seq`` order. A column ``feed`` of the batch goes on into the labels.
     """
     keyed = batch.withColumn("key", _row_key())
     # Only keys and times pass through the rounds; the full rows are read once, at the end.
-    narrow = cut_lineage(keyed.select("seq", "key", "source", "external_id", "date_scraped"))
+    feed = ["feed"] if "feed" in batch.columns else []
+    narrow = cut_lineage(keyed.select("seq", "key", "source", "external_id", "date_scraped", *feed))
     groups = cut_lineage(narrow.groupBy("key", "source", "external_id")
                          .agg(F.min("seq").alias("seq")))
     # A small batch is sent to the store, so the store is scanned but never shuffled.
@@ -202,7 +203,7 @@ def resolve_batch(stored: DataFrame, batch: DataFrame) -> Resolution:
     labels = narrow.join(_hinted(since, small), "key", "left").withColumn("label", label)
     seen = cut_lineage(labels.where(F.col("label") != IGNORED).groupBy("key")
                        .agg(F.max_by("date_scraped", "seq").alias("last_seen")))
-    return Resolution(keyed, labels.select("seq", "source", "label"), accepted.select("seq"),
+    return Resolution(keyed, labels.select("seq", "source", *feed, "label"), accepted.select("seq"),
                       seen, small)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from ..operators.crawl_log import (by_company, merge_recrawl, recovered_count, r
                                    success_summary)
 from ..operators.dedup import FUZZY_THRESHOLD, dedup_totals, tag_duplicates
 from ..operators.matching import match_all, match_listings, match_pages
-from ..operators.merge import UpsertResult, upsert_listings
+from ..operators.merge import UpsertResult, run_counts, run_log, upsert_listings
 from ..operators.ranking import number_rows
 from ..sinks.reports import failure_report, listing_match_report, page_match_report
 from ..session import cut_lineage
@@ -29,56 +30,64 @@ from ..sources.directories import union_directories
 
 @dataclass(frozen=True)
 class Ingest:
-    """Outcome of an ingest: merged snapshot and one run row per source."""
+    """Outcome of an ingest: merged snapshot and one run row per feed."""
 
     result: UpsertResult
     runs: DataFrame
 
 
-def ingest_feeds(stored: DataFrame, feeds: dict[str, Callable[[], DataFrame]]) -> Ingest:
+_RUN_START = "id long, source string, started_at timestamp"
+_RUN_END = ("id long, finished_at timestamp, jobs_found long, jobs_new long, status string, "
+            "error_message string")
+
+
+def _utc() -> datetime:
+    return datetime.now(timezone.utc)
+
+
+def ingest_feeds(stored: DataFrame, feeds: dict[str, Callable[[], DataFrame]],
+                 first_run: int = 1, clock: Callable[[], datetime] = _utc) -> Ingest:
     """Merge all feeds into the stored listings; a failing feed leaves the others alone.
 
-    ``feeds`` maps a source name to the reader of its batch (with ``seq`` and
-    ``date_scraped``). A feed whose reader fails is recorded as failed. Where a feed is
-    ordered by ``seq`` and ``pos``, all rows are numbered anew, feeds in the given order.
+    ``feeds`` maps a feed's name to the reader of its batch (with ``seq`` and
+    ``date_scraped``). Every feed is a run of the run log, whatever source its rows name: it
+    starts when it is read, and is finished as completed, if empty with zero rows, or as
+    failed with the fault's message, however late that shows; then none of its rows are
+    merged. If all fail, the store stays as it is. Where a feed is ordered by ``seq`` and
+    ``pos``, all rows are numbered anew, feeds in the given order. Runs are numbered from
+    ``first_run``.
     """
     spark = stored.sparkSession
-    good, failed, empty = [], [], []
-    for source, read in feeds.items():
+    good, starts, ends, read_runs = [], [], [], []
+    for run, (name, read) in enumerate(feeds.items(), first_run):
+        starts.append((run, name, clock()))
         try:
             # Staged here, so that a fault while parsing belongs to this feed as well.
-            rows = cut_lineage(read())
-            good.append(rows)
-            if rows.isEmpty():
-                empty.append((source,))
+            good.append(cut_lineage(read()).withColumn("feed", F.lit(run).cast("bigint")))
+            read_runs.append((run,))
         except Exception as exc:              # any reader error belongs to this feed alone
-            failed.append((source, str(exc).split("\n")[0]))
+            ends.append((run, clock(), 0, 0, "failed", str(exc).split("\n")[0]))
+    started = spark.createDataFrame(starts, _RUN_START)
+    ended = spark.createDataFrame(ends, _RUN_END)
     if not good:
-        raise ValueError("no feed could be read")
+        none = spark.createDataFrame([], "seq long, source string, feed long, label string")
+        return Ingest(UpsertResult(stored, none), run_log(started, ended))
     paged = any("pos" in rows.columns for rows in good)
-    if paged:
-        good = [rows.withColumn("_feed", F.lit(i)) for i, rows in enumerate(good)]
     batch = good[0]
     for other in good[1:]:
         batch = batch.unionByName(other, allowMissingColumns=True)
     if paged:
-        batch = (number_rows(batch, "_n", F.col("_feed"), F.col("seq"), F.col("pos"))
-                 .withColumn("seq", F.col("_n")).drop("_n", "_feed", "pos"))
+        batch = (number_rows(batch, "_n", F.col("feed"), F.col("seq"), F.col("pos"))
+                 .withColumn("seq", F.col("_n")).drop("_n", "pos"))
     result = upsert_listings(stored, batch)
-    runs = result.counts().select(
-        "source", "jobs_found", "jobs_new", F.lit("completed").alias("status"),
-        F.lit(None).cast("string").alias("error_message"))
+    counts = run_counts(result.labels, "feed").withColumnRenamed("feed", "id")
     zero = F.lit(0).cast("bigint")
-    if empty:
-        runs = runs.unionByName(spark.createDataFrame(empty, "source string").select(
-            "source", zero.alias("jobs_found"), zero.alias("jobs_new"),
-            F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error_message")))
-    if failed:
-        bad = spark.createDataFrame(failed, "source string, error_message string").select(
-            "source", zero.alias("jobs_found"), zero.alias("jobs_new"),
-            F.lit("failed").alias("status"), "error_message")
-        runs = runs.unionByName(bad)
-    return Ingest(result, runs)
+    # A handful of rows, one a feed.
+    done = spark.createDataFrame(read_runs, "id long").join(counts, "id", "left").select(
+        "id", F.lit(clock()).alias("finished_at"), F.coalesce("jobs_found", zero).alias("jobs_found"),
+        F.coalesce("jobs_new", zero).alias("jobs_new"), F.lit("completed").alias("status"),
+        F.lit(None).cast("string").alias("error_message"))
+    return Ingest(result, run_log(started, done.unionByName(ended)))
 
 
 def ingest_directories(stored: DataFrame, profile_files: DataFrame, table: DataFrame,

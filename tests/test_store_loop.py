@@ -98,3 +98,29 @@ def test_company_order_may_be_a_struct(spark):
                                   names + ", rank int, n long")
     row = upsert_companies(stored, batch.withColumn("seq", F.struct("rank", "n"))).first()
     assert (row["website"], row["size"], row["tech_stack"]) == ("w1", "1", ["y"])
+
+
+def test_runs_are_those_of_feeds_and_all_may_fail(spark):
+    stored = _stored(spark, [{"id": 41, "title": "t", "company": "c", "dedup_hash": "h0",
+                              "source": "feed", "external_id": "e0", "is_active": True}])
+    one = _feed(spark, [(1, "e1", "a", "c", "u1", "d", "h1"), (2, "e2", "t", "c", "u0", "d", "h0")])
+    two = _feed(spark, [(3, "e3", "b", "c", "u2", "d", "h1")])
+    late = two.withColumn("title", F.raise_error(F.lit("broke")).cast("string"))
+
+    def gone():
+        raise OSError("no route\nto host")
+    feeds = {"one": lambda: one, "late": lambda: late, "two": lambda: two,
+             "empty": lambda: two.limit(0), "gone": gone}
+    done = J.ingest_feeds(stored, feeds, first_run=7)
+    runs = {r["source"]: r for r in done.runs.collect()}       # all rows name the source "feed"
+    assert {k: (r["id"], r["jobs_found"], r["jobs_new"], r["status"]) for k, r in runs.items()} == {
+        "one": (7, 2, 1, "completed"), "late": (8, 0, 0, "failed"), "two": (9, 1, 0, "completed"),
+        "empty": (10, 0, 0, "completed"), "gone": (11, 0, 0, "failed")}
+    assert "broke" in runs["late"]["error_message"] and runs["gone"]["error_message"] == "no route"
+    assert runs["one"]["error_message"] is None
+    assert all(r["started_at"] <= r["finished_at"] for r in runs.values())
+    assert {r["dedup_hash"] for r in done.result.snapshot.collect()} == {"h0", "h1"}
+    none = J.ingest_feeds(stored, {"late": lambda: late, "gone": gone})
+    assert [r["status"] for r in none.runs.collect()] == ["failed", "failed"]
+    assert none.result.snapshot.collect() == stored.collect()
+    assert none.result.counts().count() == 0
