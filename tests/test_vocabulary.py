@@ -100,3 +100,15 @@ def test_excluded_companies_leave_only_their_profile(spark):
         "is_active boolean")
     got = VO.match_profiles(listings, terms).select("seq", "profile_id", "total").collect()
     assert sorted(map(tuple, got)) == [(1, "a", 2), (2, "a", 2), (2, "b", 2)]
+
+
+def test_common_needles_are_looked_for_in_the_texts_with_the_same_hits(spark, words):
+    rng = random.Random(8)
+    rows = spark.createDataFrame(texts(rng, words, 40), "seq long, x string")
+    terms = spark.createDataFrame(
+        [("p", "keyword", t, i, 2, "substring") for i, t in enumerate(["a", "s", "sql", "d", "a"])]
+        + [("p", "role", "lead data", 0, 5, "any_word_gt3"), ("p", "tech", "r", 0, 2, "whole_word")],
+        SCHEMA)
+    by_tokens, by_texts = (sorted(map(tuple, VO.vocabulary_matches(
+        rows, "seq", F.col("x"), F.col("x"), terms, common=n).collect())) for n in (0, 128))
+    assert by_tokens == by_texts and len(set(by_texts)) == len(by_texts) > 40
