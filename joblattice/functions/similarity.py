@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-# Characters counted by the signature, eight thermometer bits each, 32 in four longs;
+# Characters counted by the signature, eight thermometer bits a tier each, 32 in four longs;
 # "#" counts all digits and "~" every other character outside a-z and space.
 SIGNATURE_CHARS = "abcdefghijklmnopqrstuvwxyz #~"
 
@@ -30,8 +30,12 @@ def sorted_tokens(title: Column, company: Column) -> Column:
     return F.array_join(F.array_sort(tokens), " ")
 
 
-def signature(c: Column) -> list[Column]:
-    """Four longs; differing bits of two signatures never exceed their indel distance."""
+def signature(c: Column, tiers: int = 1) -> list[Column]:
+    """Four longs a tier; differing bits of two signatures never exceed their indel distance.
+
+    The first tier tells counts up to 8 apart, each further one the next 8: long texts
+    have more than 8 of every common letter.
+    """
     def count(ch: str) -> Column:
         if ch == "#":
             return F.length(F.regexp_replace(c, "[^0-9]", ""))
@@ -39,14 +43,16 @@ def signature(c: Column) -> list[Column]:
             return F.length(F.regexp_replace(c, "[a-z 0-9]", ""))
         return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
 
+    counts = [count(ch) for ch in SIGNATURE_CHARS]
     words = []
-    for start in range(0, len(SIGNATURE_CHARS), 8):
-        word = F.lit(0).cast("bigint")
-        for i, ch in enumerate(SIGNATURE_CHARS[start:start + 8]):
-            level = F.least(count(ch), F.lit(8))
-            bits = F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - F.lit(1)
-            word = word.bitwiseOR(F.call_function("shiftleft", bits, F.lit(8 * i)))
-        words.append(word)
+    for below in range(0, 8 * tiers, 8):
+        for start in range(0, len(SIGNATURE_CHARS), 8):
+            word = F.lit(0).cast("bigint")
+            for i, n in enumerate(counts[start:start + 8]):
+                level = F.least(n if below == 0 else F.greatest(n - below, F.lit(0)), F.lit(8))
+                bits = F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - F.lit(1)
+                word = word.bitwiseOR(F.call_function("shiftleft", bits, F.lit(8 * i)))
+            words.append(word)
     return words
 
 

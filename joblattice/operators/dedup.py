@@ -21,6 +21,8 @@ COMPANY_PREFIX = 20
 
 # Stored rows one join task buffers per key; larger groups are split.
 CELL_ROWS = 20_000
+# Tiers of the character signature: counts up to 8 times as many are told apart.
+SIGNATURE_TIERS = 4
 # Joint length from which the bit-parallel exact count beats a Levenshtein test.
 LONG_TEXTS = 4_000
 
@@ -149,7 +151,8 @@ def _candidate_sides(new: DataFrame, stored: DataFrame, threshold: int,
 
 
 def _words(name: str) -> dict[str, Column]:
-    return {f"{name}{i}": word for i, word in enumerate(signature(F.col(name)))}
+    """Signature of a text; its first four words are tested first."""
+    return {f"{name}{i}": word for i, word in enumerate(signature(F.col(name), SIGNATURE_TIERS))}
 
 
 def _allowed(threshold: int) -> Column:
@@ -159,10 +162,14 @@ def _allowed(threshold: int) -> Column:
 def _join(sides: _Sides, extra: Column, threshold: int, how: str) -> DataFrame:
     """Join with the cheap tests inside, so only near matches leave it."""
     new, old = sides.new.alias("l"), sides.old.alias("r")
-    bits = signature_distance([F.col(f"a{i}") for i in range(4)],
-                              [F.col(f"b{i}") for i in range(4)])
+
+    def differing(words: int) -> Column:
+        return signature_distance(*[[F.col(f"{side}{i}") for i in range(words)]
+                                    for side in "ab"])
+    allowed = _allowed(threshold)
     on = ((F.col("l.name") == F.col("r.name")) & (F.col("l.band") == F.col("r.band"))
-          & (F.col("l.cell") == F.col("r.cell")) & (bits <= _allowed(threshold)) & extra)
+          & (F.col("l.cell") == F.col("r.cell")) & (differing(4) <= allowed)
+          & (differing(4 * SIGNATURE_TIERS) <= allowed) & extra)
     return new.join(old, on, how)
 
 

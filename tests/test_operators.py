@@ -221,3 +221,17 @@ def test_progress_metrics(spark):
     seen = Observation("progress")
     O.progress_metrics(df, seen).collect()
     assert seen.get == {"completed": 2, "errors": 1}
+
+
+def test_a_signature_of_tiers_tells_long_texts_apart_and_never_exceeds_the_indel(spark):
+    from joblattice.functions import similarity as SI
+    rows = [("the engineer " * 6, "those nineteen " * 5), ("e" * 30, "e" * 12), ("", "a" * 40),
+            ("data lead 1" * 9, "lead data 22" * 9)]
+    df = spark.createDataFrame(rows, "a string, b string")
+
+    def bits(tiers):
+        return SI.signature_distance(SI.signature(F.col("a"), tiers), SI.signature(F.col("b"), tiers))
+    indel = F.length("a") + F.length("b") - 2 * SI.lcs_length_udf()(F.col("a"), F.col("b"))
+    got = df.select(bits(1).alias("one"), bits(4).alias("four"), indel.alias("indel")).collect()
+    assert all(r["one"] <= r["four"] <= r["indel"] for r in got)
+    assert [r["four"] for r in got[1:3]] == [18, 32] and got[1]["one"] == 0
