@@ -23,6 +23,10 @@ from ..functions.html import BLOCK_TAGS, UNRENDERED, decode_entities
 from ..functions.text import let, strip
 from .compute import compute_once
 
+#: Characters of markup that one task cuts into tags; its windows hold some fifty times as much.
+TASK_CHARS = 4 << 20
+
+
 class Tag(NamedTuple):
     """Columns of a tag that a test may ask for."""
 
@@ -105,6 +109,17 @@ def _innermost(rows: DataFrame, key: str, hit: str, name: str) -> DataFrame:
     return rows.withColumn(name, F.when(F.col("_depth") > 0, start)).drop("_closes", "_depth")
 
 
+def spread_pages(pages: DataFrame, key: str, html: str, task_chars: int = TASK_CHARS) -> DataFrame:
+    """``key`` and ``html`` in as many partitions by key as the size of the markup asks for.
+
+    All windows below keep to a page, so this is the only exchange, of markup and not of tags.
+    """
+    rows = pages.select(key, html)
+    size = rows.agg(F.sum(F.length(html))).first()[0] or 0
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, -(-size // task_chars)), key)
+
+
 def cards(pages: DataFrame, key: str, html: str, within: list[Test], card: Test,
           fields: dict[str, Test], first_in_scope: bool = False,
           holding: Test | None = None) -> DataFrame:
@@ -120,7 +135,7 @@ def cards(pages: DataFrame, key: str, html: str, within: list[Test], card: Test,
     tests |= {f"_h_{name}": t for name, t in fields.items()}
     if holding is not None:
         tests["_holds"] = holding
-    rows = tags_of(pages, key, html, tests).withColumn("_in", F.lit(True))
+    rows = tags_of(spread_pages(pages, key, html), key, html, tests).withColumn("_in", F.lit(True))
     so_far = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     for i in range(len(within)):
         hit = F.col(f"_w{i}") & F.col("_in")

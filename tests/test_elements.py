@@ -96,3 +96,11 @@ def test_wrappers_and_parts_named_like_cards(spark):
 def test_empty_pages(spark):
     assert B.link_cards(pages(spark).where("false")).count() == 0
     assert B.board_cards(pages(spark, "", None)).count() == 0
+
+
+def test_pages_are_dealt_out_by_the_size_of_their_markup_in_one_exchange(spark):
+    pages = spark.range(400).selectExpr("id AS page_id", "repeat('<p>x</p>', 100) AS html")
+    few = EL.spread_pages(pages, "page_id", "html")
+    many = EL.spread_pages(pages, "page_id", "html", task_chars=8_000)
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert many.rdd.getNumPartitions() == 40 and many.count() == 400
