@@ -511,3 +511,10 @@ def test_pipeline_stages(spark, labelled, tmp_path, near_texts):
     assert {r["doc_id"] for r in out} == want
     pieces = packing.pieces_of(docs.where(docs["doc_id"].isin(list(want))))
     assert sum(r["length"] for r in out) == sum(r["length"] for r in pieces.collect())
+
+
+def test_every_trusted_document_is_learnt_from(spark):
+    docs = spark.range(20_100).selectExpr("id AS doc_id", "'a b' AS text", "'en' AS lang")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 300 > 0 AS int) AS quality")
+    from joblattice.llm import quality_lm
+    assert quality_lm.trusted_rows(docs, labels).count() == 20_033
