@@ -22,6 +22,9 @@ from ..operators.companies import upsert_companies
 from ..operators.merge import refresh, resolve_batch
 from ..sources.key_store import PARTS, KeyStore
 
+#: Company records that one task of the merge sorts.
+TASK_ROWS = 500_000
+
 _SIGHTINGS = T.StructType([T.StructField("key", T.StringType()),
                            T.StructField("last_seen", T.TimestampType())])
 
@@ -102,8 +105,13 @@ def ingest_companies(stream: DataFrame, root: str, checkpoint: str, base: DataFr
     return _start(stream, checkpoint, handle)
 
 
-def current_companies(spark: SparkSession, root: str, base: DataFrame,
-                      seq: str = "seq") -> DataFrame:
+def current_companies(spark: SparkSession, root: str, base: DataFrame, seq: str = "seq",
+                      task_rows: int = TASK_ROWS) -> DataFrame:
     """Companies after all batches."""
     schema = T.StructType([*base.schema.fields, T.StructField(seq, T.LongType())])
-    return upsert_companies(base, _read(spark, root, "companies", schema), seq)
+    rows = _read(spark, root, "companies", schema).select(*base.columns, seq)
+    # The merge sorts what a task reads, and packed files hold many rows: dealt out by row.
+    tasks = -(-rows.count() // task_rows)
+    if tasks > rows.rdd.getNumPartitions():
+        rows = rows.repartition(tasks, "name", seq)
+    return upsert_companies(base, rows, seq)
