@@ -77,16 +77,20 @@ def _(spark, d):
 
 
 def _in_slices(spark, d, rows, order: str, slices: int = 3):
-    """A stream that brings ``rows`` in several micro-batches, by ranges of ``order``."""
+    """Streams over one folder, each after a further slice of ``rows`` by ``order`` has arrived.
+
+    A slice is as many files as tasks wrote it; a stream with the checkpoint of the one before
+    reads only what is new.
+    """
     from joblattice.session import new_folder
     path = new_folder(spark, "arrivals")
     low, high = rows.agg(F.min(order), F.max(order)).first()
     step = ((high or 0) - (low or 0)) // slices + 1
-    for n in range(slices):                        # one after another: arrival order is file age
+    for n in range(slices):
         start = (low or 0) + n * step
         part = rows.where((F.col(order) >= start) & (F.col(order) < start + step))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.write.mode("append").parquet(path)
+        yield spark.readStream.schema(rows.schema).parquet(path)
 
 
 @query("t1_incremental_ingest", _WR + _ONTO_KNOWN + _snapshot("known", LATER))
@@ -95,8 +99,9 @@ def _(spark, d):
     from joblattice.streaming import incremental as I
     root = new_folder(spark, "stream")
     stored = V.known_listings(spark, d).drop("seq")
-    stream = _in_slices(spark, d, listing_batch(spark, d), "seq")
-    I.ingest_listings(stream, root + "/store", root + "/log", stored, parts=16).awaitTermination()
+    for stream in _in_slices(spark, d, listing_batch(spark, d), "seq"):
+        I.ingest_listings(stream, root + "/store", root + "/log", stored,
+                          parts=16).awaitTermination()
     return _shape(I.current_listings(spark, root + "/store", stored))
 
 
@@ -120,8 +125,8 @@ def _(spark, d):
     from joblattice.streaming import incremental as I
     root = new_folder(spark, "stream")
     stored = V.companies(spark, d)
-    stream = _in_slices(spark, d, V.company_batch(spark, d), "seq")
-    I.ingest_companies(stream, root + "/store", root + "/log", stored).awaitTermination()
+    for stream in _in_slices(spark, d, V.company_batch(spark, d), "seq"):
+        I.ingest_companies(stream, root + "/store", root + "/log", stored).awaitTermination()
     merged = I.current_companies(spark, root + "/store", stored)
     return merged.select("name", F.array_join("tech_stack", ",").alias("tech"), *_COMPANY_COLS)
 

@@ -124,3 +124,27 @@ def test_runs_are_those_of_feeds_and_all_may_fail(spark):
     assert [r["status"] for r in none.runs.collect()] == ["failed", "failed"]
     assert none.result.snapshot.collect() == stored.collect()
     assert none.result.counts().count() == 0
+
+
+def test_a_slice_of_arrivals_is_written_by_many_tasks_and_companies_are_merged_in_many(spark):
+    import glob
+
+    from catalog.q_merge import _in_slices
+    from joblattice.streaming import incremental as I
+    cols = "name string, website string, careers_url string, description string, size string, " \
+        "remote_policy string, tech_stack array<string>, source string"
+    base = spark.createDataFrame([("a", "w", None, None, None, None, ["x"], "s")], cols)
+    new = spark.createDataFrame(
+        [(f"n{i % 7}", f"w{i}", None, "d" if i < 9 else None, None, None, [str(i)], "t", i)
+         for i in range(60)], cols + ", seq long").repartition(4)
+    root, files = new_folder(spark, "stream"), []
+    for stream in _in_slices(spark, None, new, "seq"):
+        I.ingest_companies(stream, root + "/store", root + "/log", base).awaitTermination()
+        arrived = new_folder(spark, "x").removeprefix("file:").rsplit("/", 1)[0]
+        files.append(len(glob.glob(f"{arrived}/arrivals-*/part-*.parquet")))
+    assert files[0] > 1
+    got = I.current_companies(spark, root + "/store", base, task_rows=5)
+    want = upsert_companies(base, new)
+    columns = sorted(want.columns)
+    assert sorted(map(str, got.select(columns).collect())) == sorted(
+        map(str, want.select(columns).collect()))
