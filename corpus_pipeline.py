@@ -14,7 +14,7 @@ ORACLE_SQL = None
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text is not too high."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_lm.train(docs, labels).keep(docs)
+    return quality_lm.train(docs, labels).keep(docs, stored=True)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

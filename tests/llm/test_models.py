@@ -4,7 +4,9 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ import corpus_pipeline
 from joblattice.llm import (embedding_dedup, near_dedup, packing, piece_codec, pitman_yor,
                             quality_lm)
 from joblattice.llm.common import components, words_of
+from joblattice.session import cut_lineage, release
 
 RNG = random.Random(11)
 VOCAB = ["".join(RNG.choices("abcdefghij", k=RNG.randint(2, 6))) for _ in range(400)]
@@ -518,3 +521,50 @@ def test_every_trusted_document_is_learnt_from(spark):
     labels = docs.selectExpr("doc_id", "cast(doc_id % 300 > 0 AS int) AS quality")
     from joblattice.llm import quality_lm
     assert quality_lm.trusted_rows(docs, labels).count() == 20_033
+
+
+def test_ngrams_go_through_the_disk_in_parts(spark):
+    texts = [" ".join(words(50, i % 7)) for i in range(30)] + ["", None]
+    docs = spark.createDataFrame([(i, t, "xy") for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string").repartition(3)
+    whole = sorted(map(tuple, quality_lm.count_words(docs).collect()))
+    parts = [quality_lm.count_words(docs, "text", i, 4).collect() for i in range(4)]
+    assert sorted(tuple(r) for part in parts for r in part) == whole
+    middles = [{r["b"] for r in part} for part in parts]
+    assert all(not a & b for i, a in enumerate(middles) for b in middles[:i])
+    scorer = quality_lm.Scorer(docs, hot_grams=0)
+    marks = {"_id": docs["doc_id"]}
+    one = scorer._scored(docs, marks, "text", parts=1)
+    four = scorer._scored(docs, marks, "text", parts=4)
+    assert sorted(map(str, four.collect())) == sorted(map(str, one.collect()))
+
+
+def test_commonest_grams_are_those_of_the_whole_order(spark):
+    gains = spark.range(500).selectExpr("id * 7919 % 503 AS gram", "0.5D AS gain",
+                                        "1 + id * id % 90 AS n")
+    for rows in (0, 1, 40, 499, 1000):
+        want = gains.orderBy(F.col("n").desc(), "gram").limit(rows).collect()
+        assert sorted(quality_lm._commonest(gains, rows).collect()) == sorted(want)
+
+
+def test_written_stages_leave_no_shuffle_files_and_can_be_released(spark, tmp_path):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [Path(x.getPath()) for x in env.blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {f.name for x in folders for f in x.rglob("shuffle_*.data")}
+    before = shuffles()
+    table = cut_lineage(spark.range(10_000).repartition(3).groupBy("id").count())
+    deadline = time.time() + 10                      # files go in the background
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert table.count() == 10_000
+    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    release(table)
+    assert spark.read.parquet(folder).count() == 0
+    own = str(tmp_path / "own")
+    spark.range(3).write.parquet(own)
+    with pytest.raises(ValueError):
+        release(spark.read.parquet(own))
+    assert spark.read.parquet(own).count() == 3
