@@ -476,6 +476,40 @@ def test_pitman_yor_probabilities_sum_to_one(documents):
         assert total / kept == pytest.approx(1.0, abs=0.05)
 
 
+def test_pitman_yor_contexts_are_whole_words(documents, as_dict):
+    texts = (["ka red"] * 12 + ["ma blue"] * 12 + [f"{a} {b}" for a in ("ka", "ma") for b in (
+        "red", "blue", "green")] + ["", "new ka red", "ka red", None])
+    docs = documents([*enumerate(texts), (5, texts[5])])
+    model = pitman_yor.train(docs)
+    rows, kept = model.words.collect(), len(model.back)
+    token, context, sizes = pitman_yor.tokens_of([b"ka red", b"", b"ma Red"])
+    assert list(sizes) == [3, 1, 3] and token[1] == token[5] and token[2] == token[3] == token[6]
+    assert context[0] == context[3] == context[4] and len({*context[:3].tolist(), context[5]}) == 4
+    assert (context[1], context[2], context[5]) == (token[0], token[1], token[4])
+
+    def probability(u, w):
+        for r in rows:
+            if r["w"] == w:
+                return (r["p"][list(r["g"]).index(u)] if u in r["g"] else sum(
+                    model.back[i].get(u, 1.0) * r["pr"][i] for i in range(kept))) / kept
+        return sum(model.back[i].get(u, 1.0) * model.unknown[i] for i in range(kept)) / kept
+
+    for g in model.back[0]:
+        unknown = sum(model.back[i][g] * model.unknown[i] for i in range(kept)) / kept
+        assert sum(probability(g, r["w"]) for r in rows) + unknown == pytest.approx(1, abs=1e-6)
+    tries = ["ka red", "ka blue", "ma red", "ma blue", "new red x", "", None, "red ka ka", "ka red"]
+    for hot in (0, 2, 1 << 16):
+        got = pitman_yor.score(documents([*enumerate(tries), (0, "ka red")]), model,
+                               hot_words=hot).collect()
+        assert sorted(r["_id"] for r in got) == [0, *range(len(tries))]
+        score = {r["_id"]: r["score"] for r in got}
+        for i, text in enumerate(tries):
+            token, context, _ = pitman_yor.tokens_of([(text or "").encode()])
+            assert score[i] == pytest.approx(sum(math.log10(probability(u, w)) for u, w in zip(
+                context.view(np.int64).tolist(), token.view(np.int64).tolist(), strict=True)))
+        assert score[0] > score[1] + 0.3 and score[3] > score[2] + 0.3
+
+
 def test_tables_drawn_follow_the_exact_law():
     rng = np.random.Generator(np.random.PCG64(1))
     d, strength, base, others, n = 0.6, 1.0, 0.2, 7, 5
