@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.near_texts import near_texts
 from ..functions.similarity import (allowed_indel, lcs_length_udf, length_band,
-                                    score_from_indel, signature, signature_distance,
-                                    sorted_tokens)
+                                    score_from_indel, sorted_tokens)
 from ..functions.text import dedup_hash, strip
 from ..session import cut_lineage
 from .compute import broadcast_if_small, compute_once, is_small
@@ -19,10 +19,8 @@ from .compute import broadcast_if_small, compute_once, is_small
 FUZZY_THRESHOLD = 85
 COMPANY_PREFIX = 20
 
-# Stored rows one join task buffers per key; larger groups are split.
+# Texts of either side that are compared at once; larger groups are split.
 CELL_ROWS = 20_000
-# Tiers of the character signature: counts up to 8 times as many are told apart.
-SIGNATURE_TIERS = 4
 # Joint length from which the bit-parallel exact count beats a Levenshtein test.
 LONG_TEXTS = 4_000
 
@@ -96,8 +94,8 @@ def contained_in(keys: DataFrame, names: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Sides:
-    new: DataFrame          # a, key, name, band, cell and signature
-    old: DataFrame          # b, name, band, cell and signature
+    new: DataFrame          # a, key, name, band, part and cell
+    old: DataFrame          # b, name, band, part and cell
 
 
 def _distinct_new(batch: DataFrame) -> DataFrame:
@@ -115,62 +113,60 @@ def _texts_of(stored: DataFrame, pairs: DataFrame) -> DataFrame:
                        "name").distinct()
 
 
+def _cells(rows: DataFrame, cell_rows: int, name: str) -> DataFrame:
+    """``name, band`` of the groups and the number of cells they are split into."""
+    return rows.groupBy("name", "band").agg(
+        F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias(name))
+
+
 def _candidate_sides(new: DataFrame, stored: DataFrame, threshold: int,
                      cell_rows: int) -> _Sides:
-    """Both sides keyed so that every matching pair meets in exactly one task.
+    """Both sides keyed so that every matching pair meets in exactly one group.
 
     Keys are the stored company, a length band (lengths of a matching pair differ
-    by less than 28 %) and a cell that splits large stored groups. The distinct
-    texts are materialised: several joins read them.
+    by less than 28 %), and a part of the new and a cell of the stored texts where a
+    group is large. The distinct texts are materialised: several joins read them.
     """
     own = length_band(F.length("a"), threshold)
-    new = cut_lineage(new.withColumns({"band": own, **_words("a")}))
+    new = cut_lineage(new.withColumn("band", own))
     # Read twice below: by its grams for their frequency, then for the rarest one.
     names = cut_lineage(stored.where("is_active").select(F.lower("company").alias("name"))
                         .distinct())
     pairs = cut_lineage(contained_in(new.select("key").distinct(), names))
-    old = cut_lineage(_texts_of(stored, pairs).withColumns({
-        "band": length_band(F.length("b"), threshold), **_words("b")}))
-    sizes = (old.groupBy("name", "band").agg(F.count(F.lit(1)).alias("n"))
-             .select("name", "band", F.ceil(F.col("n") / cell_rows).cast("int").alias("cells")))
-    old_side = (old.join(sizes, ["name", "band"])
-                .withColumn("cell", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int"))
-                .drop("cells"))
+    old = cut_lineage(_texts_of(stored, pairs).withColumn(
+        "band", length_band(F.length("b"), threshold)))
     near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
-    new_side = (new.join(pairs, "key").withColumn("band", F.explode(near))
-                .join(sizes, ["name", "band"])
-                .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-                .drop("cells"))
-    if is_small(old):
-        # The work follows the compared pairs, not the bytes: spread the probing side.
-        conf = new.sparkSession.conf
-        new_side = new_side.repartition(int(conf.get("spark.sql.shuffle.partitions")), "a", "name", "band",
-                                        "cell")
-        old_side = F.broadcast(old_side)
-    return _Sides(new_side, old_side)
-
+    new = cut_lineage(new.join(pairs, "key").withColumn("band", F.explode(near))
+                      .join(old.select("name", "band").distinct(), ["name", "band"], "left_semi"))
+    sizes = cut_lineage(_cells(old, cell_rows, "cells").join(
+        _cells(new, cell_rows, "parts"), ["name", "band"]))
 
-def _words(name: str) -> dict[str, Column]:
-    """Signature of a text; its first four words are tested first."""
-    return {f"{name}{i}": word for i, word in enumerate(signature(F.col(name), SIGNATURE_TIERS))}
+    def placed(rows: DataFrame, text: str, split: str, own: str, other: str, copies: str):
+        place = F.pmod(F.xxhash64(text), F.col(split)).cast("int")
+        spread = F.explode(F.sequence(F.lit(0), F.col(copies) - 1))
+        return (rows.join(broadcast_if_small(sizes), ["name", "band"])
+                .withColumn(own, place).withColumn(other, spread).drop("cells", "parts"))
+    return _Sides(placed(new, "a", "parts", "part", "cell", "cells"),
+                  placed(old, "b", "cells", "cell", "part", "parts"))
 
 
 def _allowed(threshold: int) -> Column:
     return allowed_indel(F.length("a") + F.length("b"), threshold)
 
 
-def _join(sides: _Sides, extra: Column, threshold: int, how: str) -> DataFrame:
-    """Join with the cheap tests inside, so only near matches leave it."""
-    new, old = sides.new.alias("l"), sides.old.alias("r")
+def _near(sides: _Sides, threshold: int, every: bool) -> DataFrame:
+    """Similar pairs (``a, key, b, name, indel``), or the ``a, key`` that are in one.
 
-    def differing(words: int) -> Column:
-        return signature_distance(*[[F.col(f"{side}{i}") for i in range(words)]
-                                    for side in "ab"])
-    allowed = _allowed(threshold)
-    on = ((F.col("l.name") == F.col("r.name")) & (F.col("l.band") == F.col("r.band"))
-          & (F.col("l.cell") == F.col("r.cell")) & (differing(4) <= allowed)
-          & (differing(4 * SIGNATURE_TIERS) <= allowed) & extra)
-    return new.join(old, on, how)
+    The work follows the compared pairs, not the bytes: the number of tasks is fixed, so that
+    small tables are not put together.
+    """
+    by = ["name", "band", "part", "cell"]
+    spark = sides.new.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                8 * spark.sparkContext.defaultParallelism)
+    new, old = (x.repartition(tasks, *by).groupBy(*by) for x in (sides.new, sides.old))
+    schema = "a string, key string" + (", b string, name string, indel long" if every else "")
+    return new.cogroup(old).applyInArrow(near_texts(threshold, every), schema)
 
 
 def _within(limit: Column) -> Column:
@@ -186,15 +182,6 @@ def _maybe(threshold: int) -> Column:
     return long_texts | _within(_allowed(threshold))
 
 
-def _exact_pairs(joined: DataFrame, threshold: int) -> DataFrame:
-    total = F.length("a") + F.length("b")
-    lcs = lcs_length_udf()(F.col("a"), F.col("b"))
-    pairs = joined.select("a", "key", "b", F.col("r.name").alias("b_company"))
-    counted = compute_once(pairs, {"indel": total - 2 * lcs})
-    return (counted.where(F.col("indel") <= _allowed(threshold))
-            .withColumn("similarity", score_from_indel(F.col("indel"), total)).drop("indel"))
-
-
 def fuzzy_matches(batch: DataFrame, stored: DataFrame, threshold: int = FUZZY_THRESHOLD,
                   cell_rows: int = CELL_ROWS) -> DataFrame:
     """All similar (new, stored) texts: ``a``, ``key``, ``b``, ``b_company``, ``similarity``.
@@ -203,24 +190,16 @@ def fuzzy_matches(batch: DataFrame, stored: DataFrame, threshold: int = FUZZY_TH
     back on (``b``, ``b_company``) for the stored rows.
     """
     sides = _candidate_sides(_distinct_new(batch), stored, threshold, cell_rows)
-    return _exact_pairs(_join(sides, _maybe(threshold), threshold, "inner"), threshold)
+    total = F.length("a") + F.length("b")
+    return _near(sides, threshold, True).select(
+        "a", "key", "b", F.col("name").alias("b_company"),
+        score_from_indel(F.col("indel"), total).alias("similarity"))
 
 
 def fuzzy_keys(new: DataFrame, stored: DataFrame, threshold: int, cell_rows: int) -> DataFrame:
-    """The (``a``, ``key``) of ``new`` that have at least one similar stored listing.
-
-    Twice the Levenshtein distance bounds the indel count from above: a semi join
-    settles the clear matches without listing their pairs, and only the undecided
-    texts go through the exact count.
-    """
+    """The (``a``, ``key``) of ``new`` that have at least one similar stored listing."""
     sides = _candidate_sides(new, stored, threshold, cell_rows)
-    half = F.floor(_allowed(threshold) / 2)
-    short = F.length("a") + F.length("b") <= LONG_TEXTS
-    clear = (F.col("a") == F.col("b")) | (short & _within(half))
-    sure = cut_lineage(_join(sides, clear, threshold, "left_semi").select("a", "key").distinct())
-    open_side = sides.new.join(sure, ["a", "key"], "left_anti")
-    undecided = _join(_Sides(open_side, sides.old), _maybe(threshold), threshold, "inner")
-    return sure.unionByName(_exact_pairs(undecided, threshold).select("a", "key").distinct())
+    return _near(sides, threshold, False).distinct()
 
 
 def tag_duplicates(batch: DataFrame, stored: DataFrame, threshold: int = FUZZY_THRESHOLD,

@@ -3,10 +3,12 @@
 import random
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from joblattice.functions.near_texts import near_texts
 from joblattice.functions.similarity import sorted_tokens
 from joblattice.functions.text import dedup_hash
 from joblattice.operators import companies as C
@@ -235,3 +237,47 @@ def test_a_signature_of_tiers_tells_long_texts_apart_and_never_exceeds_the_indel
     got = df.select(bits(1).alias("one"), bits(4).alias("four"), indel.alias("indel")).collect()
     assert all(r["one"] <= r["four"] <= r["indel"] for r in got)
     assert [r["four"] for r in got[1:3]] == [18, 32] and got[1]["one"] == 0
+
+
+@pytest.mark.parametrize("threshold", [85, 90, 60])
+def test_near_texts_of_two_groups_equal_brute_force(threshold):
+    rnd = random.Random(threshold)
+
+    def text(n):
+        return "".join(rnd.choice("abcd eß1ż") for _ in range(n))
+
+    def changed(t, n):
+        chars = list(t)
+        for _ in range(n):
+            chars[rnd.randrange(len(chars)):][:1] = [rnd.choice("abcd e")]
+            del chars[rnd.randrange(len(chars))]
+            chars.insert(rnd.randrange(len(chars) + 1), rnd.choice("abz \U0001f600"))
+        return "".join(chars)
+    old = sorted({text(n) for n in [*range(1, 40), *range(60, 70), 127, 128, 129, 300, 700] for _ in range(3)})
+    new = sorted({changed(t, int(len(t) * share) or 1) for t in old for share in (0.02, 0.1, 0.18)}
+                 | {old[3], old[-1], "", "q"})
+    old.append("")
+    groups = (pa.table({"a": new, "key": ["k"] * len(new), "name": ["c"] * len(new)}),
+              pa.table({"b": old}))
+    want = {(a, b, indel) for a in new for b in old
+            if (indel := len(a) + len(b) - 2 * _lcs(a, b)) <= _largest(len(a) + len(b), threshold)}
+    pairs = near_texts(threshold, True)(*groups).to_pylist()
+    assert len(pairs) == len(want) > 100
+    assert {(r["a"], r["b"], r["indel"]) for r in pairs} == want
+    keys = near_texts(threshold, False)(*groups).to_pylist()
+    assert sorted(r["a"] for r in keys) == sorted({a for a, _, _ in want})
+    assert near_texts(threshold, True)(groups[0].slice(0, 0), groups[1]).num_rows == 0
+
+
+def _lcs(a, b):
+    masks = {c: sum(1 << i for i, x in enumerate(a) if x == c) for c in set(b)}
+    row = full = (1 << len(a)) - 1
+    for c in b:
+        hit = row & masks[c]
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def _largest(total, threshold):
+    doubled = total * (2 * (100 - threshold) + 1)
+    return doubled // 200 if threshold % 2 == 0 else -(-doubled // 200) - 1
