@@ -125,15 +125,16 @@ def _candidate_sides(new: DataFrame, stored: DataFrame, threshold: int,
 
     Keys are the stored company, a length band (lengths of a matching pair differ
     by less than 28 %), and a part of the new and a cell of the stored texts where a
-    group is large. The distinct texts are materialised: several joins read them.
+    group is large. The distinct texts are materialised: several joins read them. A missing
+    text is similar to none.
     """
     own = length_band(F.length("a"), threshold)
-    new = cut_lineage(new.withColumn("band", own))
+    new = cut_lineage(new.where("a is not null").withColumn("band", own))
     # Read twice below: by its grams for their frequency, then for the rarest one.
     names = cut_lineage(stored.where("is_active").select(F.lower("company").alias("name"))
                         .distinct())
     pairs = cut_lineage(contained_in(new.select("key").distinct(), names))
-    old = cut_lineage(_texts_of(stored, pairs).withColumn(
+    old = cut_lineage(_texts_of(stored, pairs).where("b is not null").withColumn(
         "band", length_band(F.length("b"), threshold)))
     near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
     new = cut_lineage(new.join(pairs, "key").withColumn("band", F.explode(near))

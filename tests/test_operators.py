@@ -269,6 +269,16 @@ def test_near_texts_of_two_groups_equal_brute_force(threshold):
     assert near_texts(threshold, True)(groups[0].slice(0, 0), groups[1]).num_rows == 0
 
 
+def test_listings_without_title_or_company_are_similar_to_none(spark):
+    rows = [(1, None, "acme"), (2, "data engineer", None), (3, "data engineer", "acme"), (4, None, None)]
+    df = spark.createDataFrame(rows, "id long, title string, company string").withColumns(
+        {"dedup_hash": F.concat(F.lit("n"), F.col("id")), "is_active": F.lit(True)})
+    stored = df.withColumn("dedup_hash", F.concat(F.lit("s"), F.col("id")))
+    assert [r["similarity"] for r in DD.fuzzy_matches(df, stored).collect()] == [100]
+    kinds = {r["id"]: r["dup_kind"] for r in DD.tag_duplicates(df, stored).collect()}
+    assert kinds == {1: None, 2: None, 3: "fuzzy", 4: None}
+
+
 def _lcs(a, b):
     masks = {c: sum(1 << i for i, x in enumerate(a) if x == c) for c in set(b)}
     row = full = (1 << len(a)) - 1
